@@ -14,6 +14,7 @@ has a nested repeat, so the scan neither backtracks far nor recurses.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinegrid.llm.common import Scratch, text_or_empty
@@ -39,20 +40,142 @@ CARD_BREAK = r"[\x20().+-]{2,}|[().+]"
 #: A token with a digit or an @ in its first 64 characters.
 TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9@]{{0,63}}+[0-9@][^{SPACE}]*+"
 
-SPAN = "array<struct<kind:int,s:bigint,e:bigint,v:string,l2:string,l1:string,r1:string>>"
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """Array of structs (s, e, v, before, after), one for each match of pattern in text, in order."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<s:bigint,e:bigint,v:string,before:string,after:string>>").alias("out"))
+def _pieces(stream: str, text: Column, pattern: str) -> Column:
+    """Array of (stream, at, gap, hit, l2, l1, head): each match with the length of the text since the last one and the
+    words around; the last element has no match but the head of what follows the last one."""
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def step(acc: Column, i: Column) -> Column:
-        gap, hit = F.get(gaps_, i), F.get(hits_, i)
-        s = acc["end"] + F.length(gap)
-        e = s + F.length(hit)
-        one = F.struct(s.alias("s"), e.alias("e"), hit.alias("v"), gap.alias("before"), F.get(gaps_, i + 1).alias("after"))
-        return F.struct(e.alias("end"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def piece(x: Column, i: Column) -> Column:
+        tail = F.regexp_extract_all(F.right(x["gap"], F.lit(120)), F.lit(rf"[^{SPACE}]+"), F.lit(0))
+        head = F.regexp_extract(F.left(x["gap"], F.lit(60)), rf"[^{SPACE}]+", 0)
+        return F.struct(
+            F.lit(stream).alias("stream"), i.alias("at"), F.length(x["gap"]).cast("long").alias("gap"), x["hit"].alias("hit"),
+            F.try_element_at(tail, F.lit(-2)).alias("l2"), F.try_element_at(tail, F.lit(-1)).alias("l1"), head.alias("head"),
+        )
 
-    gaps_, hits_ = gaps, hits
-    return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["out"]
+    return F.transform(zipped, piece)
+
+
+def _word(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+
+
+def _shape(v: Column) -> Column:
+    """The kind that an identifier-like token could be of, or null."""
+    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
+    return (
+        F.when(v.contains("@") & v.rlike("[A-Za-z]"), 0)
+        .when(v.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), 1)
+        .when(v.rlike("^[0-9-]+$") & (digits >= 13), 2)
+        .when(v.rlike("^[+0-9().-]+$") & digits.between(7, 15), 3)
+    )
+
+
+def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Spans of every text: row, id, kind, s, e, v, l2, l1, r1, base; a row without kind for each text besides."""
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), text_or_empty(text).alias("text"))
+    has_digit = F.col("text").rlike("[0-9]")
+    none = F.array().cast("array<struct<stream:string,at:int,gap:bigint,hit:string,l2:string,l1:string,head:string>>")
+    mail = F.when(F.col("text").contains("@"), _pieces("mail", F.regexp_replace("text", LONE_DOT, "_"), EMAIL)).otherwise(none)
+    runs = F.when(has_digit, _pieces("run", F.col("text"), RUN)).otherwise(none)
+    tokens = F.when(has_digit | F.col("text").contains("@"), _pieces("token", F.col("text"), TOKEN)).otherwise(none)
+    p = d.select("row", "id", F.explode_outer(F.concat(mail, runs, tokens)).alias("x")).select("row", "id", "x.*")
+
+    inside = W.partitionBy("row", "stream").orderBy("at")
+    upto = F.sum(F.col("gap") + F.coalesce(F.length("hit"), F.lit(0))).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    p = p.withColumns({"e": upto, "r1": F.lead("head").over(inside)}).withColumn("s", F.col("e") - F.length("hit"))
+    p = p.withColumns({c: _word(F.col(c)) for c in ("l2", "l1", "r1")})
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+
+    # inside a run: the ips and the card-like stretches, again by their distance from what came before
+    hit = F.col("hit")
+    ips = F.when(hit.contains("."), F.arrays_zip(F.split(hit, IP, -1).alias("gap"), F.regexp_extract_all(hit, F.lit(IP), F.lit(0)).alias("v")))
+    cards = F.arrays_zip(F.regexp_extract_all(hit, F.lit(CARD_BREAK), F.lit(0)).alias("gap"), F.split(hit, CARD_BREAK, -1).alias("v"))
+    empty = F.array().cast("array<struct<gap:string,v:string>>")
+    both = F.concat(
+        F.transform(F.coalesce(ips, empty), lambda x, i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("pre"), F.lit(0).alias("post"), x["v"].alias("v"))),
+        F.transform(cards, lambda x, i: F.struct(F.lit(2).alias("kind"), i.alias("i"), F.lit(0).alias("pre"), F.coalesce(F.length(x["gap"]), F.lit(0)).alias("post"), x["v"].alias("v"))),
+        F.array(F.struct(F.lit(3).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("pre"), F.lit(0).alias("post"), hit.alias("v"))),
+        F.when(first, F.array(F.struct(F.lit(None).cast("int").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("pre"), F.lit(0).alias("post"), F.lit(None).cast("string").alias("v")))).otherwise(F.array()),
+    )
+    whole = F.array(F.struct(F.when(F.col("stream") == "mail", 0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("pre"), F.lit(0).alias("post"), hit.alias("v")))
+    # a text without any piece has one row whose stream is null; it stays as the row without kind
+    q = p.withColumn("sub", F.when(F.col("stream") == "run", F.when(hit.isNull(), F.slice(both, -1, 1)).otherwise(both)).otherwise(whole))
+    q = q.select("row", "id", "stream", F.col("s").alias("run_s"), "l2", "l1", "r1", "at", F.explode("sub").alias("y")).select("*", "y.*").drop("y")
+    nested = W.partitionBy("row", "stream", "run_s", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    e = F.col("run_s") + F.sum(F.col("pre") + F.coalesce(F.length("v"), F.lit(0)) + F.col("post")).over(nested) - F.col("post")
+    q = q.withColumn("e", e).withColumn("s", F.col("e") - F.length("v"))
+
+    digits = F.length(F.regexp_replace("v", "[^0-9]", ""))
+    octets = r"\.".join([OCTET] * 4)
+    valid = (
+        F.when(F.col("v").isNull(), False)
+        .when(F.col("kind") == 0, True)
+        .when(F.col("kind") == 1, F.col("v").rlike(f"^{octets}$"))
+        .when(F.col("kind") == 2, digits.between(13, 19) & F.call_function("luhn_check", F.regexp_replace("v", "[^0-9]", "")))
+        .when(F.col("kind") == 3, F.col("v").startswith("+") & digits.between(9, 15))
+        .otherwise(False)
+    )
+    q = q.withColumn("base", valid)
+    # identifier-like tokens lose the punctuation around them
+    lead, trail = F.length(F.regexp_extract("v", r"^[^\p{L}\p{N}+]*", 0)), F.length(F.regexp_extract("v", r"[^\p{L}\p{N}]*\z", 0))
+    token = F.col("stream") == "token"
+    cut = F.expr("substring(v, lead + 1, length(v) - lead - trail)")
+    q = q.withColumns({"lead": lead, "trail": trail}).withColumns({
+        "v": F.when(token, cut).otherwise(F.col("v")), "s": F.when(token, F.col("s") + F.col("lead")).otherwise(F.col("s")), "e": F.when(token, F.col("e") - F.col("trail")).otherwise(F.col("e")),
+    })
+    q = q.withColumn("kind", F.when(token, _shape(F.col("v"))).otherwise(F.col("kind")))
+    # tokens that overlap a base span are no candidates
+    by_start = W.partitionBy("row").orderBy("s", F.col("base").desc())
+    reach = F.max(F.when(F.col("base"), F.col("e"))).over(by_start.rowsBetween(W.unboundedPreceding, 0))
+    ahead = F.min(F.when(F.col("base"), F.col("s"))).over(by_start.rowsBetween(0, W.unboundedFollowing))
+    free = (F.coalesce(reach, F.lit(-1)) <= F.col("s")) & (F.coalesce(ahead, F.col("e")) >= F.col("e"))
+    q = q.withColumn("candidate", token & F.col("kind").isNotNull() & free)
+    marker = (F.coalesce(F.col("at"), F.lit(0)) == 0) & ~F.col("base") & ~F.col("candidate")
+    q = q.where(F.col("base") | F.col("candidate") | marker)
+    kind = F.when(F.col("base") | F.col("candidate"), F.col("kind"))
+    return q.select("row", "id", kind.alias("kind"), "s", "e", F.lower("v").alias("v"), "l2", "l1", "r1", "base")
+
+
+def discover(spans: DataFrame) -> DataFrame:
+    """The instances (kind, v) that trusted patterns add. spans: what `scan` returned, saved."""
+    scratch = Scratch(spans.sparkSession, "pii-graph")
+    contexts = F.array_compact(F.array(
+        F.when((F.col("l2") != "") & (F.col("l1") != ""), F.concat_ws(" ", F.lit("<"), "l2", "l1")),
+        F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat_ws(" ", F.lit("="), "l1", "r1")),
+    ))
+    edges = spans.where("kind is not null").select("kind", "v", "base", F.explode(contexts).alias("context"))
+    edges = edges.groupBy("kind", "context", "v").agg(F.max("base").alias("seed"))
+    # a pattern without enough seeds now never gains any, and an instance only matters where such a pattern holds
+    support = edges.where("seed").groupBy("kind", "context").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= PATTERN_SEEDS).drop("seeds")
+    edges = scratch.save(edges.join(support, ["kind", "context"]))
+    scores = edges.groupBy("kind", "v").agg(F.max("seed").cast("double").alias("score"))
+    for _ in range(ROUNDS):
+        patterns = edges.join(scores, ["kind", "v"]).groupBy("kind", "context").agg(F.avg("score").alias("trust"))
+        trusted = patterns.where(F.col("trust") >= PATTERN_TRUST)
+        doubt = F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999)))))
+        scores = edges.join(trusted, ["kind", "context"]).groupBy("kind", "v").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score"))
+        scores = scratch.save(scores)
+    return scores.where(F.col("score") >= ACCEPT).select("kind", "v")
+
+
+def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row of docs: base counts by kind, the digest of the base spans, all spans, and the added spans' number."""
+    spans = Scratch(docs.sparkSession, "pii").save(scan(docs, key, text))
+    found = discover(spans).withColumn("added", F.lit(True))
+    added = spans.where("not base and kind is not null").join(found, ["kind", "v"], "left_semi")
+    both = spans.where("base or kind is null").unionByName(added).select("row", "id", "kind", "s", "e", "base")
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def listed(keep: Column) -> Column:
+        spans = F.array_sort(F.collect_list(F.when(keep, F.struct("kind", "s", "e"))))
+        return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))))
+
+    counts = [F.count(F.when(F.col("base") & (F.col("kind") == i), 1)).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    out = both.groupBy("row", "id").agg(
+        *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("kind").isNotNull()).alias("spans"),
+        F.count(F.when(~F.col("base") & F.col("kind").isNotNull(), 1)).alias("n_added"),
+    )
+    return out.drop("row").withColumnRenamed("id", key)
