@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinegrid.llm import exact_dedup, mixing, pii, quality, sentencepiece_codec, url_filter
+from cinegrid.llm import exact_dedup, html_extract, mixing, ngram_join, pii, quality, sentencepiece_codec, url_filter
 from cinegrid.llm.common import table
 
 
@@ -26,10 +26,18 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality": op6_quality,
+    "op8_html_extract": op8_html_extract,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE: dict[str, str] = {
