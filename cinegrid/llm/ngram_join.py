@@ -3,10 +3,12 @@
 Grouped prefix join. Shingles are ordered by the frequency of their hash bucket (a count of BUCKETS numbers over all
 documents), rare first, then by hash. Two sets of the asked similarity share a shingle within the first
 n - ceil(percent * n / 100) + 1 of each. Documents with equal sets are one class; classes with equal size and prefix are one
-group, and only groups enter the inverted lists. Links are verified on whole sets, in two rounds:
+group, and only groups enter the inverted lists. A candidate pair first meets the
+bitmap filter: each set keeps a parity bitmap of about two bits a shingle, and the bits in which two bitmaps differ bound
+the overlap from above, so few pairs that are no links go on. The rest are verified on whole texts, in two rounds:
 
-1. A class is compared with its group's leader, a group with the list neighbour that shares most prefix shingles. That links
-   most copies, however many there are, with about one comparison each.
+1. A class is compared with the class before it in its group, a group with the list neighbour that shares most prefix
+   shingles. That links most copies, however many there are, with about one comparison each.
 2. Lists that hold a single component are done, for all their links would stay within it. In the others every two groups of
    different components (and of fitting sizes and positions) are a candidate, expanded to their classes and verified. So
    no link between different components is missed, and no group of copies is expanded into all its pairs.
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinegrid.llm.common import Scratch, checked_broadcast
+from cinegrid.llm.common import Scratch, checked_broadcast, text_or_empty
 from cinegrid.llm.components import connected_components
 from cinegrid.llm.wordhash import WordHasher, mix, shingles, slices
 
 BUCKETS, BLOCK = 1 << 20, 1 << 12
 SALTS = 64
-#: Candidate documents' ids are broadcast up to so many (8 bytes each) to fetch their sets; beyond, the join shuffles.
+#: Ids are broadcast up to so many (8 bytes each), and candidate documents with their pairs up to a quarter of that; beyond,
+#: the joins shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -50,6 +53,23 @@ def class_key(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     return pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Bit i is the parity of the number of shingles that hash to i; a power of two of at least two bits a shingle."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    count = np.bincount((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
+
+
+def most_common(n_a: int, n_b: int, a: bytes, b: bytes) -> int:
+    """No two sets of these sizes and bitmaps share more shingles than this."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):  # a bitmap of half the bits is the exclusive or of both halves
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def bucket_levels(docs: DataFrame, words: int) -> np.ndarray:
     """For each hash bucket, a level that grows with the number of documents' shingles in it. docs: text."""
 
@@ -105,40 +125,54 @@ def profiles(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> D
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
                 ph = np.array([mix(p * np.uint64(2) * np.arange(1, len(p) + 1, dtype=np.uint64) + p).sum(dtype=np.uint64) for p in prefixes], np.uint64).view(np.int64)
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), n, *class_key(sets), pa.array(ph), pa.ListArray.from_arrays(offsets, flat)], names=["id", "n", "k1", "k2", "ph", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), n, *class_key(sets), pa.array(ph), pa.ListArray.from_arrays(offsets, flat)], names=["id", "n", "k1", "k2", "ph", "prefix"]).append_column("bitmap", pa.array([parity_bitmap(s) for s in sets], pa.binary()))
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, ph long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, ph long, prefix array<long>, bitmap binary")
 
 
-def whole_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """The sets of some classes (cid, rep, n, k1, k2): cid and the sorted hashes. Only documents that stand for them are hashed."""
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose bitmaps leave room for the similarity."""
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            for _, texts in slices(batch, "text"):
-                sets = shingle_sets(hasher, texts, words)
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                flat = pa.array(np.concatenate(sets).view(np.int64))
-                n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([n, *class_key(sets), pa.ListArray.from_arrays(offsets, flat)], names=["n", "k1", "k2", "grams"])
+            na, nb, ba, bb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b"))
+            ok = [(100 + percent) * most_common(x, y, u, v) >= percent * (x + y) for x, y, u, v in zip(na, nb, ba, bb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = Scratch(docs.sparkSession, "ngram-ids").save(classes.select(F.coalesce("rep", F.lit(-1)).alias("rep")).distinct())
-    wanted = docs.join(checked_broadcast(ids, BROADCAST_IDS), F.coalesce(docs["id"], F.lit(-1)) == ids["rep"], "left_semi")
-    sets = wanted.select("text").mapInArrow(run, "n long, k1 long, k2 long, grams array<long>")
-    return sets.join(classes.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"]).groupBy("cid").agg(F.first("grams").alias("grams"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose whole sets are as similar as asked."""
+    """Those pairs (a, b) of classes whose whole sets are as similar as asked. The two texts of a pair meet in one shuffle."""
     scratch = Scratch(docs.sparkSession, "ngram-verify")
-    pairs = scratch.save(pairs)
-    some = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", "rep", "n", "k1", "k2"))
-    sets = scratch.save(whole_sets(docs, some, words))
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    both = both.select("a", "b", common.cast("long").alias("common"), (F.size("ga") + F.size("gb")).cast("long").alias("sum"))
-    return scratch.save(both.where(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b"))
+    pairs = scratch.save(possible(pairs, classes, percent).withColumn("pair", F.monotonically_increasing_id()))
+    sides = pairs.select("pair", F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.collect_list("pair").alias("pairs"))
+    sides = sides.join(classes.select("cid", "rep", "n", "k1", "k2"), "cid").withColumn("rep", F.coalesce("rep", F.lit(-1)))
+    sides = scratch.save(sides)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            good = []
+            for pair, both in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sets = shingle_sets(hasher, pa.array([x["text"] for x in both], pa.large_string()), words)
+                k1, k2 = (k.to_pylist() for k in class_key(sets))
+                # rows of the same id with another text are no side of the pair
+                found = {(x["k1"], x["k2"]): s for x, s, u, v in zip(both, sets, k1, k2, strict=True) if (x["k1"], x["k2"]) == (u, v)}
+                a, b = found.values()
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    good.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["pair"])
+
+    texts = docs.join(checked_broadcast(sides, BROADCAST_IDS // 4), F.coalesce(docs["id"], F.lit(-1)) == sides["rep"])
+    texts = texts.select(F.explode("pairs").alias("pair"), F.struct("k1", "k2", text_or_empty("text").alias("text")).alias("side"))
+    met = texts.groupBy("pair").agg(F.collect_list("side").alias("both"))
+    return scratch.save(pairs.join(met.mapInArrow(run, "pair long"), "pair").select("a", "b"))
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -147,7 +181,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = scratch.save(profiles(docs, words, percent, bucket_levels(docs.select("text"), words)))
 
-    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"))
+    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()))
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"))
     members = scratch.save(classes.select("cid", "n", "ph").join(groups, ["n", "ph"]).select("cid", "gid", "n"))
@@ -162,7 +196,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     beside = posted.select("gid", "n", F.lag("gid").over(near).alias("other"), F.lag("n").over(near).alias("other_n"))
     beside = beside.where(100 * F.col("other_n") >= percent * F.col("n")).groupBy("gid", "other").agg(F.count("*").alias("shared"))
     beside = beside.groupBy("gid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-    first = members.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b")).union(beside.select("gid", "other"))
+    before = members.withColumn("before", F.lag("cid").over(W.partitionBy("gid").orderBy("cid"))).where("before is not null")
+    first = before.select(F.col("before").alias("a"), F.col("cid").alias("b")).union(beside.select("gid", "other"))
     links = verified(first, docs, classes, words, percent)
 
     roots = scratch.save(connected_components(links))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinegrid.llm import exact_dedup, html_extract, mixing, ngram_join, pii, quality, sentencepiece_codec, url_filter
+from cinegrid.llm import exact_dedup, html_extract, mixing, ngram_join, pii, quality, sentencepiece_codec, substring_dedup, url_filter
 from cinegrid.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality": op6_quality,
     "op8_html_extract": op8_html_extract,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE: dict[str, str] = {
