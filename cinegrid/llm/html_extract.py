@@ -75,9 +75,9 @@ _WORDS = frozenset(WORDS)
 _KINDS = {**dict.fromkeys(CONTAINERS, 1), **dict.fromkeys(LEAVES, 2)}
 
 
-def parse(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
-    """Blocks of a page that are not noise by name, (node, in main: 0 or 1, text), and its elements' (node, children's hash)."""
-    blocks: list[tuple[int, int, str]] = []
+def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int]]]:
+    """Blocks of a page that are not noise by name, (node, in main: 0 or 1, text, parent's node), and its elements' (node, children's hash)."""
+    blocks: list[tuple[int, int, str, int]] = []
     elements: list[tuple[int, int]] = []
     # open containers: name, path hash, noise, in main, children
     stack: list[list] = [["", 0, False, 0, []]]
@@ -90,7 +90,7 @@ def parse(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]
             joined = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if joined and not top[2] and not leaf_noise:
-                blocks.append((hash64(f"{top[1]}/{leaf}"), top[3], joined))
+                blocks.append((hash64(f"{top[1]}/{leaf}"), top[3], joined, top[1]))
         leaf, leaf_noise = "", False
 
     def pop() -> None:
@@ -140,39 +140,38 @@ def parse(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]
     return blocks, elements
 
 
-def main_text(blocks: list[tuple[int, int, str]], low: frozenset[int] | set[int]) -> str:
+def main_text(blocks: list[tuple[int, int, str, int]], low: frozenset[int] | set[int]) -> str:
     inside = any(b[1] for b in blocks)
     return "\n".join(b[2] for b in blocks if b[0] not in low and (b[1] or not inside))
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page with a host: host, digest of the page, and its (kind, node, inside, content hash)."""
+    """For each page with a host: host, digest of the page, and its (kind, node, inside, content hash, parent node)."""
     for batch in batches:
         hosts, digests, nodes = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if host:
                 blocks, elements = parse(page or "")
-                parents = [{"kind": 1, "node": n, "inside": 0, "content": c} for n, c in elements]
+                parents = [{"kind": 1, "node": n, "inside": 0, "content": c, "parent": n} for n, c in elements]
                 hosts.append(host)
                 digests.append(hash64(page or ""))
-                nodes.append(parents + [{"kind": 0, "node": n, "inside": i, "content": hash64(t)} for n, i, t in blocks])
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("node", pa.int64()), ("inside", pa.int32()), ("content", pa.int64())]))
+                nodes.append(parents + [{"kind": 0, "node": n, "inside": i, "content": hash64(t), "parent": p} for n, i, t, p in blocks])
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("node", pa.int64()), ("inside", pa.int32()), ("content", pa.int64()), ("parent", pa.int64())]))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, kind)], names=["host", "page", "nodes"])
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """The style tree's unimportant nodes: host, low (array). pages: host, html."""
-    nodes = pages.mapInArrow(_nodes, "host string, page long, nodes array<struct<kind:int,node:bigint,inside:int,content:bigint>>")
+    nodes = pages.mapInArrow(_nodes, "host string, page long, nodes array<struct<kind:int,node:bigint,inside:int,content:bigint,parent:bigint>>")
     distinct = Scratch(pages.sparkSession, "style-tree").save(nodes.groupBy("host", "page").agg(F.first("nodes").alias("nodes")))
     sizes = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES_NEEDED)
-    seen = distinct.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.kind", "n.node", "n.inside", "n.content").agg(F.count("*").alias("c"))
+    seen = distinct.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.kind", "n.node", "n.inside", "n.parent", "n.content").agg(F.count("*").alias("c"))
     total = F.sum("c")
     entropy = (F.log(total) - F.sum(F.col("c") * F.log("c")) / total) / F.log(total)
-    stats = seen.groupBy("host", "kind", "node", "inside").agg(total.alias("n"), F.when(total > 1, entropy).otherwise(1.0).alias("entropy"))
+    stats = seen.groupBy("host", "kind", "node", "inside", "parent").agg(total.alias("n"), F.when(total > 1, entropy).otherwise(1.0).alias("entropy"))
     stats = stats.join(sizes, "host")
-    # the presentation entropy of the whole page's elements stands for a block's surroundings
-    shown = stats.where("kind = 1").groupBy("host").agg(F.avg("entropy").alias("shown"))
-    blocks = stats.where((F.col("kind") == 0) & (F.col("n") >= PAGES_NEEDED)).join(shown, "host", "left")
+    shown = stats.where("kind = 1").select("host", F.col("node").alias("parent"), F.col("entropy").alias("shown"))
+    blocks = stats.where((F.col("kind") == 0) & (F.col("n") >= PAGES_NEEDED)).join(shown, ["host", "parent"], "left")
     importance = PRESENTATION_SHARE * F.coalesce("shown", F.lit(1.0)) + (1 - PRESENTATION_SHARE) * F.col("entropy")
     low = blocks.where(importance <= F.when(F.col("inside") == 1, LOW_INSIDE).otherwise(LOW_OUTSIDE))
     return low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"))

@@ -23,6 +23,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,8 +74,16 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
 class Encoder:
     def __init__(self, v: Vocabulary):
         self.v, self.pieces = v, v.pieces
-        self.prefixes = {p[:k] for p in v.pieces for k in range(1, len(p) + 1)}
+        #: every string that begins a piece, and whether it is one
+        self.starts = {p[:k]: False for p in v.pieces for k in range(1, len(p) + 1)} | dict.fromkeys(v.pieces, True)
         self.longest = max(map(len, v.pieces))
+        #: the pieces as a tree: for each character what follows and the piece that ends there
+        self.tree: dict[str, list] = {}
+        for p in v.pieces:
+            at = self.tree
+            for c in p[:-1]:
+                at = at.setdefault(c, [{}, None])[0]
+            at.setdefault(p[-1], [{}, None])[1] = p
         known = sorted({c for p in v.pieces for c in p} - {MARK})
         inside = "".join(map(re.escape, known))
         crossing = any(MARK in p.lstrip(MARK) for p in v.pieces)
@@ -83,10 +92,12 @@ class Encoder:
         self.lost = min(s for _, s in v.pieces.values()) - 10.0
         self.memory: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.rank = {p: r for r, (p, _) in enumerate(sorted(v.pieces.items(), key=lambda kv: (-kv[1][1], kv[1][0])))}
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short string: the best-scored neighbours first, of equals the leftmost."""
-        parts, pieces = list(text), self.pieces
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str]]:
+        """BPE of a short string, the best-scored neighbours first, of equals the leftmost; and the last two that were merged."""
+        parts, pieces, last = list(text), self.pieces, ("", "")
         while len(parts) > 1:
             best, at = -math.inf, -1
             for i in range(len(parts) - 1):
@@ -95,21 +106,92 @@ class Encoder:
                     best, at = hit[1], i
             if at < 0:
                 break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, last
+
+    def parts(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes a piece; None if merging its characters does not end in it."""
+        found = self.halves.get(piece, 0)
+        if found == 0:
+            whole, last = self.merged(piece)
+            found = self.halves[piece] = last if whole == [piece] else None
+        return found
 
     def fits(self, before: str, piece: str) -> bool:
+        """Whether merging the characters of both gives just these two pieces again."""
         key = (before, piece)
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            found = self.pairs[key] = self._fits(before, piece)
         return found
 
+    def _fits(self, x: str, y: str) -> bool:
+        if len(y) > 1 and self.parts(y) is None:
+            return False
+        if not x:
+            return True
+        if MARK * 2 in x + y:  # runs of marks may be pieces of equal score
+            return self.merged(x + y)[0] == [x, y]
+        # undo merges, the latest first; none across the boundary may have been due before the merge just undone
+        rank, limit = self.rank, math.inf
+        while True:
+            across = rank.get(x + y)
+            if across is not None and across < limit:
+                return False
+            of_x, of_y = rank.get(x, -1) if len(x) > 1 else -1, rank.get(y, -1) if len(y) > 1 else -1
+            if of_x > of_y:
+                limit, x = of_x, self.parts(x)[1]
+            elif of_y >= 0:
+                limit, y = of_y + 1, self.parts(y)[0]  # of equal merges the left one comes first
+            else:
+                return True
+
+    def from_here(self, text: str, i: int) -> list[str]:
+        """The pieces that begin at i, the longest last; at least the character itself."""
+        out, step = [], self.tree
+        for end in range(i, len(text)):
+            node = step.get(text[end])
+            if node is None:
+                break
+            step, piece = node
+            if piece:
+                out.append(piece)
+        return out if out and len(out[0]) == 1 else [text[i], *out]
+
+    def short_bpe(self, text: str) -> list[str]:
+        """The trellis of a BPE vocabulary for a stretch that is shorter than a window, longest pieces first.
+
+        A boundary has one surviving path, so one that led nowhere before need not be entered again.
+        """
+        pairs, n, i, before = self.pairs, len(text), 0, ""
+        entered, path, open_ = bytearray(n + 1), [], [self.from_here(text, 0)]
+        while True:
+            ahead = open_[-1]
+            while ahead:
+                part = ahead.pop()
+                end = i + len(part)
+                if entered[end]:
+                    continue
+                fits = pairs.get((before, part))
+                if fits or fits is None and self.fits(before, part):
+                    entered[end] = 1
+                    path.append(part)
+                    if end == n:
+                        return path
+                    i, before = end, part
+                    open_.append(self.from_here(text, i))
+                    break
+            else:
+                open_.pop()
+                i -= len(path.pop())
+                before = path[-1] if path else ""
+
     def trellis(self, text: str) -> Iterator[str]:
         """Pieces of a stretch of known characters, given out as soon as they are final."""
-        pieces, prefixes, longest, bpe, n = self.pieces, self.prefixes, self.longest, self.v.kind == BPE, len(text)
+        pieces, starts, longest, bpe, n = self.pieces, self.starts, self.longest, self.v.kind == BPE, len(text)
         score, last = {0: 0.0}, {0: ""}
         base = 0
 
@@ -125,7 +207,7 @@ class Encoder:
             if before is None:
                 continue
             end = i + 1
-            while end <= n and (part := text[i:end]) in prefixes:
+            while end <= n and (part := text[i:end]) in starts:
                 hit = pieces.get(part)
                 if bpe:
                     if end not in last and (hit or end == i + 1) and self.fits(before, part):
@@ -154,7 +236,7 @@ class Encoder:
         if stretch[0] not in self.known:
             return [self.v.bytes_[b] for b in stretch.encode()] if self.v.bytes_ else [self.v.unknown]
         out: list[int] = []
-        for p in self.trellis(stretch):
+        for p in self.short_bpe(stretch) if self.v.kind == BPE and len(stretch) <= REMEMBERED_CHARS else self.trellis(stretch):
             hit = self.pieces.get(p)
             out += [hit[0]] if hit else [self.v.bytes_[b] for b in p.encode()] if self.v.bytes_ else [self.v.unknown]
         return out
@@ -163,28 +245,32 @@ class Encoder:
         if not text:
             return []
         text = text.replace(" ", MARK)
-        memory, out = self.memory, []
-        for s in self.stretch.findall(MARK + text if self.v.prefix else text):
-            ids = memory.get(s)
-            if ids is None:
-                ids = self.one(s)
-                if len(s) <= REMEMBERED_CHARS:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[s] = ids
-            out += ids
-        return out
-
-
-def decode_ids(v: Vocabulary, ids: list[int]) -> str:
-    byte_of, texts, unknown = v.byte_of, v.texts, v.unknown
-    if not byte_of.keys().isdisjoint(ids):
-        raw = b"".join(bytes((byte_of[i],)) if i in byte_of else b" \xe2\x81\x87 " if i == unknown else texts[i].encode() for i in ids)
-        text = raw.decode("utf-8", "replace")
-    else:
-        text = "".join([" ⁇ " if i == unknown else texts[i] for i in ids])
-    text = text.replace(MARK, " ")
-    return text[1:] if v.prefix and text.startswith(" ") else text
+        memory = self.memory
+        stretches = self.stretch.findall(MARK + text if self.v.prefix else text)
+        found = list(map(memory.get, stretches))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    s = stretches[i]
+                    ids = found[i] = memory.get(s) or self.one(s)
+                    if len(s) <= REMEMBERED_CHARS:
+                        if len(memory) >= REMEMBERED:
+                            memory.clear()
+                        memory[s] = ids
+        return list(chain.from_iterable(found))
+
+
+def decoder(v: Vocabulary) -> Callable[[list[int]], str]:
+    raw = [t.encode() for t in v.texts]
+    raw[v.unknown] = " ⁇ ".encode()
+    for i, b in v.byte_of.items():
+        raw[i] = bytes((b,))
+
+    def decode_ids(ids: list[int]) -> str:
+        text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if v.prefix and text.startswith(" ") else text
+
+    return decode_ids
 
 
 def _mapper(df: DataFrame, broadcast, source: str, target: str, kind: pa.DataType, make: Callable) -> Callable:
@@ -216,7 +302,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: Voca
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: Vocabulary | None = None) -> DataFrame:
-    return _apply(df, vocabulary or load_vocabulary(), ids, text, "string", pa.string(), lambda v: lambda i: decode_ids(v, i or []))
+    return _apply(df, vocabulary or load_vocabulary(), ids, text, "string", pa.string(), lambda v: (lambda of: lambda i: of(i or []))(decoder(v)))
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
