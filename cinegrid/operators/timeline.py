@@ -75,3 +75,66 @@ def frames(held: DataFrame, segment: str) -> DataFrame:
     """One row for each output frame of each segment; linear in the output, no range join."""
     n = F.explode(F.sequence("sample_from", F.col("sample_to") - 1))
     return held.select(segment, n.alias("local"), "presentation")
+
+
+def segment_starts(df: DataFrame, order: str, count: str) -> DataFrame:
+    """Adds start, the number of frames in all segments before.
+
+    Counts are summed within ranges of the order key first, so only one row a range meets in the last, small window.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    within = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    local = ranged.withColumn("_before", F.coalesce(F.sum(count).over(within), long(0)))
+    totals = ranged.groupBy("_part").agg(F.sum(count).alias("_total"))
+    base = totals.withColumn("_base", F.coalesce(F.sum("_total").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), long(0)))
+    out = local.join(F.broadcast(base.select("_part", "_base")), "_part")  # one row a partition
+    return out.withColumn("start", F.col("_base") + F.col("_before")).drop("_part", "_base", "_before", "_total")
+
+
+BUCKET = 4096
+
+
+def resolve(asked: DataFrame, segments: DataFrame, n: str, segment: str) -> DataFrame:
+    """The segment and local frame of each asked frame number, by an equi-join on buckets of BUCKET frames; numbers out of range have none."""
+    last = F.col("start") + F.col("count") - 1
+    spread = segments.withColumn("_b", F.explode(F.sequence(int_div(F.col("start"), BUCKET), int_div(last, BUCKET))))
+    met = asked.withColumn("_b", int_div(F.col(n).cast("bigint"), BUCKET)).join(spread, "_b")
+    return met.where((F.col(n) >= F.col("start")) & (F.col(n) <= last)).withColumn("local", F.col(n) - F.col("start")).drop("_b")
+
+
+def gif_delay(centiseconds: Column) -> Column:
+    return centiseconds.cast("bigint") * long(10_000)
+
+
+def webp_delay(milliseconds: Column) -> Column:
+    return milliseconds.cast("bigint") * long(1_000)
+
+
+def apng_delay(num: Column, den: Column) -> Column:
+    """Microseconds of a num / den delay; a denominator of 0 means hundredths."""
+    d = F.when(den == 0, 100).otherwise(den).cast("bigint")
+    return int_div(num.cast("bigint") * long(1_000_000), d)
+
+
+def composed(df: DataFrame, track: str, order: str, duration: str, offset: str) -> DataFrame:
+    """Presentation instants of coded pictures: decode time plus offset, never negative; a picture lasts until the next one.
+
+    Instants that go back are refused.
+    """
+    w = W.partitionBy(track).orderBy(order)
+    dts = F.coalesce(F.sum(duration).over(w.rowsBetween(W.unboundedPreceding, -1)), long(0))
+    shown = F.sum(duration).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    d = df.withColumn("_shown", shown).withColumn("instant", F.greatest(long(0), dts + F.col(offset)))
+    back = F.lag("instant").over(w) > F.col("instant")
+    d = d.withColumn("instant", F.when(back, F.raise_error(F.lit("composition goes back in time"))).otherwise(F.col("instant")).cast("bigint"))
+    until = F.least(F.coalesce(F.lead("instant").over(w), F.col("_shown")), F.col("_shown"))
+    return d.select(track, order, "instant", F.greatest(long(0), until - F.col("instant")).alias("duration"))
+
+
+def capped(df: DataFrame, track: str, order: str, duration: str, shown: str) -> DataFrame:
+    """A timeline that ends after `shown` units: later pictures go, the last one is cut."""
+    w = W.partitionBy(track).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    d = df.withColumn("_from", F.coalesce(F.sum(duration).over(w), long(0))).where(F.col("_from") < F.col(shown))
+    return d.withColumn(duration, F.least(F.col(duration), F.col(shown) - F.col("_from"))).drop("_from")

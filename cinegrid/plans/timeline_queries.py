@@ -48,3 +48,57 @@ ORACLE = {
     "timeline_samples": f"WITH {SAMPLES_CTE} SELECT user_id, presentation, duration, tick, count FROM s",
     "timeline_frames": f"WITH {SAMPLES_CTE} SELECT user_id, unnest(range(f, t)) AS n, presentation FROM h WHERE f < t",
 }
+
+
+def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = timeline_samples(spark, sf_dir).groupBy("user_id").agg(F.first("count").alias("count"))
+    return T.segment_starts(s, "user_id", "count")
+
+
+def resolve_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1000 frames of the concatenation, asked for once for each order line: which user and local frame they show."""
+    asked = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 50000).alias("n"))
+    return T.resolve(asked, segment_table(spark, sf_dir), "n", "user_id").select("l_orderkey", "l_linenumber", "n", "user_id", "local")
+
+
+def gif_webp_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part")
+    return p.select("p_partkey", T.gif_delay(F.col("p_size")).alias("gif_us"), T.webp_delay(F.col("p_size")).alias("webp_us"), T.apng_delay(F.col("p_size"), F.col("p_partkey") % 5 * 25).alias("apng_us"))
+
+
+#: Line numbers repeat within an order, so lines are numbered anew.
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+    return load(spark, sf_dir, "lineitem").withColumn("pos", pos)
+
+
+def composition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as coded pictures: quantity is the duration, the tax shifts the instant within it."""
+    li = numbered_lines(spark, sf_dir).select("l_orderkey", "pos", F.col("l_quantity").cast("long").alias("duration"), F.floor(F.col("l_tax") * 10).cast("long").alias("offset"))
+    return T.composed(li, "l_orderkey", "pos", "duration", "offset")
+
+
+def edit_list_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's timeline shown for half its length only."""
+    s = timeline_samples(spark, sf_dir)
+    return T.capped(s.withColumn("shown", T.int_div(F.sum("duration").over(W.partitionBy("user_id")), 2)), "user_id", "presentation", "duration", "shown").select("user_id", "presentation", "duration")
+
+
+QUERIES |= {"segment_table": segment_table, "resolve_frames": resolve_frames, "gif_webp_delays": gif_webp_delays, "composition_order": composition_order, "edit_list_cap": edit_list_cap}
+POS_SQL = f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS INTEGER)"
+SEGMENTS = f"{SAMPLES_CTE}, g AS (SELECT user_id, max(count) AS count FROM s GROUP BY user_id), seg AS (SELECT user_id, count, CAST(coalesce(sum(count) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM g)"
+ORACLE |= {
+    "segment_table": f"WITH {SEGMENTS} SELECT user_id, count, start FROM seg",
+    "resolve_frames": f"WITH {SEGMENTS}, r AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 50000 AS n FROM lineitem) SELECT l_orderkey, l_linenumber, n, user_id, n - start AS local FROM r ASOF JOIN seg ON r.n >= seg.start WHERE n < start + count",
+    "gif_webp_delays": "SELECT p_partkey, p_size::BIGINT * 10000 AS gif_us, p_size::BIGINT * 1000 AS webp_us, p_size::BIGINT * 1000000 // CASE WHEN p_partkey % 5 = 0 THEN 100 ELSE p_partkey % 5 * 25 END AS apng_us FROM part",
+    "composition_order": f"""WITH a AS (SELECT l_orderkey, {POS_SQL} AS pos, CAST(l_quantity AS BIGINT) AS d, CAST(floor(l_tax * 10) AS BIGINT) AS o FROM lineitem),
+b AS (SELECT *, CAST(coalesce(sum(d) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts, CAST(sum(d) OVER (PARTITION BY l_orderkey) AS BIGINT) AS shown FROM a),
+c AS (SELECT *, greatest(0, dts + o) AS instant FROM b)
+SELECT l_orderkey, pos, instant, greatest(0, least(coalesce(lead(instant) OVER (PARTITION BY l_orderkey ORDER BY pos), shown), shown) - instant) AS duration FROM c""",
+    "edit_list_cap": f"""WITH {SAMPLES_CTE}, x AS (SELECT user_id, presentation, duration, CAST(sum(duration) OVER (PARTITION BY user_id) AS BIGINT) // 2 AS shown,
+CAST(coalesce(sum(duration) OVER (PARTITION BY user_id ORDER BY presentation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM s)
+SELECT user_id, presentation, least(duration, shown - f) AS duration FROM x WHERE f < shown""",
+}
