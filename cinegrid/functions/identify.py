@@ -50,11 +50,8 @@ def from_extension(path: Column) -> Column:
 def little_endian(data: Column, at: int, size: int) -> Column:
     """Unsigned little-endian number at a byte offset; null where the bytes end before."""
     piece = F.substring(data, at + 1, size)
-    return F.when(F.length(piece) == size, F.conv(F.hex(_reversed(data, at, size)), 16, 10).cast("bigint"))
-
-
-def _reversed(data: Column, at: int, size: int) -> Column:
-    return F.concat(*[F.substring(data, at + i, 1) for i in range(size, 0, -1)])
+    swapped = F.concat(*[F.substring(data, at + i, 1) for i in range(size, 0, -1)])
+    return F.when(F.length(piece) == size, F.conv(F.hex(swapped), 16, 10).cast("bigint"))
 
 
 def is_bare_dib(head: Column) -> Column:

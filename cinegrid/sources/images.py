@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrid.functions import identify as I
-from cinegrid.functions.raster import output_size
 from cinegrid.operators import validate as V
 from cinegrid.operators.timeline import reduce_fps
 from cinegrid.sources import codecs
@@ -137,5 +136,3 @@ def read_alpha(spark: SparkSession, files: list[str], **arguments) -> tuple[Data
     depth = F.when(F.col("format").isin("Gray16", "RGB48"), "Gray16").otherwise("Gray8")
     return frames.drop("alpha"), frames.select("n", "file_index", "path", depth.alias("format"), "width", "height", F.array("alpha").alias("planes"))
 
-
-__all__ = ["check_arguments", "file_table", "output_size", "probe", "read", "read_alpha"]
