@@ -3,8 +3,8 @@
 Equal vectors are one node, so copies cost nothing and tie as they should. The neighbour graph (DEGREE neighbours a node) starts
 from blocks: nodes go to their nearest pivots (a sample of at most PIVOTS vectors), clusters are cut into blocks of about
 BLOCK nodes by hash, and each block finds its nodes' neighbours. NN-descent then joins, around every node, the nodes that
-it points to and that point to it: all of them meet, in chunks where a hub has many, and each keeps what beats its list.
-ROUNDS of that, then the queries walk the graph: the best WIDTH unvisited candidates of a query are expanded by the graph's
+it points to and that point to it: all of them meet, in chunks where a hub has many, and each keeps what beats its list,
+until a round gains little. Then the queries walk the graph: the best WIDTH unvisited candidates of a query are expanded by the graph's
 links in both directions, STEPS times. Vectors travel as 16-bit floats; the last candidates are scored exactly, in double
 precision on the original vectors.
 
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from cinegrid.llm.common import Scratch
 
 DEGREE = 24
-PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 3, 512
-ROUNDS, CHUNK = 3, 64
+PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 8, 1024
+#: Nodes a pivot gets on average while PIVOTS allows it, and the neighbours that each block names.
+PIVOT_NODES, BLOCK_DEGREE = 256, 12
+#: NN-descent ends when a round raises the sum of the lists' similarities by less than GAIN of it, or after ROUNDS.
+ROUNDS, GAIN, CHUNK = 8, 0.004, 64
 STEPS, WIDTH, BEAM = 3, 24, 96
 FINAL = 24
 SALTS = 64
@@ -87,8 +90,9 @@ def smallest_ids(vectors: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 
 def block_lists(nodes: DataFrame, count: int, seed: int, scratch: Scratch) -> DataFrame:
     """Neighbour lists from one pass of blocks. nodes: node, unit."""
-    wanted = max(1, min(PIVOTS, count // BLOCK * 2))
+    wanted = max(1, min(PIVOTS, count // PIVOT_NODES))
     pivots = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(wanted).select("unit").collect()  # PIVOTS vectors at most
+    many = count > BLOCK
     shared = nodes.sparkSession.sparkContext.broadcast(_rows([bytes(p.unit) for p in pivots]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +111,7 @@ def block_lists(nodes: DataFrame, count: int, seed: int, scratch: Scratch) -> Da
                 ids, x = np.array([m["node"] for m in members]), _rows([m["unit"] for m in members])
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
-                k = min(DEGREE, len(ids) - 1)
+                k = min(BLOCK_DEGREE if many else DEGREE, len(ids) - 1)
                 if k > 0:
                     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
                     yield _lists(ids.tolist(), list(ids[top]), list(np.take_along_axis(sims, top, 1)))
@@ -174,20 +178,22 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         one = block_lists(nodes, count, seed, scratch)
         lists = one if lists is None else lists.unionByName(one)
     graph = scratch.save(merged(lists, DEGREE))
+    total = 0.0
     for _ in range(ROUNDS if count > BLOCK else 0):
         found = descend(graph, nodes)
         newer = scratch.save(merged(graph.unionByName(found), DEGREE))
         scratch.drop(graph)
         graph = newer
+        now = graph.agg(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x + 1))).collect()[0][0] or 0.0
+        if now - total < GAIN * now:
+            break
+        total = now
     return graph
 
 
 def search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """starts: node. For each, its BEAM best candidates found by greedy search: node, nbrs, sims."""
 
-    def links_of(a: str, b: str) -> DataFrame:
-        return graph.select(F.col("node"), F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).select(F.col("node") if a == "node" else F.col("x.nbrs").alias("node"), F.struct(-F.col("x.sims"), F.col("x.nbrs") if b == "nbr" else F.col("node").alias("nbrs")).alias("e"))
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes_, nbrs, sims = [], [], []
@@ -201,8 +207,10 @@ def search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scrat
             yield _lists(nodes_, nbrs, sims)
 
     # links in both directions, the closest first; a hub's list stays short, its other links are found from their own ends
-    both = links_of("node", "nbr").union(links_of("nbr", "node"))
-    near = scratch.save(both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("e")), 1, 2 * DEGREE).alias("e")).select(F.col("node").alias("u"), F.col("e.nbrs").alias("links")))
+    ahead = graph.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).select("node", F.col("x.nbrs").alias("nbr"), F.col("x.sims").alias("sim"))
+    both = ahead.union(ahead.select("nbr", "node", "sim")).withColumn("link", F.struct(-F.col("sim"), "nbr"))
+    near = both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("link")), 1, 2 * DEGREE).alias("e"))
+    near = scratch.save(near.select(F.col("node").alias("u"), F.col("e.nbr").alias("links")))
     units = nodes.select("node", "unit")
     beam = scratch.save(starts.join(graph, "node").select("node", "nbrs", "sims", F.array().cast("array<bigint>").alias("visited")))
     for _ in range(STEPS):

@@ -48,20 +48,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most most_rows rows; else df itself, so that the join shuffles.
 
     df must be cheap to count (a saved table). Both plans give the same rows.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def text_or_empty(name: str) -> Column:

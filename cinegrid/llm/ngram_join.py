@@ -8,7 +8,8 @@ bitmap filter: each set keeps a parity bitmap of about two bits a shingle, and t
 the overlap from above, so few pairs that are no links go on. The rest are verified on whole texts, in two rounds:
 
 1. A class is compared with the class before it in its group, a group with the list neighbour that shares most prefix
-   shingles. That links most copies, however many there are, with about one comparison each.
+   shingles and with the group that leads most of its lists (the one that has fewest rarer shingles, so most likely the
+   original of a copy). That links most copies, however many there are, with about two comparisons each.
 2. Lists that hold a single component are done, for all their links would stay within it. In the others every two groups of
    different components (and of fitting sizes and positions) are a candidate, expanded to their classes and verified. So
    no link between different components is missed, and no group of copies is expanded into all its pairs.
@@ -36,6 +37,8 @@ from cinegrid.llm.wordhash import WordHasher, mix, shingles, slices
 
 BUCKETS, BLOCK = 1 << 20, 1 << 12
 SALTS = 64
+#: Numbers of 64 bits in the sketch that the join of the lists itself compares.
+SKETCH_LONGS = 8
 #: Ids are broadcast up to so many (8 bytes each), and candidate documents with their pairs up to a quarter of that; beyond,
 #: the joins shuffle.
 BROADCAST_IDS = 2_000_000
@@ -55,7 +58,7 @@ def class_key(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
 
 def parity_bitmap(s: np.ndarray) -> bytes:
     """Bit i is the parity of the number of shingles that hash to i; a power of two of at least two bits a shingle."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    bits = max(64 * SKETCH_LONGS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64 * SKETCH_LONGS
     count = np.bincount((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
 
@@ -70,6 +73,14 @@ def most_common(n_a: int, n_b: int, a: bytes, b: bytes) -> int:
     return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
+def sketch_of(bitmap: bytes) -> list[int]:
+    """A parity bitmap folded to at most SKETCH_LONGS numbers, for filtering inside a join."""
+    x = np.frombuffer(bitmap, np.uint8)
+    while len(x) > 8 * SKETCH_LONGS:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return np.frombuffer(x.tobytes(), np.int64).tolist()
+
+
 def bucket_levels(docs: DataFrame, words: int) -> np.ndarray:
     """For each hash bucket, a level that grows with the number of documents' shingles in it. docs: text."""
 
@@ -130,6 +141,11 @@ def profiles(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> D
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, ph long, prefix array<long>, bitmap binary")
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch_of(b) for b in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["gid", "sketch"])
+
+
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes whose bitmaps leave room for the similarity."""
 
@@ -197,18 +213,28 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     beside = beside.where(100 * F.col("other_n") >= percent * F.col("n")).groupBy("gid", "other").agg(F.count("*").alias("shared"))
     beside = beside.groupBy("gid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
     before = members.withColumn("before", F.lag("cid").over(W.partitionBy("gid").orderBy("cid"))).where("before is not null")
-    first = before.select(F.col("before").alias("a"), F.col("cid").alias("b")).union(beside.select("gid", "other"))
+    lead = posted.groupBy("token").agg(F.min_by(F.struct("gid", "n"), F.struct("pos", "gid")).alias("lead"))
+    led = posted.join(lead, "token").where((F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
+    led = led.groupBy("gid", F.col("lead.gid").alias("other")).agg(F.count("*").alias("lists")).groupBy("gid").agg(F.max_by("other", F.struct("lists", "other")).alias("other"))
+    stars = beside.select("gid", "other").union(led).select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b"))
+    first = before.select(F.col("before").alias("a"), F.col("cid").alias("b")).union(stars).distinct()
     links = verified(first, docs, classes, words, percent)
 
     roots = scratch.save(connected_components(links))
     members = scratch.save(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")))
     span = members.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_lists = posted.join(span, "gid").withColumn("mixed", F.min("low").over(by_token) != F.max("high").over(by_token)).where("mixed").drop("mixed")
-    open_lists = scratch.save(open_lists)
+    # a group of one class carries its sketch into the join; for others nothing is ruled out there
+    single = members.groupBy("gid").agg(F.count("*").alias("k")).where("k = 1").select("gid")
+    sketches = classes.select(F.col("cid").alias("gid"), "bitmap").join(open_lists.select("gid").distinct(), "gid").join(single, "gid").mapInArrow(_sketches, "gid long, sketch array<long>")
+    open_lists = scratch.save(open_lists.join(sketches, "gid", "left"))
     a, b = open_lists.alias("a"), open_lists.alias("b")
     # what can still be common from these positions on must reach the overlap that the similarity asks for
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
     fitting = (F.col("a.gid") < F.col("b.gid")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * reach >= percent * (F.col("a.n") + F.col("b.n")))
+    differ = sum((F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+    total = F.col("a.n") + F.col("b.n")
+    fitting = fitting & F.coalesce((100 + percent) * (total - differ) >= 2 * percent * total, F.lit(True))
     apart = ~((F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & fitting & apart).select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct()
     pairs = pairs.union(span.where("low <> high").select("gid", "gid"))

@@ -21,19 +21,23 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The vocabulary's place unless the caller names another; read on the driver only, then broadcast.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A task remembers so many stretches of at most so many characters; longer ones go through the window.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+REMEMBERED, REMEMBERED_CHARS = 700_000, 48
 NORMAL, USER_DEFINED, BYTE, UNKNOWN = 1, 4, 6, 2
 UNIGRAM, BPE = 1, 2
 
@@ -273,36 +277,64 @@ def decoder(v: Vocabulary) -> Callable[[list[int]], str]:
     return decode_ids
 
 
-def _mapper(df: DataFrame, broadcast, source: str, target: str, kind: pa.DataType, make: Callable) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make(broadcast.value)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(source))
-            for at in range(0, len(column), 512):  # keeps the lists of ids small beside the texts
-                done = pa.array([work(x) for x in column.slice(at, 512).to_pylist()], kind)
-                part = batch.slice(at, 512)
-                names = [n for n in part.schema.names if n != target]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [done], names=[*names, target])
+#: So many texts are worked on at a time, which keeps their ids small beside the batch.
+TEXTS_AT_ONCE = 512
+
 
-    return run
+def _replace(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    names = [n for n in batch.schema.names if n != name]
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + [column], names=[*names, name])
 
 
-def _apply(df: DataFrame, vocabulary: Vocabulary, source: str, target: str, ddl: str, kind: pa.DataType, make: Callable) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary, whatever the input's size
-    schema = df.drop(target).withColumn(target, F.lit(None).cast(ddl)).schema
-    return df.mapInArrow(_mapper(df, shared, source, target, kind, make), schema)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches. Meanwhile the cycle collector rests: it would walk the remembered stretches again and again."""
+    import gc
+
+    gc.disable()
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                yield batch.slice(at, TEXTS_AT_ONCE)
+    finally:
+        gc.enable()
+
+
+def _with(df: DataFrame, target: str, ddl: str) -> StructType:
+    return df.drop(target).withColumn(target, F.lit(None).cast(ddl)).schema
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: Vocabulary | None = None) -> DataFrame:
-    def make(v: Vocabulary) -> Callable:
-        encoder = Encoder(v)
-        return lambda t: encoder.encode(t or "")
+    """df with the ids (array<int>) of a text column."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary())  # one vocabulary, whatever the input's size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for part in _parts(batches):
+            flat, ends = array("i"), [0]
+            for t in part.column(part.schema.get_field_index(text)).to_pylist():
+                flat.extend(encoder.encode(t or ""))
+                ends.append(len(flat))
+            yield _replace(part, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32())))
 
-    return _apply(df, vocabulary or load_vocabulary(), text, ids, "array<int>", pa.list_(pa.int32()), make)
+    return df.mapInArrow(run, _with(df, ids, "array<int>"))
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: Vocabulary | None = None) -> DataFrame:
-    return _apply(df, vocabulary or load_vocabulary(), ids, text, "string", pa.string(), lambda v: (lambda of: lambda i: of(i or []))(decoder(v)))
+    """df with the text of an ids column; null ids are no ids."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded = decoder(shared.value)
+        for part in _parts(batches):
+            column = part.column(part.schema.get_field_index(ids)).cast(pa.list_(pa.int32()))
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False).tolist(), pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+            texts, at = [], 0
+            for n in sizes:
+                texts.append(decoded(flat[at : at + n]))
+                at += n
+            yield _replace(part, text, pa.array(texts, pa.string()))
+
+    return df.mapInArrow(run, _with(df, text, "string"))
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:

@@ -117,8 +117,11 @@ def text_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, t long, words long")
 
 
-def paragraph_table(docs: DataFrame, bands: int) -> DataFrame:
-    """Paragraphs of every text that a task sees first: t, start, end, key, bands. Copies within a task are skipped."""
+def paragraph_table(docs: DataFrame, bands: int = 0) -> DataFrame:
+    """Paragraphs of every text that a task sees first: t, start, end, key; with bands: key and its band hashes only.
+
+    Copies of a text within a task are skipped. The bands are made by a second scan: hashing costs less than keeping them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
@@ -139,6 +142,10 @@ def paragraph_table(docs: DataFrame, bands: int) -> DataFrame:
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(w.hash * np.uint64(3) + np.uint64(1)), dtype=np.uint64)])
                 signed = np.add.reduceat(mix(gram + np.uint64(77)), spans)[::2]
                 key = mix(signed ^ mix(total[end] - total[start]) + (end - start).astype(np.uint64))
+                if not bands:
+                    at = w.first[w.text[start]]
+                    yield pa.RecordBatch.from_arrays([_long(t[w.text[start]]), _long(start - at), _long(end - at), _long(key)], names=["t", "start", "end", "key"])
+                    continue
                 found = []
                 for b in range(bands):
                     value = np.zeros(len(start), np.uint64)
@@ -148,13 +155,9 @@ def paragraph_table(docs: DataFrame, bands: int) -> DataFrame:
                     found.append(value)
                 flat = _long(np.stack(found, 1).reshape(-1))
                 offsets = pa.array(np.arange(len(start) + 1, dtype=np.int32) * bands)
-                at = w.first[w.text[start]]
-                yield pa.RecordBatch.from_arrays(
-                    [_long(t[w.text[start]]), _long(start - at), _long(end - at), _long(key), pa.ListArray.from_arrays(offsets, flat)],
-                    names=["t", "start", "end", "key", "bands"],
-                )
+                yield pa.RecordBatch.from_arrays([_long(key), pa.ListArray.from_arrays(offsets, flat)], names=["key", "bands"])
 
-    return docs.select("text").mapInArrow(run, "t long, start long, end long, key long, bands array<long>")
+    return docs.select("text").mapInArrow(run, "key long, bands array<long>" if bands else "t long, start long, end long, key long")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,15 +197,16 @@ def verified(pairs: DataFrame, docs: DataFrame, spots: DataFrame, percent: int)
 
 
 def clusters(docs: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """key, root for each paragraph content that is similar to another one. found: what `paragraph_table` gave, saved."""
+    """key, root for each paragraph content that is similar to another one. found: the paragraphs, saved."""
     scratch = Scratch(docs.sparkSession, "substring-bands")
     # few bands hold more than one content; their rows are all that goes on
     by_band = W.partitionBy("band")
-    listed = found.select("key", "t", "start", "end", F.explode("bands").alias("band"))
+    listed = paragraph_table(docs, tune_bands(percent)).select("key", F.explode("bands").alias("band"))
     listed = listed.withColumns({"lead": F.min("key").over(by_band), "top": F.max("key").over(by_band)}).where("lead <> top").drop("top")
     listed = scratch.save(listed)
     reps = texts.groupBy("t").agg(F.min("id").alias("rep"))
-    spots = listed.groupBy("key").agg(F.min(F.struct("t", "start", "end")).alias("s")).select("key", "s.*").join(reps, "t")
+    keys = scratch.save(listed.select("key").distinct())
+    spots = found.join(checked_broadcast(keys, BROADCAST_ROWS), "key").groupBy("key").agg(F.min(F.struct("t", "start", "end")).alias("s")).select("key", "s.*").join(reps, "t")
     spots = scratch.save(spots.withColumn("rep", F.coalesce("rep", F.lit(-1))))
     content = listed.select("band", "key", "lead").distinct()
     beside = content.withColumn("before", F.lag("key").over(by_band.orderBy("key")))
@@ -221,7 +225,7 @@ def clusters(docs: DataFrame, found: DataFrame, texts: DataFrame, percent: int)
 def passages_of_texts(docs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Repeated passages of each text: t, start, end (words) and its repeated paragraphs (start, end, cluster)."""
     scratch = Scratch(docs.sparkSession, "substring")
-    found = scratch.save(paragraph_table(docs, tune_bands(percent)))
+    found = scratch.save(paragraph_table(docs))
     roots = clusters(docs, found, texts, percent)
     spots = found.select("t", "start", "end", "key").join(checked_broadcast(roots, BROADCAST_ROWS), "key", "left")
     spots = spots.select("t", "start", "end", F.coalesce("root", "key").alias("cluster"))
