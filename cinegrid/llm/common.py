@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Rows that one task writes of an intermediate table whose size is known.
+ROWS_A_TASK = 8192
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,7 +36,11 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int = 0, each: int = ROWS_A_TASK) -> DataFrame:
+        """df, written and read again. With rows (about how many, or more): by one task for `each` of them, so that a small
+        table is not written in as many files as a shuffle has partitions."""
+        if rows:
+            df = df.coalesce(-(-rows // each))
         path = f"{self.root}/{len(self.paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -42,6 +42,8 @@ SKETCH_LONGS = 8
 #: Ids are broadcast up to so many (8 bytes each), and candidate documents with their pairs up to a quarter of that; beyond,
 #: the joins shuffle.
 BROADCAST_IDS = 2_000_000
+#: Pairs, with both texts, that one task compares.
+PAIRS_A_TASK = 512
 
 
 def shingle_sets(hasher: WordHasher, texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -113,7 +115,9 @@ def bucket_levels(docs: DataFrame, words: int) -> np.ndarray:
     total = np.zeros(BUCKETS, np.uint64)
     import zlib
 
-    for row in partial.groupBy("block").applyInArrow(add, ddl).collect():  # BUCKETS numbers, whatever the input's size
+    # at most SALTS pieces a block come from the first step: these tasks are enough for any input
+    whole = partial.coalesce(SALTS).groupBy("block").applyInArrow(add, ddl).coalesce(SALTS // 4)
+    for row in whole.collect():  # BUCKETS numbers, whatever the input's size
         total[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(row.counts), np.uint64)
     return np.minimum(255, 8 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
 
@@ -147,48 +151,50 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose bitmaps leave room for the similarity."""
+    """Those pairs (a, b) of classes whose bitmaps leave room for the similarity, with what `verified` needs of each class."""
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
+        return classes.select(F.col("cid").alias(name), F.struct(F.coalesce("rep", F.lit(-1)).alias("rep"), "k1", "k2").alias(f"of_{name}"), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb, ba, bb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b"))
             ok = [(100 + percent) * most_common(x, y, u, v) >= percent * (x + y) for x, y, u, v in zip(na, nb, ba, bb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
+    of = "struct<rep: long, k1: long, k2: long>"
+    return sized.select("a", "b", "of_a", "of_b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, f"a long, b long, of_a {of}, of_b {of}")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose whole sets are as similar as asked. The two texts of a pair meet in one shuffle."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose whole sets are as similar as asked. The two texts of a pair meet in one shuffle.
+
+    rows: the number of documents; it sets how many tasks write.
+    """
     scratch = Scratch(docs.sparkSession, "ngram-verify")
-    pairs = scratch.save(possible(pairs, classes, percent).withColumn("pair", F.monotonically_increasing_id()))
-    sides = pairs.select("pair", F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.collect_list("pair").alias("pairs"))
-    sides = sides.join(classes.select("cid", "rep", "n", "k1", "k2"), "cid").withColumn("rep", F.coalesce("rep", F.lit(-1)))
-    sides = scratch.save(sides)
+    pairs = scratch.save(possible(pairs, classes, percent), rows)
+    count = pairs.count()
+    sides = pairs.select("a", "b", F.explode(F.array("of_a", "of_b")).alias("of")).select("a", "b", "of.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             good = []
-            for pair, both in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for both in batch.column(2).to_pylist():
                 sets = shingle_sets(hasher, pa.array([x["text"] for x in both], pa.large_string()), words)
                 k1, k2 = (k.to_pylist() for k in class_key(sets))
                 # rows of the same id with another text are no side of the pair
                 found = {(x["k1"], x["k2"]): s for x, s, u, v in zip(both, sets, k1, k2, strict=True) if (x["k1"], x["k2"]) == (u, v)}
-                a, b = found.values()
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * common >= percent * (len(a) + len(b) - common):
-                    good.append(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["pair"])
+                one, other = found.values()
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                good.append(100 * common >= percent * (len(one) + len(other) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = docs.join(checked_broadcast(sides, BROADCAST_IDS // 4), F.coalesce(docs["id"], F.lit(-1)) == sides["rep"])
-    texts = texts.select(F.explode("pairs").alias("pair"), F.struct("k1", "k2", text_or_empty("text").alias("text")).alias("side"))
-    met = texts.groupBy("pair").agg(F.collect_list("side").alias("both"))
-    return scratch.save(pairs.join(met.mapInArrow(run, "pair long"), "pair").select("a", "b"))
+    wanted = F.broadcast(sides) if 2 * count <= BROADCAST_IDS // 4 else sides
+    texts = docs.join(wanted, F.coalesce(docs["id"], F.lit(-1)) == sides["rep"])
+    met = texts.groupBy("a", "b").agg(F.collect_list(F.struct("k1", "k2", text_or_empty("text").alias("text"))).alias("both"))
+    return scratch.save(met.mapInArrow(run, "a long, b long"), count, PAIRS_A_TASK)
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -198,15 +204,16 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = scratch.save(profiles(docs, words, percent, bucket_levels(docs.select("text"), words)))
 
     classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()))
+    count = rows.count()
+    classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), count)
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"))
-    members = scratch.save(classes.select("cid", "n", "ph").join(groups, ["n", "ph"]).select("cid", "gid", "n"))
+    members = scratch.save(classes.select("cid", "n", "ph").join(groups, ["n", "ph"]).select("cid", "gid", "n"), count)
 
     # inverted lists of the groups' leaders; a shingle that only one group has links nothing
     leaders = classes.join(members.where("cid = gid").select("cid"), "cid")
     posted = leaders.select(F.col("cid").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
     by_token = W.partitionBy("token")
-    posted = scratch.save(posted.withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"))
+    posted = scratch.save(posted.withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"), 8 * count)
 
     near = W.partitionBy("token").orderBy("n", "gid")
     beside = posted.select("gid", "n", F.lag("gid").over(near).alias("other"), F.lag("n").over(near).alias("other_n"))
@@ -218,16 +225,16 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     led = led.groupBy("gid", F.col("lead.gid").alias("other")).agg(F.count("*").alias("lists")).groupBy("gid").agg(F.max_by("other", F.struct("lists", "other")).alias("other"))
     stars = beside.select("gid", "other").union(led).select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b"))
     first = before.select(F.col("before").alias("a"), F.col("cid").alias("b")).union(stars).distinct()
-    links = verified(first, docs, classes, words, percent)
+    links = verified(first, docs, classes, words, percent, count)
 
     roots = scratch.save(connected_components(links))
-    members = scratch.save(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")))
-    span = members.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    members = scratch.save(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), count)
+    span = members.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") == 1).alias("single"))
     open_lists = posted.join(span, "gid").withColumn("mixed", F.min("low").over(by_token) != F.max("high").over(by_token)).where("mixed").drop("mixed")
     # a group of one class carries its sketch into the join; for others nothing is ruled out there
-    single = members.groupBy("gid").agg(F.count("*").alias("k")).where("k = 1").select("gid")
-    sketches = classes.select(F.col("cid").alias("gid"), "bitmap").join(open_lists.select("gid").distinct(), "gid").join(single, "gid").mapInArrow(_sketches, "gid long, sketch array<long>")
-    open_lists = scratch.save(open_lists.join(sketches, "gid", "left"))
+    sketches = classes.select(F.col("cid").alias("gid"), "bitmap").mapInArrow(_sketches, "gid long, sketch array<long>")
+    open_lists = open_lists.join(sketches, "gid").withColumn("sketch", F.when(F.col("single"), F.col("sketch"))).drop("single")
+    open_lists = scratch.save(open_lists, 8 * count)
     a, b = open_lists.alias("a"), open_lists.alias("b")
     # what can still be common from these positions on must reach the overlap that the similarity asks for
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
@@ -241,12 +248,16 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     left = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("root").alias("ra"))
     right = members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("root").alias("rb"))
     second = pairs.join(left, "ga").join(right, "gb").where("ra <> rb").select("a", "b")
-    more = verified(second, docs, classes, words, percent)
-
-    roots = scratch.save(connected_components(links.union(more)))
-    named = classes.select("n", "k1", "k2", "cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    more = verified(second, docs, classes, words, percent, count)
+
+    # the new links join components of the first round: only those are gone over again
+    root_of = members.select(F.col("cid"), "root")
+    joined = more.join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    joined = connected_components(scratch.save(joined, more.count() or 1)).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    roots = members.join(joined, "root", "left").select("cid", F.coalesce("over", "root").alias("root"))
+    named = classes.select("n", "k1", "k2", "cid", "rep").join(roots, "cid")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = scratch.save(named.join(smallest, "root").select("n", "k1", "k2", "component_id"))
+    named = scratch.save(named.join(smallest, "root").select("n", "k1", "k2", "component_id"), count)
     out = rows.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
