@@ -47,7 +47,7 @@ def features(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     passage = first[w.text] + within // PASSAGE_WORDS
     size = np.bincount(passage, minlength=first[-1]).astype(np.float32)
     length = (w.end - w.start).astype(np.float32)
-    total = np.maximum(np.bincount(passage, length, first[-1]), 1)
+    total = np.bincount(passage, length, first[-1])
 
     def share(per_word: np.ndarray, of: np.ndarray) -> np.ndarray:
         return np.bincount(passage, per_word, first[-1]) / np.maximum(of, 1)
