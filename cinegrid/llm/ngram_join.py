@@ -16,9 +16,9 @@ the overlap from above, so few pairs that are no links go on. The rest are verif
 
 Words are what is between white space, A-Z lower-cased. A text with fewer words than a shingle has its whole sequence as
 its one shingle; a null text or one without words has an empty set, is linked with nothing and is its own component.
-Shingles are compared by 64-bit hashes, classes by 128 bits and size. Repeated rows and ids are fine: each row is answered,
-and a component's id is its smallest document id, null only if all are. An empty table gives an empty result; other
-columns are ignored.
+Shingles are compared by 64-bit hashes, classes by 128 bits and size. Rows are told apart by a number of their own, fixed by
+saving the table with it, so repeated and null ids are fine: each row is answered, and a component's id, which is only
+reported, is its smallest document id, null only if all are. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def bucket_levels(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """docs: id, text. For each row its set's size, class key and prefix, the rarest shingles first."""
+    """docs: row, id, text. For each row its set's size, class key and prefix, the rarest shingles first."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +140,10 @@ def profiles(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> D
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
                 ph = np.array([mix(p * np.uint64(2) * np.arange(1, len(p) + 1, dtype=np.uint64) + p).sum(dtype=np.uint64) for p in prefixes], np.uint64).view(np.int64)
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), n, *class_key(sets), pa.array(ph), pa.ListArray.from_arrays(offsets, flat)], names=["id", "n", "k1", "k2", "ph", "prefix"]).append_column("bitmap", pa.array([parity_bitmap(s) for s in sets], pa.binary()))
+                own = [part.column(part.schema.get_field_index(c)) for c in ("row", "id")]
+                yield pa.RecordBatch.from_arrays([*own, n, *class_key(sets), pa.array(ph), pa.ListArray.from_arrays(offsets, flat)], names=["row", "id", "n", "k1", "k2", "ph", "prefix"]).append_column("bitmap", pa.array([parity_bitmap(s) for s in sets], pa.binary()))
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, ph long, prefix array<long>, bitmap binary")
+    return docs.mapInArrow(run, "row long, id long, n long, k1 long, k2 long, ph long, prefix array<long>, bitmap binary")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +152,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose bitmaps leave room for the similarity, with what `verified` needs of each class."""
+    """Those pairs (a, b) of classes whose bitmaps leave room for the similarity, with the row that stands for each class."""
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("cid").alias(name), F.struct(F.coalesce("rep", F.lit(-1)).alias("rep"), "k1", "k2").alias(f"of_{name}"), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
+        return classes.select(F.col("cid").alias(name), F.col("rep").alias(f"of_{name}"), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"bitmap_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,8 +164,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    of = "struct<rep: long, k1: long, k2: long>"
-    return sized.select("a", "b", "of_a", "of_b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, f"a long, b long, of_a {of}, of_b {of}")
+    return sized.select("a", "b", "of_a", "of_b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long, of_a long, of_b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
@@ -175,35 +175,31 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     scratch = Scratch(docs.sparkSession, "ngram-verify")
     pairs = scratch.save(possible(pairs, classes, percent), rows)
     count = pairs.count()
-    sides = pairs.select("a", "b", F.explode(F.array("of_a", "of_b")).alias("of")).select("a", "b", "of.*")
+    sides = pairs.select("a", "b", F.explode(F.array("of_a", "of_b")).alias("rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             good = []
             for both in batch.column(2).to_pylist():
-                sets = shingle_sets(hasher, pa.array([x["text"] for x in both], pa.large_string()), words)
-                k1, k2 = (k.to_pylist() for k in class_key(sets))
-                # rows of the same id with another text are no side of the pair
-                found = {(x["k1"], x["k2"]): s for x, s, u, v in zip(both, sets, k1, k2, strict=True) if (x["k1"], x["k2"]) == (u, v)}
-                one, other = found.values()
+                one, other = shingle_sets(hasher, pa.array(both, pa.large_string()), words)
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 good.append(100 * common >= percent * (len(one) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     wanted = F.broadcast(sides) if 2 * count <= BROADCAST_IDS // 4 else sides
-    texts = docs.join(wanted, F.coalesce(docs["id"], F.lit(-1)) == sides["rep"])
-    met = texts.groupBy("a", "b").agg(F.collect_list(F.struct("k1", "k2", text_or_empty("text").alias("text"))).alias("both"))
+    texts = docs.join(wanted, docs["row"] == sides["rep"])
+    met = texts.groupBy("a", "b").agg(F.collect_list(text_or_empty("text")).alias("both"))  # two texts
     return scratch.save(met.mapInArrow(run, "a long, b long"), count, PAIRS_A_TASK)
 
 
-def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """For each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram")
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """docs: row (a number of its own), id, text, a saved table. For each row: row, id, n, and of its component component_id
+    (the smallest id) and first_row (the smallest row). Rows without shingles have no first_row."""
+    scratch = Scratch(docs.sparkSession, "ngram")
     rows = scratch.save(profiles(docs, words, percent, bucket_levels(docs.select("text"), words)))
 
-    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("rep"), F.min("id").alias("low_id"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     count = rows.count()
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), count)
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"))
@@ -255,16 +251,28 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     joined = more.join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     joined = connected_components(scratch.save(joined, more.count() or 1)).select(F.col("node").alias("root"), F.col("root").alias("over"))
     roots = members.join(joined, "root", "left").select("cid", F.coalesce("over", "root").alias("root"))
-    named = classes.select("n", "k1", "k2", "cid", "rep").join(roots, "cid")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = scratch.save(named.join(smallest, "root").select("n", "k1", "k2", "component_id"), count)
-    out = rows.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
+    named = classes.select("n", "k1", "k2", "cid", "rep", "low_id").join(roots, "cid")
+    smallest = named.groupBy("root").agg(F.min("low_id").alias("component_id"), F.min("rep").alias("first_row"))
+    named = scratch.save(named.join(smallest, "root").select("n", "k1", "k2", "component_id", "first_row"), count)
+    out = rows.select("row", "id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("row", "id", "n", component.alias("component_id"), "first_row")
+
+
+def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """For each row of docs: id, n_shingles and component_id, the smallest id reachable by links."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    found = linked_rows(Scratch(docs.sparkSession, "ngram-rows").save(numbered), words, percent)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that are the smallest id of their component. Rows that share an id stay or go together."""
-    found = link_components(docs, key, text, words, percent)
-    gone = Scratch(docs.sparkSession, "ngram-gone").save(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    return docs.join(checked_broadcast(gone, BROADCAST_IDS), docs[key] == F.col("_gone"), "left_anti")
+    """The rows of docs, with all their columns, that are their component's document: the one of its smallest id or, if all its
+    ids are null, its first row. Rows of one component that share that id are one document; in other components rows of the
+    same id are judged on their own. Rows without words stay."""
+    scratch = Scratch(docs.sparkSession, "ngram-rows")
+    numbered = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = linked_rows(numbered.select(F.col("_row").alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text")), words, percent)
+    stays = F.when(F.col("component_id").isNull(), F.col("row") == F.col("first_row")).otherwise(F.col("id").eqNullSafe(F.col("component_id")))
+    gone = scratch.save(found.where((F.col("n") > 0) & ~stays).select(F.col("row").alias("_row")))
+    return numbered.join(checked_broadcast(gone, BROADCAST_IDS), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

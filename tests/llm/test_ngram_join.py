@@ -63,3 +63,17 @@ def test_edge_rows(spark):
     assert ngram_join.link_components(df.limit(0)).count() == 0
     kept = ngram_join.keep_one_of_each(df.where("doc_id is not null"))
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 4]
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    near = [" ".join([*w[:-1], "other"]) for w in (a, b, c)]
+    a, b, c = map(" ".join, (a, b, c))
+    rows = [(1, a), (1, b), (2, near[0]), (0, near[1]), (None, c), (None, near[2]), (None, c), (None, None), (None, near[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3):
+        kept = [(r.doc_id, r.text) for r in ngram_join.keep_one_of_each(df.repartition(parts)).collect()]
+        assert len(kept) == 4 and {(1, a), (0, near[1]), (None, None)} <= set(kept)
+        assert {t for i, t in kept if i is None and t} <= {c, near[2]}
+    got = [(r.doc_id, r.component_id) for r in ngram_join.link_components(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 0), (2, 1), (0, 0), (None, None), (None, None), (None, None), (None, None), (None, 1)], key=str)
