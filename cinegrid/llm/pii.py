@@ -3,8 +3,8 @@
 Seeds are the base matches of four kinds (email, ip, card, phone). What stands around a seed, its two words before or the
 word on either side, is a lexical pattern of the seed's kind. Patterns and instances form a graph: an instance is a
 distinct string, seeds and other identifier-like tokens alike. Over ROUNDS rounds a pattern scores the mean of its
-instances' scores (if enough distinct seeds support it) and an instance the noisy-or of its patterns' scores; seeds stay at
-1. Tokens that reach ACCEPT in a pattern of the matching shape are added to the spans of that kind; base spans stay.
+instances' scores (if enough distinct seeds support it) and an instance the noisy-or of its trusted patterns' scores, 0 if it
+has none; seeds stay at 1. Every instance of a pattern counts in every round. Tokens that reach ACCEPT in a pattern of the matching shape are added to the spans of that kind; base spans stay.
 
 A null text counts as empty. Offsets count code points, ends are exclusive. Every row of the table gives one row, repeated
 ids included; an empty table gives none; other columns are ignored. Texts of any length are read whole, and no pattern
@@ -155,10 +155,13 @@ def discover(spans: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         patterns = edges.join(scores, ["kind", "v"]).groupBy("kind", "context").agg(F.avg("score").alias("trust"))
         trusted = patterns.where(F.col("trust") >= PATTERN_TRUST)
-        doubt = F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999)))))
-        scores = edges.join(trusted, ["kind", "context"]).groupBy("kind", "v").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score"))
+        # an instance of no trusted pattern has a sum of nothing, which is null
+        doubt = F.exp(F.sum(F.when(F.col("trust").isNotNull(), F.log(1 - F.least(F.col("trust"), F.lit(0.999))))))
+        scores = edges.join(trusted, ["kind", "context"], "left").groupBy("kind", "v").agg(
+            F.when(F.max("seed"), 1.0).otherwise(F.coalesce(1 - doubt, F.lit(0.0))).alias("score"), F.count("trust").alias("trusted"),
+        )
         scores = scratch.save(scores)
-    return scores.where(F.col("score") >= ACCEPT).select("kind", "v")
+    return scores.where((F.col("score") >= ACCEPT) & (F.col("trusted") > 0)).select("kind", "v")
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,5 +72,13 @@ def test_trusted_contexts_add_spans(spark):
     assert got[51].spans == got[52].spans == ""
 
 
+def test_clean_instances_of_a_mixed_context_keep_counting(spark):
+    rows = [(i, f"please call +174355538{i:02d} order today") for i in range(10)] + [(10 + i, f"we shipped call {1000000 + i} order today") for i in range(200)]
+    rows += [(500, "please call 7654321 soon")]
+    got = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(got[i].n_phone == 1 for i in range(10))
+    assert [i for i, r in got.items() if r.n_added] == [500]
+
+
 def test_empty_table(spark):
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
