@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch at most (but one row): batches of 64 MB, Spark's own limit, take several times that in both processes.
+ARROW_BYTES = 8 << 20
 #: Rows that one task writes of an intermediate table whose size is known.
 ROWS_A_TASK = 8192
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,19 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share; where none is named, a temporary one if all run in one process (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cinegrid-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most ARROW_BYTES; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name) or ""
+    if not held.removesuffix("b").isdigit() or int(held.removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 class Scratch:
     """Intermediate tables in the shared folder: each cuts the lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 

@@ -1,4 +1,4 @@
-"""Words and word shingles of Arrow text columns as numpy arrays of 64-bit hashes, a few megabytes at a time."""
+"""Words and word shingles of Arrow text columns as numpy arrays of 64-bit hashes, half a megabyte at a time."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 @dataclass

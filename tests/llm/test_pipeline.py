@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark):
     assert mixed.columns == docs.columns
     assert all(abs(taken.get(s, 0) - t) <= largest[s] for s, t in targets(sizes).items())
 
-    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.load_vocabulary())
+    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.Tables(sentencepiece_codec.load_vocabulary()))
     for r in cp.tokenize(spark, mixed, SF).collect():
         assert r.ids == encoder.encode(rows[r.doc_id].text) and r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].text.encode()).hexdigest()
 

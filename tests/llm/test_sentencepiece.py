@@ -8,7 +8,8 @@ from cinegrid.llm import sentencepiece_codec as codec
 
 spm = pytest.importorskip("sentencepiece")
 V = codec.load_vocabulary()
-E = codec.Encoder(V)
+T = codec.Tables(V)
+E = codec.Encoder(T)
 DECODE = codec.decoder(V)
 LIB = spm.SentencePieceProcessor(model_file=codec.MODEL)
 HARD = ["", " ", "   a  b ", "Hello  world\n\tfoo é 😀  x ", "a\r\nb\x00", "梦" * 300, "ab" * 5000, "x" * 3000, " " * 1000, "▁a", "ﬁ Å ñ", "dededededede" * 90, "http://www.example.com/index.html?a=1&b=2" * 40]
@@ -40,7 +41,7 @@ def test_unigram_scores_equal_the_library():
             p.score = -1.0 - (i * 7919 % 1000) / 61.0 - len(p.piece) * 0.37  # any scores without ties
     lib = spm.SentencePieceProcessor(model_proto=model.SerializeToString())
     pieces = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type == 1}
-    e = codec.Encoder(codec.Vocabulary(codec.UNIGRAM, pieces, V.texts, V.bytes_, V.unknown, True))
+    e = codec.Encoder(codec.Tables(codec.Vocabulary(codec.UNIGRAM, pieces, V.texts, V.bytes_, V.unknown, True)))
     rng = random.Random(3)
     for _ in range(50):
         text = "".join(rng.choice("the quick brown fox ends") for _ in range(400))
@@ -49,12 +50,39 @@ def test_unigram_scores_equal_the_library():
         assert lib.decode(ids) == text
 
 
-def test_window_stays_small():
-    e = codec.Encoder(V)
-    out = []
-    for piece in e.trellis("thequickbrownfox" * 500):
-        out.append(piece)
-    assert "".join(out) == "thequickbrownfox" * 500
+def test_window_is_bounded():
+    e = codec.Encoder(T)
+    for text in ("thequickbrownfox" * 500, "x" * 5000, "naïve" * 3000):
+        assert e.encode(text) == LIB.encode(text)
+    assert e.widest == codec.WINDOW * e.t.longest  # whatever the length of a stretch
+    e = codec.Encoder(T)
+    e.encode("the quick brown fox ends")
+    assert e.widest <= 6  # short stretches go the same way
+
+
+def test_paths_that_never_meet():
+    pieces = {p: (i, s) for i, (p, s) in enumerate([("▁", -9.0), ("a", -5.0), ("b", -5.0), ("ab", -1.0), ("ba", -1.0)])}
+    e = codec.Encoder(codec.Tables(codec.Vocabulary(codec.UNIGRAM, pieces, list(pieces), {}, 0, False)))
+    score = {i: s for i, s in pieces.values()}
+    for text in ("ab" * 300, "ab" * 300 + "a", "ba" * 301 + "ab"):
+        ids = e.encode(text)
+        assert "".join(list(pieces)[i] for i in ids) == text
+        best = [0.0] + [-1e9] * len(text)
+        for i in range(len(text)):
+            for k in (1, 2):
+                if text[i : i + k] in pieces and i + k <= len(text):
+                    best[i + k] = max(best[i + k], best[i] + pieces[text[i : i + k]][1])
+        assert sum(score[i] for i in ids) == pytest.approx(best[-1])
+    assert e.widest > codec.WINDOW * 2
+
+
+def test_chunks_and_forgetting(monkeypatch):
+    texts = ["the quick  brown fox " * 40, "", "x" * 300, "a b", "   z " * 50]
+    monkeypatch.setattr(codec, "CHUNK", 50)
+    monkeypatch.setattr(codec, "KEPT_IDS", 20)
+    ids, number = codec.Encoder(T)(texts)
+    ends = number.cumsum()
+    assert [ids[b - n : b].tolist() for n, b in zip(number, ends, strict=True)] == [LIB.encode(t) for t in texts]
 
 
 def test_rows(spark):
