@@ -65,8 +65,41 @@ def test_edge_rows(spark):
     assert sd.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_copies_of_lines(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(" ".join(words(rng, 70)) for _ in range(3))) for i in range(30)]
+    line = words(rng, 96)
+    for k in range(3):  # an edit in the middle, so no 50 words are equal; J = 87 / 97
+        edited = list(line)
+        edited[47 + k] = f"edit{k}"
+        rows.append((100 + k, "\n".join([" ".join(words(rng, 20)), " ".join(edited), " ".join(words(rng, 20))])))
+    got = sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.keep_id, r.removed) for r in got) == [(100 + k, 20, 116, 100, k > 0) for k in range(3)]
+
+
+def test_long_runs_of_short_repeats_are_clean(spark):
+    rng = random.Random(9)
+    phrases = [words(rng, 30) for _ in range(12)]
+    rows = [(i, " ".join(w for k in rng.sample(range(12), 6) for w in phrases[k] + words(rng, 1))) for i in range(40)]
+    got = {r.doc_id for r in sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= flagged_by_brute_force(rows)
+
+
+def test_many_rows_of_one_id(spark):
+    rng = random.Random(10)
+    passage = words(rng, 60)
+    rows = [(7 if k % 2 else None, " ".join(words(rng, 30) + (passage if k % 5 == 0 else []) + words(rng, 30))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "5 as id", "6 as x")
+    got = sd.repeated_passages(df).collect()
+    assert len(got) == 12 and {r.keep_id for r in got} == {7}
+    out = sd.remove_repeats(df)
+    assert out.columns == df.columns
+    left = [r.text for r in out.collect()]
+    assert sum(" ".join(passage[5:-5]) in t for t in left) == 6  # documents of id 7 keep it
+
+
 def test_bands_and_cuts():
-    assert sd.tune_bands() == 4 and sd.tune_bands(80, 3) == 6
+    assert sd.tune_bands() == 4 and sd.tune_bands(80, 3) == 6 and sd.tune_bands(80, sd.ROWS_A_LINE_BAND) == 8
     rng = random.Random(1)
     passage = words(rng, 60)
     a, b = (WordHasher()(pa.array([" ".join(words(rng, 30) + passage + words(rng, 30))]), lower=False) for _ in range(2))
