@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
 Equal vectors are one node, so copies cost nothing and tie as they should. The neighbour graph (DEGREE neighbours a node) starts
-from blocks: nodes go to their nearest pivots (a sample of at most PIVOTS vectors), clusters are cut into blocks of about
-BLOCK nodes by hash, and each block finds its nodes' neighbours. NN-descent then joins, around every node, the nodes that
-it points to and that point to it: all of them meet, in chunks where a hub has many, and each keeps what beats its list,
-until a round gains little. Then the queries walk the graph: the best WIDTH unvisited candidates of a query are expanded by the graph's
-links in both directions, STEPS times. Vectors travel as 16-bit floats; the last candidates are scored exactly, in double
-precision on the original vectors.
-
-Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do vectors whose length is not the
-most common one. A row with a null id is no query but can be no neighbour either. Repeated rows count once. Ties go to the
-smaller id. Fewer candidates than asked for give fewer rows; an empty table gives none. Other columns are ignored.
+from blocks: nodes go to their nearest pivots (a sample of at most PIVOTS vectors); a pivot's nodes are cut by the signs of
+random projections, as many as its size asks for, into blocks of BLOCK nodes at most (what is larger still is cut by hash),
+and each block finds its nodes' neighbours. NN-descent then joins, around every node, the nodes that it points to and that
+point to it, in chunks where a hub has many, which are dealt anew each round; of two that met before neither is new, so only
+pairs with a new link are compared, and nodes without any are left out. Each keeps what beats its list, until a round gains
+little. All this is the same at every size. Then the queries walk the graph: each round expands a query's best WIDTH
+unvisited candidates by the graph's links in both directions, until no query has an unvisited one among its best REACH.
+Vectors travel as 16-bit floats; the last candidates are scored exactly, in double precision on the original vectors.
+
+Vectors that are null, zero, empty or hold null or non-finite components take no part. Vectors of different lengths are no
+candidates of each other; each length has a graph of its own. A row with a null id is no query and no neighbour. Repeated
+rows count once. Ties go to the smaller id. Fewer candidates than asked for give fewer rows; an empty table gives none. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +26,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinegrid.llm.common import Scratch
+from cinegrid.llm.common import Scratch, checked_broadcast
 
 DEGREE = 24
-PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 8, 1024
+PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 8, 256
 #: Nodes a pivot gets on average while PIVOTS allows it, and the neighbours that each block names.
-PIVOT_NODES, BLOCK_DEGREE = 256, 12
-#: NN-descent ends when a round raises the sum of the lists' similarities by less than GAIN of it, or after ROUNDS.
-ROUNDS, GAIN, CHUNK = 8, 0.004, 64
-STEPS, WIDTH, BEAM = 3, 24, 96
-FINAL = 24
+PIVOT_NODES, BLOCK_DEGREE = 128, 12
+#: NN-descent ends when a round raises the sum of the lists' similarities by less than GAIN of it.
+GAIN, CHUNK = 0.001, 64
+WIDTH, BEAM, REACH, LINKS = 24, 96, 48, 48
+FINAL = 48
 SALTS = 64
+#: Tables of a few numbers a row are broadcast up to so many rows.
+BROADCAST_ROWS = 500_000
 
-LISTS = "node long, nbrs array<long>, sims array<float>"
+LISTS = "node long, nbrs array<long>, sims array<float>, fresh array<boolean>"
 
 
 def unit16(vectors: list[list[float]]) -> np.ndarray:
@@ -50,34 +55,48 @@ def _rows(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float16).reshape(len(values), -1).astype(np.float32)
 
 
-def _lists(nodes: list[int], nbrs: list[np.ndarray], sims: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nbrs, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32()))], names=["node", "nbrs", "sims"])
+def _lists(nodes: list[int], nbrs: list[np.ndarray], sims: list[np.ndarray], fresh: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    fresh = [np.ones(len(n), bool) for n in nbrs] if fresh is None else fresh
+    return pa.RecordBatch.from_arrays(
+        [pa.array(nodes, pa.int64()), pa.array(nbrs, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32())), pa.array(fresh, pa.list_(pa.bool_()))], names=["node", "nbrs", "sims", "fresh"]
+    )
 
 
-def best_of(ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` most similar distinct ids, the most similar first, ties to the smaller id."""
-    order = np.lexsort((ids, -sims))
-    ids, sims = ids[order], sims[order]
+def best_of(ids: np.ndarray, sims: np.ndarray, most: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The `most` most similar distinct ids, the most similar first, ties to the smaller id; of equal ones the one that is old."""
+    fresh = np.zeros(len(ids), bool) if fresh is None else fresh
+    order = np.lexsort((fresh, ids, -sims))
+    ids, sims, fresh = ids[order], sims[order], fresh[order]
     _, first = np.unique(ids, return_index=True)
     first.sort()
-    return ids[first[:most]], sims[first[:most]]
+    first = first[:most]
+    return ids[first], sims[first], fresh[first]
 
 
-def make_nodes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """vectors: id, v. Returns the nodes (node, v, unit) and the smallest ids of each node (node, id)."""
+def _best_each(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, most: int) -> pa.RecordBatch:
+    """One list for each node of (node, nbr, sim) rows, of its best `most`."""
+    order = np.lexsort((nbr, -sim, node))
+    node, nbr, sim = node[order], nbr[order], sim[order]
+    at = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+    got = [best_of(nbr[a:b], sim[a:b], most) for a, b in zip(at, np.append(at[1:], len(node)), strict=True)]
+    return _lists(node[at].tolist(), [g[0] for g in got], [g[1] for g in got])
+
+
+def usable(v: str) -> Column:
+    return F.col(v).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
+def make_nodes(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """vectors: id, v, all of one length. Returns the nodes: node, v, unit."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in unit16(v)] if v else [], pa.binary())], names=["v", "unit"])
 
-    good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    vectors = scratch.save(vectors.where(good & F.col("id").isNotNull()))
-    size = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    vectors = vectors.where(F.size("v") == (size[0].n if size else 0))
-    nodes = vectors.select("v").distinct().mapInArrow(units, "v array<float>, unit binary")
-    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()))
-    return vectors, nodes
+    kind = vectors.schema["v"].dataType.simpleString()
+    nodes = vectors.select("v").distinct().mapInArrow(units, f"v {kind}, unit binary")
+    return scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()))
 
 
 def smallest_ids(vectors: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -92,18 +111,20 @@ def block_lists(nodes: DataFrame, count: int, seed: int, scratch: Scratch) -> Da
     """Neighbour lists from one pass of blocks. nodes: node, unit."""
     wanted = max(1, min(PIVOTS, count // PIVOT_NODES))
     pivots = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(wanted).select("unit").collect()  # PIVOTS vectors at most
-    many = count > BLOCK
     shared = nodes.sparkSession.sparkContext.broadcast(_rows([bytes(p.unit) for p in pivots]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         each = min(PIVOTS_EACH, len(p))
+        planes = np.random.default_rng(seed).normal(size=(p.shape[1], 48)).astype(np.float32)
         for batch in batches:
             if batch.num_rows:
-                near = np.argpartition(-(_rows(batch.column(1).to_pylist()) @ p.T), each - 1, axis=1)[:, :each]
+                x = _rows(batch.column(1).to_pylist())
+                near = np.argpartition(-(x @ p.T), each - 1, axis=1)[:, :each]
+                code = ((x @ planes > 0) @ (np.int64(1) << np.arange(48, dtype=np.int64))).astype(np.int64)
                 rows = np.repeat(np.arange(batch.num_rows), each)
                 part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), part.column(0), part.column(1)], names=["pivot", "node", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), part.column(0), part.column(1), pa.array(code[rows])], names=["pivot", "node", "unit", "code"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,84 +132,90 @@ def block_lists(nodes: DataFrame, count: int, seed: int, scratch: Scratch) -> Da
                 ids, x = np.array([m["node"] for m in members]), _rows([m["unit"] for m in members])
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
-                k = min(BLOCK_DEGREE if many else DEGREE, len(ids) - 1)
+                k = min(BLOCK_DEGREE, len(ids) - 1)
                 if k > 0:
                     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
                     yield _lists(ids.tolist(), list(ids[top]), list(np.take_along_axis(sims, top, 1)))
 
-    spread = scratch.save(nodes.select("node", "unit").mapInArrow(assign, "pivot int, node long, unit binary"))
-    sizes = F.broadcast(spread.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))  # PIVOTS rows at most
-    blocks = spread.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")))
-    grouped = blocks.groupBy("pivot", "block").agg(F.collect_list(F.struct("node", "unit")).alias("members")).select("members")
+    spread = scratch.save(nodes.select("node", "unit").mapInArrow(assign, "pivot int, node long, unit binary, code long"))
+    # as many signs as bring a pivot's nodes to the size of a block; PIVOTS rows at most
+    signs = F.broadcast(spread.groupBy("pivot").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK))).cast("int").alias("signs")))
+    cells = spread.join(signs, "pivot").withColumn("cell", F.pmod("code", F.expr("shiftleft(1L, signs)"))).drop("code", "signs")
+    sizes = scratch.save(cells.groupBy("pivot", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    blocks = cells.join(checked_broadcast(sizes, BROADCAST_ROWS), ["pivot", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")))
+    grouped = blocks.groupBy("pivot", "cell", "block").agg(F.collect_list(F.struct("node", "unit")).alias("members")).select("members")
     return scratch.save(grouped.mapInArrow(local, LISTS))
 
 
 def merged(lists: DataFrame, most: int) -> DataFrame:
-    """One list a node, of the best `most` neighbours."""
+    """One list a node, of the best `most` neighbours. A node has few lists: its own, and one from each batch that met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, nbrs, sims = [], [], []
+            nodes, got = [], []
             for node, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, s = best_of(np.concatenate([p["nbrs"] for p in parts]).astype(np.int64), np.concatenate([p["sims"] for p in parts]).astype(np.float32), most)
+                ids, sims, fresh = (np.concatenate([p[c] for p in parts]) for c in ("nbrs", "sims", "fresh"))
+                got.append(best_of(ids.astype(np.int64), sims.astype(np.float32), most, fresh.astype(bool)))
                 nodes.append(node)
-                nbrs.append(ids)
-                sims.append(s)
-            yield _lists(nodes, nbrs, sims)
+            yield _lists(nodes, [g[0] for g in got], [g[1] for g in got], [g[2] for g in got])
 
-    return lists.groupBy("node").agg(F.collect_list(F.struct("nbrs", "sims")).alias("parts")).mapInArrow(run, LISTS)
+    return lists.groupBy("node").agg(F.collect_list(F.struct("nbrs", "sims", "fresh")).alias("parts")).mapInArrow(run, LISTS)
 
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """One NN-descent round: lists that hold what each node met and did not have."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes_, nbrs, sims_ = [], [], []
+            found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
             for members in batch.column(0).to_pylist():
-                ids = np.array([m["u"] for m in members])
-                ids, first = np.unique(ids, return_index=True)
+                ids, inverse = np.unique([m["u"] for m in members], return_inverse=True)
+                first = np.zeros(len(ids), np.int64)
+                first[inverse] = np.arange(len(members))
+                new = np.zeros(len(ids), bool)
+                np.logical_or.at(new, inverse, [m["fresh"] for m in members])
                 x, floor = _rows([members[i]["unit"] for i in first]), np.array([members[i]["floor"] for i in first], np.float32)
-                sims = x @ x.T
-                np.fill_diagonal(sims, -2)
-                better = sims > floor[:, None]
-                for i in np.flatnonzero(better.any(1)):
-                    hit = np.flatnonzero(better[i])
-                    nodes_.append(int(ids[i]))
-                    nbrs.append(ids[hit])
-                    sims_.append(sims[i, hit])
-            yield _lists(nodes_, nbrs, sims_)
-
-    out = graph.select(F.col("node").alias("v"), F.explode("nbrs").alias("u"))
-    back = out.select(F.col("u").alias("v"), F.col("v").alias("u"))
+                sims = x[new] @ x.T  # what is new against all
+                own = np.flatnonzero(new)
+                sims[np.arange(len(own)), own] = -2
+                i, j = np.nonzero(sims > floor[own][:, None])
+                k, m = np.nonzero(sims > floor[None, :])
+                for part, value in zip(found, (np.concatenate([ids[own[i]], ids[m]]), np.concatenate([ids[j], ids[own[k]]]), np.concatenate([sims[i, j], sims[k, m]])), strict=True):
+                    part.append(value)
+            yield _best_each(*map(np.concatenate, found), DEGREE)
+
+    out = graph.select(F.col("node").alias("v"), F.explode(F.arrays_zip("nbrs", "fresh")).alias("x")).select("v", F.col("x.nbrs").alias("u"), F.col("x.fresh").alias("fresh"))
+    back = out.select(F.col("u").alias("v"), F.col("v").alias("u"), "fresh")
+    # where nothing is new, nobody meets anew
+    active = out.where("fresh").select(F.explode(F.array("u", "v")).alias("v")).groupBy("v").agg(F.lit(1).alias("one"))
     chunks = back.groupBy("v").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    back = back.join(chunks, "v").select("v", "u", F.pmod(F.xxhash64("u"), F.col("chunks")).alias("chunk"))
-    ahead = out.join(chunks, "v", "left").select("v", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks"), F.lit(1)) - 1)).alias("chunk"))
+    chunks = scratch.save(active.join(chunks, "v", "left").select("v", F.coalesce("chunks", F.lit(1)).alias("chunks")))
+    back = back.join(chunks, "v").select("v", "u", "fresh", F.pmod(F.xxhash64("u", F.lit(seed)), F.col("chunks")).alias("chunk"))
+    ahead = out.join(chunks, "v").select("v", "u", "fresh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     # a full list only takes what is more similar than its last entry
     floors = graph.select("node", F.when(F.size("nbrs") >= DEGREE, F.array_min("sims")).otherwise(-2.0).cast("float").alias("floor"))
     known = nodes.select("node", "unit").join(floors, "node").withColumnRenamed("node", "u")
-    met = ahead.unionByName(back).join(known, "u").groupBy("v", "chunk").agg(F.collect_list(F.struct("u", "unit", "floor")).alias("members")).select("members")
-    return met.mapInArrow(local, LISTS)
+    met = ahead.unionByName(back).join(known, "u").groupBy("v", "chunk").agg(F.collect_list(F.struct("u", "unit", "floor", "fresh")).alias("members"))
+    return met.where(F.exists("members", lambda m: m["fresh"])).select("members").mapInArrow(local, LISTS)
 
 
 def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     count = nodes.count()
     lists = None
-    for seed in range(PASSES if count > BLOCK else 1):
+    for seed in range(PASSES):
         one = block_lists(nodes, count, seed, scratch)
         lists = one if lists is None else lists.unionByName(one)
     graph = scratch.save(merged(lists, DEGREE))
-    total = 0.0
-    for _ in range(ROUNDS if count > BLOCK else 0):
-        found = descend(graph, nodes)
-        newer = scratch.save(merged(graph.unionByName(found), DEGREE))
+    total, seed = 0.0, PASSES
+    while True:
+        old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
+        newer = scratch.save(merged(old.unionByName(descend(graph, nodes, seed, scratch)), DEGREE))
         scratch.drop(graph)
-        graph = newer
+        graph, seed = newer, seed + 1
         now = graph.agg(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x + 1))).collect()[0][0] or 0.0
-        if now - total < GAIN * now:
-            break
+        if now - total <= GAIN * now:
+            return graph
         total = now
-    return graph
 
 
 def search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -196,40 +223,53 @@ def search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scrat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes_, nbrs, sims = [], [], []
+            nodes_, got = [], []
             for node, unit, old, old_sims, fresh in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 ids = np.array([f["u"] for f in fresh], np.int64)
                 s = _rows([f["unit"] for f in fresh]) @ _rows([unit])[0]
-                i, s = best_of(np.concatenate([np.array(old, np.int64), ids]), np.concatenate([np.array(old_sims, np.float32), s]), BEAM)
+                got.append(best_of(np.concatenate([np.array(old, np.int64), ids]), np.concatenate([np.array(old_sims, np.float32), s]), BEAM))
                 nodes_.append(node)
-                nbrs.append(i)
-                sims.append(s)
-            yield _lists(nodes_, nbrs, sims)
+            yield _lists(nodes_, [g[0] for g in got], [g[1] for g in got])
 
-    # links in both directions, the closest first; a hub's list stays short, its other links are found from their own ends
+    # links in both directions, the closest LINKS; a hub's other links are found from their own ends
     ahead = graph.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).select("node", F.col("x.nbrs").alias("nbr"), F.col("x.sims").alias("sim"))
-    both = ahead.union(ahead.select("nbr", "node", "sim")).withColumn("link", F.struct(-F.col("sim"), "nbr"))
-    near = both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("link")), 1, 2 * DEGREE).alias("e"))
-    near = scratch.save(near.select(F.col("node").alias("u"), F.col("e.nbr").alias("links")))
+    both = ahead.union(ahead.select("nbr", "node", "sim")).groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
+    near = both.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= LINKS)
+    near = scratch.save(near.groupBy(F.col("node").alias("u")).agg(F.collect_list("nbr").alias("links")))
     units = nodes.select("node", "unit")
     beam = scratch.save(starts.join(graph, "node").select("node", "nbrs", "sims", F.array().cast("array<bigint>").alias("visited")))
-    for _ in range(STEPS):
-        chosen = beam.select("*", F.slice(F.array_except("nbrs", "visited"), 1, WIDTH).alias("go"))
-        asked = chosen.select("node", "nbrs", F.explode("go").alias("u")).join(near, "u")
-        fresh = asked.select("node", F.explode(F.array_except("links", F.concat("nbrs", F.array("node")))).alias("u")).distinct()
+    unseen = F.array_except(F.slice("nbrs", 1, REACH), F.col("visited"))
+    while not beam.where(F.size(unseen) > 0).isEmpty():
+        chosen = beam.select("*", F.slice(unseen, 1, WIDTH).alias("go"))
+        asked = chosen.select("node", "nbrs", "visited", F.explode("go").alias("u")).join(near, "u")
+        fresh = asked.select("node", F.explode(F.array_except("links", F.concat("nbrs", "visited", F.array("node")))).alias("u")).distinct()
         met = fresh.join(units.withColumnRenamed("node", "u"), "u").groupBy("node").agg(F.collect_list(F.struct("u", "unit")).alias("fresh"))
         ready = chosen.join(met, "node").join(units, "node").select("node", "unit", "nbrs", "sims", "fresh")
-        scored = ready.mapInArrow(score, LISTS)
+        scored = ready.mapInArrow(score, LISTS).drop("fresh")
         rest = beam.select("node", F.col("nbrs").alias("old"), F.col("sims").alias("old_sims"), "visited")
         step = chosen.select("node", "go").join(rest, "node").join(scored, "node", "left")
-        beam = scratch.save(step.select("node", F.coalesce("nbrs", "old").alias("nbrs"), F.coalesce("sims", "old_sims").alias("sims"), F.array_union("visited", "go").alias("visited")))
+        newer = scratch.save(step.select("node", F.coalesce("nbrs", "old").alias("nbrs"), F.coalesce("sims", "old_sims").alias("sims"), F.array_union("visited", "go").alias("visited")))
+        scratch.drop(beam)
+        beam = newer
     return beam.select("node", "nbrs", "sims")
 
 
 def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """The k nearest rows of every query row: query_id, rank, id, score. is_query: a condition on the column `id`."""
     scratch = Scratch(vectors.sparkSession, "ann")
-    vectors, nodes = make_nodes(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")), scratch)
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    vectors = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
+    vectors = scratch.save(vectors.where(usable("v") & F.col("id").isNotNull()))
+    out = None
+    for n in sorted(r.n for r in vectors.select(F.size("v").alias("n")).distinct().collect()) or [0]:  # the lengths there are
+        one = _nearest(vectors.where(F.size("v") == n), is_query, k, scratch)
+        out = one if out is None else out.union(one)
+    return out.withColumnRenamed("found", key)
+
+
+def _nearest(vectors: DataFrame, is_query: Column, k: int, scratch: Scratch) -> DataFrame:
+    """vectors: id, v, all of one length."""
+    nodes = make_nodes(vectors, scratch)
     asked = scratch.save(vectors.where(is_query).join(nodes.select("node", "v"), "v").select("id", "node").distinct())
     graph = build_graph(nodes, scratch)
     found = search(asked.select("node").distinct(), graph, nodes, scratch)
@@ -242,7 +282,8 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.array(batch.column(i).to_pylist(), np.float64) for i in (2, 3))
-                with np.errstate(over="ignore", under="ignore"):
+                with np.errstate(under="ignore"):  # powers of two change no digit and keep squares finite
+                    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))
                     s = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["node", "u", "score"])
 
@@ -250,4 +291,4 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     ids = smallest_ids(vectors, nodes, k + 1).select(F.col("node").alias("u"), F.col("id").alias("found"))
     rows = asked.join(scored, "node").join(ids, "u").where("id <> found").select("id", "found", "score").distinct()
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "found"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("found").alias(key), "score")
+    return ranked.select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "found", "score")
