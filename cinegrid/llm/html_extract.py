@@ -3,18 +3,22 @@
 Pages of one host share templates, so their document trees are merged: a style node is a path of block elements with their
 classes, below a host. For each node two entropies are taken over the host's distinct pages, each over the logarithm of
 its count: of the presentation (the sequence of an element's children) and of the content (the text of a block). Noise
-looks alike on every page, so both are low for it. A block's importance is PRESENTATION_SHARE of its parent's presentation
-entropy and the rest of its content entropy; nodes of LOW_OUTSIDE or less (LOW_INSIDE within an article or main element)
-go, if the host has PAGES_NEEDED distinct pages at least. Small sites have no statistics, so elements that are noise by
-their own name (menus, headers, footers, sidebars, forms, scripts and the like, or a class, id or role that says so) always
-go. Where a page has an article or main element, only what stands in one is main text.
+looks alike on every page, so both are low for it. What a block shows is PRESENTATION_SHARE of its parent's presentation
+entropy and the rest of its content entropy; its importance is the mean of that, once for each page, and of PRIOR_PAGES times
+what is thought of it beforehand: 1, or 0 for a suspect. Blocks of LOW_OUTSIDE or less go (LOW_INSIDE within an article or
+main element, LOW_SUSPECT for a suspect). So a host of few pages leans on the prior and one of many on its statistics.
+
+Elements that are noise by what they are (menus, headers, footers, sidebars, forms, scripts) or by an unmistakable name always go:
+a class token, an id or a role whose pieces are all in WORDS or GENERIC, one in WORDS at least (`comments`, `share-buttons`). An
+element outside an article whose class or id only has such a piece (`search-results-analysis`) is a suspect; inside one it is
+judged as any other. Where a page has an article or main element, only what stands in one is main text.
 
 Pages are read twice: the first pass sends out node and content hashes only, the second removes the low nodes that join
 back by host. Texts are never shuffled while the hosts' table is small enough to broadcast.
 
-A null html is empty; a null url, or one without host, has no statistics. Repeated pages each give a row and count once in
-the tree. Unclosed or misnested tags end where a block parser would end them. An empty table gives an empty result; other
-columns are ignored.
+A null html is empty; of a page whose url is null or without host, suspects go, as there are no statistics. Repeated pages each
+give a row and count once in the tree. Unclosed or misnested tags end where a block parser would end them. White space is what
+Unicode calls so, no-break spaces too. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,24 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegrid.llm.common import Scratch, checked_broadcast
+from cinegrid.llm.common import Scratch
 from cinegrid.llm.url_filter import url_parts
 
 PRESENTATION_SHARE = 0.1
-LOW_OUTSIDE, LOW_INSIDE = 0.3, 0.08
-PAGES_NEEDED = 8
-#: Hosts with low nodes are broadcast up to so many rows; beyond, pages are shuffled by host.
-BROADCAST_HOSTS = 100_000
+LOW_OUTSIDE, LOW_INSIDE, LOW_SUSPECT = 0.3, 0.08, 0.6
+PRIOR_PAGES = 3
+OUTSIDE, INSIDE, SUSPECT = 0, 1, 2
+#: Low nodes (8 bytes each) are broadcast up to so many; beyond, pages are shuffled by host.
+BROADCAST_NODES = 4_000_000
 
 # Fixed names: elements of HTML and the usual words of class, id and role values.
-RAW = "script style noscript template textarea title svg math iframe object select option button canvas audio video datalist".split()
-NOISE = "nav header footer aside form menu dialog head fieldset label input figure-menu".split()
+RAW = "script style noscript template textarea title svg iframe select option button canvas audio video datalist".split()
+NOISE = "nav header footer aside form menu dialog head fieldset label".split()
 MAIN = "article main".split()
 CONTAINERS = "html body div section article main nav header footer aside form menu dialog head ul ol dl table thead tbody tfoot tr fieldset details figure blockquote center hgroup address search".split()
-LEAVES = "p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre figcaption summary legend hr".split()
+LEAVES = "p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre figcaption summary legend hr label".split()
 ROLES = "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split()
 WORDS = "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar disclaimer comment comments commentlist respond reply replies disqus skip".split()
 SITE_WORDS = "header topbar".split()
+GENERIC = "list area box block container wrapper wrap section buttons button bar links link posts articles slot unit form inner outer item items title heading main site page top bottom left right".split()
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?:!|\?)[^>]*>?"
@@ -60,15 +66,19 @@ def hash64(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _facts(rest: str, inside: bool) -> tuple[str, bool]:
-    """(class of the style node, whether the element is noise by its own attributes)."""
+def _facts(rest: str, inside: bool) -> tuple[str, bool, bool]:
+    """(class of the style node, whether the element is noise by its own attributes, whether it is a suspect)."""
     found: dict[str, str] = {}
     for k, v in ATTRIBUTE.findall(rest):
         found.setdefault(k.lower(), v.strip("\"'").lower())
     label = found.get("class", "")
-    words = re.findall(r"[a-z]+", f"{label} {found.get('id', '')}")
-    noise = found.get("role", "") in ROLES or "hidden" in found or any(w in _WORDS or not inside and w in SITE_WORDS for w in words)
-    return label, noise
+    noise, suspect = found.get("role", "") in ROLES or "hidden" in found, False
+    for token in [*label.split(), found.get("id", "")]:
+        pieces = re.findall("[a-z]+", token)
+        if any(w in _WORDS or not inside and w in SITE_WORDS for w in pieces):
+            noise = noise or all(w in _WORDS or w in SITE_WORDS or w in GENERIC for w in pieces)
+            suspect = suspect or not inside
+    return label, noise, suspect
 
 
 _WORDS = frozenset(WORDS)
@@ -76,22 +86,24 @@ _KINDS = {**dict.fromkeys(CONTAINERS, 1), **dict.fromkeys(LEAVES, 2)}
 
 
 def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int]]]:
-    """Blocks of a page that are not noise by name, (node, in main: 0 or 1, text, parent's node), and its elements' (node, children's hash)."""
+    """Blocks of a page that are not noise by name, (node, OUTSIDE, INSIDE or SUSPECT, text, parent's node), and its elements'
+    (node, children's hash)."""
     blocks: list[tuple[int, int, str, int]] = []
     elements: list[tuple[int, int]] = []
-    # open containers: name, path hash, noise, in main, children
-    stack: list[list] = [["", 0, False, 0, []]]
-    leaf, leaf_noise, text, at = "", False, [], 0
+    # open containers: name, path hash, noise, where, children
+    stack: list[list] = [["", 0, False, OUTSIDE, []]]
+    leaf, leaf_noise, leaf_suspect, text, at = "", False, False, [], 0
 
     def close_block() -> None:
-        nonlocal leaf, leaf_noise
+        nonlocal leaf, leaf_noise, leaf_suspect
         if text:
             top = stack[-1]
             joined = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if joined and not top[2] and not leaf_noise:
-                blocks.append((hash64(f"{top[1]}/{leaf}"), top[3], joined, top[1]))
-        leaf, leaf_noise = "", False
+                where = SUSPECT if leaf_suspect and top[3] == OUTSIDE else top[3]
+                blocks.append((hash64(f"{top[1]}/{leaf}/{where}"), where, joined, top[1]))
+        leaf, leaf_noise, leaf_suspect = "", False, False
 
     def pop() -> None:
         name, path, noise, _, children = stack.pop()
@@ -125,13 +137,15 @@ def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, i
             while stack[-1][2] and stack[-1][0] not in NOISE:  # an unclosed noise box does not swallow the article
                 pop()
             top = stack[-1]
-        label, noise = _facts(m["rest"], bool(top[3])) if len(m["rest"]) > 1 else ("", False)
+        label, noise, suspect = _facts(m["rest"], top[3] == INSIDE) if len(m["rest"]) > 1 else ("", False, False)
         top[4].append(name)
         if kind == 1 and not m["rest"].endswith("/"):
-            noise = noise and name not in ("html", "body") or name in NOISE and not (name == "header" and top[3])
-            stack.append([name, hash64(f"{top[1]}>{name}.{label}"), top[2] or noise, int((top[3] or name in MAIN) and not noise), []])
+            whole = name in ("html", "body")
+            noise = noise and not whole or name in NOISE and not (name == "header" and top[3] == INSIDE)
+            where = INSIDE if name in MAIN and not noise else SUSPECT if suspect and not whole and top[3] == OUTSIDE else top[3]
+            stack.append([name, hash64(f"{top[1]}>{name}.{label}"), top[2] or noise, where, []])
         elif kind == 2:
-            leaf, leaf_noise = name, noise
+            leaf, leaf_noise, leaf_suspect = name, noise or name in NOISE, suspect
     if at < len(page):
         text.append(page[at:])
     close_block()
@@ -140,9 +154,10 @@ def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, i
     return blocks, elements
 
 
-def main_text(blocks: list[tuple[int, int, str, int]], low: frozenset[int] | set[int]) -> str:
-    inside = any(b[1] for b in blocks)
-    return "\n".join(b[2] for b in blocks if b[0] not in low and (b[1] or not inside))
+def main_text(blocks: list[tuple[int, int, str, int]], low: frozenset[int] | set[int], known: bool) -> str:
+    """known: whether the page's host has statistics."""
+    inside = any(b[1] == INSIDE for b in blocks)
+    return "\n".join(b[2] for b in blocks if b[0] not in low and (b[1] == INSIDE or not inside) and (known or b[1] != SUSPECT))
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,26 +175,33 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, kind)], names=["host", "page", "nodes"])
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """The style tree's unimportant nodes: host, low (array). pages: host, html."""
+def importances(pages: DataFrame) -> DataFrame:
+    """The style tree: host, node, inside and importance of every block node. pages: host, html."""
     nodes = pages.mapInArrow(_nodes, "host string, page long, nodes array<struct<kind:int,node:bigint,inside:int,content:bigint,parent:bigint>>")
     distinct = Scratch(pages.sparkSession, "style-tree").save(nodes.groupBy("host", "page").agg(F.first("nodes").alias("nodes")))
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES_NEEDED)
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     seen = distinct.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.kind", "n.node", "n.inside", "n.parent", "n.content").agg(F.count("*").alias("c"))
     total = F.sum("c")
     entropy = (F.log(total) - F.sum(F.col("c") * F.log("c")) / total) / F.log(total)
     stats = seen.groupBy("host", "kind", "node", "inside", "parent").agg(total.alias("n"), F.when(total > 1, entropy).otherwise(1.0).alias("entropy"))
-    stats = stats.join(sizes, "host")
     shown = stats.where("kind = 1").select("host", F.col("node").alias("parent"), F.col("entropy").alias("shown"))
-    blocks = stats.where((F.col("kind") == 0) & (F.col("n") >= PAGES_NEEDED)).join(shown, ["host", "parent"], "left")
-    importance = PRESENTATION_SHARE * F.coalesce("shown", F.lit(1.0)) + (1 - PRESENTATION_SHARE) * F.col("entropy")
-    low = blocks.where(importance <= F.when(F.col("inside") == 1, LOW_INSIDE).otherwise(LOW_OUTSIDE))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"))
+    blocks = stats.where("kind = 0").join(shown, ["host", "parent"], "left").join(sizes, "host")
+    times = F.least("n", "pages")
+    shows = PRESENTATION_SHARE * F.coalesce("shown", F.lit(1.0)) + (1 - PRESENTATION_SHARE) * F.col("entropy")
+    prior = F.when(F.col("inside") == SUSPECT, 0.0).otherwise(1.0)
+    return blocks.select("host", "node", "inside", ((times * shows + PRIOR_PAGES * prior) / (times + PRIOR_PAGES)).alias("importance"))
+
+
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """The style tree's unimportant nodes: host, low (array); every host has a row. pages: host, html."""
+    limit = F.when(F.col("inside") == INSIDE, LOW_INSIDE).when(F.col("inside") == SUSPECT, LOW_SUSPECT).otherwise(LOW_OUTSIDE)
+    low = F.when(F.col("importance") <= limit, F.col("node"))
+    return importances(pages).groupBy("host").agg(F.sort_array(F.collect_set(low)).alias("low"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(parse(page or "")[0], set(low or ())) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [main_text(parse(page or "")[0], set(low or ()), low is not None) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
@@ -188,6 +210,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     plain = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     plain = plain.withColumn("host", url_parts(F.col("url"))[0])
     low = Scratch(pages.sparkSession, "style-low").save(low_nodes(plain.select("host", "html")))
-    joined = plain.join(checked_broadcast(low, BROADCAST_HOSTS), "host", "left").select("id", "url", "html", "low")
+    few = (low.agg(F.sum(F.size("low") + 8)).collect()[0][0] or 0) <= BROADCAST_NODES
+    joined = plain.join(F.broadcast(low) if few else low, "host", "left").select("id", "url", "html", "low")
     out = joined.mapInArrow(_texts, "id long, url string, text string")
     return out.select(F.col("id").alias(key), "url", "text", F.length("text").cast("long").alias("n_chars"))
