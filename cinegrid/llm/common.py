@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch at most (but one row): batches of 64 MB, Spark's own limit, take several times that in both processes.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 #: Rows that one task writes of an intermediate table whose size is known.
 ROWS_A_TASK = 8192
 WORD = r"[^\x20\x09-\x0D]+"

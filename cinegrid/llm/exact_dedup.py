@@ -29,13 +29,15 @@ HOT_GROUPS = 10_000
 #: A digest is worth salting when so many tasks hold it.
 HOT_FROM = 64
 SALTS = 32
-#: A task combines within windows of so many bytes of text, which bounds its memory.
-WINDOW_BYTES = 48 << 20
+#: A task combines within windows of so many bytes, which bounds its memory: of the texts it holds (with payload, of all rows
+#: read, else of the different texts), and ROW_BYTES for each row.
+WINDOW_BYTES, ROW_BYTES = 16 << 20, 64
 
 
 def _combiner(text: str, key: str | None, payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 1. With payload the best row of each text goes on whole, else its normalised text and its members' ids."""
     spaces = SPACE_CHARS.encode()
+    ids_too = key is not None and not payload
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -61,7 +63,7 @@ def _combiner(text: str, key: str | None, payload: bool) -> Callable[[Iterator[p
                 if payload:
                     taken = pa.Table.from_batches([batch]).take([v[4] for v in rows]).combine_chunks()
                     out = {f"p{i}": c for i, c in enumerate(taken.columns)} | out
-                elif key is not None:
+                elif ids_too:
                     out |= {"content": pa.array([k for k, _ in mine], pa.binary()), "ids": pa.array([v[5] for v in rows], pa.list_(pa.int64()))}
                 yield from pa.Table.from_pydict(out).to_batches()
             held.clear()
@@ -76,13 +78,16 @@ def _combiner(text: str, key: str | None, payload: bool) -> Callable[[Iterator[p
                 tag += 1
                 mine = [n, -(1 << 63) if i is None else -i, -tag, len(held), row, [i]]
                 old = best.get(norm)
+                size += ROW_BYTES + (len(raw) if payload or old is None else 0)
                 if old is None:
                     best[norm] = mine
-                    size += len(raw)
                 elif mine[:3] > old[:3]:
-                    mine[5] += old[5]
+                    if ids_too:
+                        old[5].append(i)
+                        old[5][0], old[5][-1] = i, old[5][0]  # the best one's id is the first
+                        mine[5] = old[5]
                     best[norm] = mine
-                else:
+                elif ids_too:
                     old[5].append(i)
             held.append(batch if payload else None)
             if size > WINDOW_BYTES:

@@ -7,11 +7,12 @@ group, and only groups enter the inverted lists. A candidate pair first meets th
 bitmap filter: each set keeps a parity bitmap of about two bits a shingle, and the bits in which two bitmaps differ bound
 the overlap from above, so few pairs that are no links go on. The rest are verified on whole texts, in two rounds:
 
-1. A class is compared with the class before it in its group, a group with the list neighbour that shares most prefix
+1. A class is compared with the first of its group, a group with the list neighbour that shares most prefix
    shingles and with the group that leads most of its lists (the one that has fewest rarer shingles, so most likely the
    original of a copy). That links most copies, however many there are, with about two comparisons each.
 2. Lists that hold a single component are done, for all their links would stay within it. In the others every two groups of
-   different components (and of fitting sizes and positions) are a candidate, expanded to their classes and verified. So
+   different components (and of fitting sizes, which are dealt into cells, positions and sketches) are a candidate, expanded to
+   their classes and verified. So
    no link between different components is missed, and no group of copies is expanded into all its pairs.
 
 Words are what is between white space, A-Z lower-cased. A text with fewer words than a shingle has its whole sequence as
@@ -23,17 +24,19 @@ reported, is its smallest document id, null only if all are. An empty table give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinegrid.llm.common import Scratch, checked_broadcast, text_or_empty
 from cinegrid.llm.components import connected_components
-from cinegrid.llm.wordhash import WordHasher, mix, shingles, slices
+from cinegrid.llm.wordhash import SLICE_BYTES, WordHasher, mix, shingles, slices
 
 BUCKETS, BLOCK = 1 << 20, 1 << 12
 SALTS = 64
@@ -44,6 +47,8 @@ SKETCH_LONGS = 8
 BROADCAST_IDS = 2_000_000
 #: Pairs, with both texts, that one task compares.
 PAIRS_A_TASK = 512
+#: In longer lists of a shingle, neighbours are looked for among about so many groups at a time.
+LIST_PART = 256
 
 
 def shingle_sets(hasher: WordHasher, texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -180,11 +185,15 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            good = []
-            for both in batch.column(2).to_pylist():
-                one, other = shingle_sets(hasher, pa.array(both, pa.large_string()), words)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                good.append(100 * common >= percent * (len(one) + len(other) - common))
+            both, good, at = batch.column(2).flatten(), [], 0  # the texts of a pair side by side
+            ends = np.cumsum(pc.binary_length(both).to_numpy(zero_copy_only=False).astype(np.int64))[1::2]
+            while at < batch.num_rows:  # SLICE_BYTES at a time, one pair at least
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                sets = shingle_sets(hasher, both.slice(2 * at, 2 * (to - at)), words)
+                for one, other in zip(sets[::2], sets[1::2], strict=True):
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    good.append(100 * common >= percent * (len(one) + len(other) - common))
+                at = to
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     wanted = F.broadcast(sides) if 2 * count <= BROADCAST_IDS // 4 else sides
@@ -205,41 +214,45 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"))
     members = scratch.save(classes.select("cid", "n", "ph").join(groups, ["n", "ph"]).select("cid", "gid", "n"), count)
 
-    # inverted lists of the groups' leaders; a shingle that only one group has links nothing
+    # inverted lists of the groups' leaders; a shingle that only one group has links nothing. One shuffle leaves those out; what
+    # is said of a whole list (its length, its lead) is then aggregated by task first and joined back
     leaders = classes.join(members.where("cid = gid").select("cid"), "cid")
     posted = leaders.select(F.col("cid").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-    by_token = W.partitionBy("token")
-    posted = scratch.save(posted.withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"), 8 * count)
+    posted = scratch.save(posted.withColumn("m", F.count("*").over(W.partitionBy("token"))).where("m > 1"), 8 * count)
+    lists = posted.groupBy("token").agg(F.min_by(F.struct("gid", "n"), F.struct("pos", "gid")).alias("lead"))
 
-    near = W.partitionBy("token").orderBy("n", "gid")
-    beside = posted.select("gid", "n", F.lag("gid").over(near).alias("other"), F.lag("n").over(near).alias("other_n"))
+    part = F.when(F.col("m") > LIST_PART, F.pmod(F.xxhash64("gid"), F.ceil(F.col("m") / LIST_PART))).otherwise(0)
+    near = W.partitionBy("token", "part").orderBy("n", "gid")
+    beside = posted.withColumn("part", part).select("gid", "n", F.lag("gid").over(near).alias("other"), F.lag("n").over(near).alias("other_n"))
     beside = beside.where(100 * F.col("other_n") >= percent * F.col("n")).groupBy("gid", "other").agg(F.count("*").alias("shared"))
     beside = beside.groupBy("gid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-    before = members.withColumn("before", F.lag("cid").over(W.partitionBy("gid").orderBy("cid"))).where("before is not null")
-    lead = posted.groupBy("token").agg(F.min_by(F.struct("gid", "n"), F.struct("pos", "gid")).alias("lead"))
-    led = posted.join(lead, "token").where((F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
+    led = posted.join(scratch.save(lists), "token").where((F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
     led = led.groupBy("gid", F.col("lead.gid").alias("other")).agg(F.count("*").alias("lists")).groupBy("gid").agg(F.max_by("other", F.struct("lists", "other")).alias("other"))
     stars = beside.select("gid", "other").union(led).select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b"))
+    before = members.where("cid <> gid").select(F.col("gid").alias("before"), "cid")
     first = before.select(F.col("before").alias("a"), F.col("cid").alias("b")).union(stars).distinct()
     links = verified(first, docs, classes, words, percent, count)
 
     roots = scratch.save(connected_components(links))
     members = scratch.save(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), count)
     span = members.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") == 1).alias("single"))
-    open_lists = posted.join(span, "gid").withColumn("mixed", F.min("low").over(by_token) != F.max("high").over(by_token)).where("mixed").drop("mixed")
+    listed = posted.select("token", "gid", "n", "pos").join(span, "gid")
+    mixed = listed.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
     # a group of one class carries its sketch into the join; for others nothing is ruled out there
     sketches = classes.select(F.col("cid").alias("gid"), "bitmap").mapInArrow(_sketches, "gid long, sketch array<long>")
-    open_lists = open_lists.join(sketches, "gid").withColumn("sketch", F.when(F.col("single"), F.col("sketch"))).drop("single")
-    open_lists = scratch.save(open_lists, 8 * count)
-    a, b = open_lists.alias("a"), open_lists.alias("b")
+    open_lists = listed.join(mixed, "token").join(sketches, "gid").withColumn("sketch", F.when(F.col("single"), F.col("sketch"))).drop("single")
+    # sizes that fit lie in one cell or in two that adjoin, so lists meet cell by cell
+    open_lists = scratch.save(open_lists.withColumn("cell", F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")), 8 * count)
+    wider = open_lists.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
+    a, b = open_lists.alias("a"), wider.alias("b")
     # what can still be common from these positions on must reach the overlap that the similarity asks for
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    fitting = (F.col("a.gid") < F.col("b.gid")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * reach >= percent * (F.col("a.n") + F.col("b.n")))
+    fitting = (F.col("a.gid") != F.col("b.gid")) & (F.col("a.cell") == F.col("b.cell")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * reach >= percent * (F.col("a.n") + F.col("b.n")))
     differ = sum((F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
     total = F.col("a.n") + F.col("b.n")
     fitting = fitting & F.coalesce((100 + percent) * (total - differ) >= 2 * percent * total, F.lit(True))
     apart = ~((F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & fitting & apart).select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct()
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & fitting & apart).select(F.least("a.gid", "b.gid").alias("ga"), F.greatest("a.gid", "b.gid").alias("gb")).distinct()
     pairs = pairs.union(span.where("low <> high").select("gid", "gid"))
     left = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("root").alias("ra"))
     right = members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("root").alias("rb"))

@@ -44,7 +44,7 @@ UNIGRAM, BPE = 1, 2
 #: Boundaries of a lane's window, in longest pieces, and lanes that move together.
 WINDOW, LANES = 4, 8192
 #: Characters of text worked on at a time (more only where a text has no break), and stretches that a task remembers.
-CHUNK, SLOTS, KEPT_IDS = 1 << 20, 1 << 20, 6_000_000
+CHUNK, SLOTS, KEPT_IDS = 1 << 18, 1 << 20, 4_000_000
 PAIRS = 1 << 20
 NONE, START = -2, -1
 
@@ -517,7 +517,7 @@ def decoder(v: Vocabulary) -> Callable[[list[int]], str]:
 
 
 #: So many bytes of text are taken from a batch at a time, which keeps their ids small beside it.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 
 
 def _replace(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
