@@ -63,9 +63,13 @@ def conflicts(named: DataFrame, path: str = "path", frame: str = "n") -> DataFra
 
 
 def ledger(requests: DataFrame, frame: str, seq: str, always_save: bool = False) -> DataFrame:
-    """Receipts of requests: a frame is written by its first request, later ones find it saved."""
-    rank = F.row_number().over(W.partitionBy(frame).orderBy(seq))
-    return requests.withColumn("saved", F.lit(True)).withColumn("performed", F.lit(always_save) | (rank == 1))
+    """Receipts of requests: a frame is written by its first request, later ones find it saved. Of requests with one sequence
+    number each performs. First requests are aggregated by task, so no task needs all requests of a frame."""
+    if always_save:
+        return requests.withColumn("saved", F.lit(True)).withColumn("performed", F.lit(True))
+    first = requests.groupBy(F.col(frame).alias("_frame")).agg(F.min(seq).alias("_first"))
+    met = requests.join(first, F.col(frame).eqNullSafe(F.col("_frame")))
+    return met.withColumn("saved", F.lit(True)).withColumn("performed", F.col(seq) == F.col("_first")).drop("_frame", "_first")
 
 
 def write_plan(family: Column, sample: Column, bits: Column, alpha: Column, depth: Column) -> list[Column]:

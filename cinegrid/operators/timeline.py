@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinegrid.operators.fixed import fixed
+
 
 def reduce_fps(num: int, den: int) -> tuple[int, int]:
     """The output rate in lowest terms."""
@@ -84,24 +86,37 @@ def segment_starts(df: DataFrame, order: str, count: str) -> DataFrame:
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    # range bounds are sampled, so rows are dealt out once and keep their part
+    ranged = fixed(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
     within = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = ranged.withColumn("_before", F.coalesce(F.sum(count).over(within), long(0)))
     totals = ranged.groupBy("_part").agg(F.sum(count).alias("_total"))
     base = totals.withColumn("_base", F.coalesce(F.sum("_total").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), long(0)))
     out = local.join(F.broadcast(base.select("_part", "_base")), "_part")  # one row a partition
-    return out.withColumn("start", F.col("_base") + F.col("_before")).drop("_part", "_base", "_before", "_total")
+    start = F.col("_base") + F.col("_before")
+    most = F.when(start + F.col(count) > long(MOST_FRAMES), F.raise_error(F.lit("the clip has too many frames"))).otherwise(start)
+    return out.withColumn("start", most.cast("bigint")).drop("_part", "_base", "_before", "_total")
 
 
+#: Frame numbers are 32-bit integers.
+MOST_FRAMES = (1 << 31) - 1
 BUCKET = 4096
 
 
-def resolve(asked: DataFrame, segments: DataFrame, n: str, segment: str) -> DataFrame:
-    """The segment and local frame of each asked frame number, by an equi-join on buckets of BUCKET frames; numbers out of range have none."""
+def resolve(asked: DataFrame, segments: DataFrame, n: str, segment: str, missing: str = "error") -> DataFrame:
+    """The segment and local frame of each asked frame number, by an equi-join on buckets of BUCKET frames.
+
+    A number that no segment holds is an error, or (missing="drop") has no row.
+    """
     last = F.col("start") + F.col("count") - 1
-    spread = segments.withColumn("_b", F.explode(F.sequence(int_div(F.col("start"), BUCKET), int_div(last, BUCKET))))
-    met = asked.withColumn("_b", int_div(F.col(n).cast("bigint"), BUCKET)).join(spread, "_b")
-    return met.where((F.col(n) >= F.col("start")) & (F.col(n) <= last)).withColumn("local", F.col(n) - F.col("start")).drop("_b")
+    spread = segments.withColumn("_b", F.explode(F.sequence(int_div(F.col("start"), BUCKET), int_div(last, BUCKET)))).withColumn("_last", last)
+    keyed = asked.withColumn("_b", int_div(F.col(n).cast("bigint"), BUCKET))
+    inside = (keyed["_b"] == spread["_b"]) & (F.col(n) >= F.col("start")) & (F.col(n) <= F.col("_last"))
+    met = keyed.join(spread, inside, "inner" if missing == "drop" else "left").drop(keyed["_b"]).drop("_b", "_last")
+    local = F.col(n) - F.col("start")
+    if missing != "drop":
+        local = F.when(F.col("start").isNull(), F.raise_error(F.concat(F.lit("requested a frame that the clip has not: "), F.col(n).cast("string")))).otherwise(local).cast("bigint")
+    return met.withColumn("local", local)
 
 
 def gif_delay(centiseconds: Column) -> Column:
@@ -112,25 +127,49 @@ def webp_delay(milliseconds: Column) -> Column:
     return milliseconds.cast("bigint") * long(1_000)
 
 
-def apng_delay(num: Column, den: Column) -> Column:
-    """Microseconds of a num / den delay; a denominator of 0 means hundredths."""
-    d = F.when(den == 0, 100).otherwise(den).cast("bigint")
-    return int_div(num.cast("bigint") * long(1_000_000), d)
+#: Ticks a second that a common timebase of delays may have.
+TIMEBASE_LIMIT = 1 << 31
+
+
+def common_multiple(a: Column, b: Column) -> Column:
+    """The least common multiple of two positive numbers, b below 2^16, by Euclid's steps (24 are enough for such a b)."""
+    step = F.aggregate(
+        F.sequence(F.lit(1), F.lit(26)), F.struct(a.alias("x"), b.alias("y")),
+        lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, 1).otherwise(s["y"])).alias("y"))),
+    )
+    return int_div(a, step["x"]) * b
+
+
+def apng_delays(df: DataFrame, animation: str, num: str, den: str) -> DataFrame:
+    """Adds ticks and duration: each animation's num / den delays on their lowest common denominator, so that nothing drifts; on
+    milliseconds, rounded down, where that has more than TIMEBASE_LIMIT ticks a second. A denominator of 0 means hundredths."""
+    hundredths = F.when(F.col(den) == 0, 100).otherwise(F.col(den)).cast("bigint")
+    dens = df.groupBy(animation).agg(F.array_sort(F.collect_set(hundredths)).alias("_dens"))  # 16-bit numbers
+    base = F.aggregate("_dens", long(1), lambda t, d: F.when(t > TIMEBASE_LIMIT, t).otherwise(common_multiple(t, d)))
+    bases = dens.select(animation, base.alias("_base"))
+    exact = F.col(num).cast("bigint") * int_div(F.col("_base"), hundredths)
+    d = df.join(bases, animation)
+    fits = F.col("_base") <= TIMEBASE_LIMIT
+    duration = F.when(fits, exact).otherwise(int_div(F.col(num).cast("bigint") * long(1000), hundredths))
+    return d.withColumn("ticks", F.when(fits, F.col("_base")).otherwise(long(1000))).withColumn("duration", duration).drop("_base")
 
 
-def composed(df: DataFrame, track: str, order: str, duration: str, offset: str) -> DataFrame:
+def composed(df: DataFrame, track: str, order: str, duration: str, offset: str, shown: str | None = None) -> DataFrame:
     """Presentation instants of coded pictures: decode time plus offset, never negative; a picture lasts until the next one.
 
-    Instants that go back are refused.
+    Instants that go back are refused. The track ends with its last decode time, or before that at `shown`, a column that is
+    null where nothing cuts it: pictures from there on are not shown, and the one it falls into lasts until then.
     """
     w = W.partitionBy(track).orderBy(order)
     dts = F.coalesce(F.sum(duration).over(w.rowsBetween(W.unboundedPreceding, -1)), long(0))
-    shown = F.sum(duration).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    d = df.withColumn("_shown", shown).withColumn("instant", F.greatest(long(0), dts + F.col(offset)))
+    end = F.sum(duration).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    d = df.withColumn("_end", end).withColumn("instant", F.greatest(long(0), dts + F.col(offset)))
+    d = d.withColumn("_shown", F.least("_end", shown) if shown else F.col("_end"))
     back = F.lag("instant").over(w) > F.col("instant")
-    d = d.withColumn("instant", F.when(back, F.raise_error(F.lit("composition goes back in time"))).otherwise(F.col("instant")).cast("bigint"))
-    until = F.least(F.coalesce(F.lead("instant").over(w), F.col("_shown")), F.col("_shown"))
-    return d.select(track, order, "instant", F.greatest(long(0), until - F.col("instant")).alias("duration"))
+    d = d.withColumn("_back", F.coalesce(back, F.lit(False))).withColumn("_next", F.coalesce(F.lead("instant").over(w), F.col("_end")))
+    d = d.withColumn("instant", F.when(F.col("_back"), F.raise_error(F.lit("composition goes back in time"))).otherwise(F.col("instant")).cast("bigint"))
+    d = d.where(F.col("instant") < F.col("_shown"))
+    return d.select(track, order, "instant", (F.least("_next", "_shown") - F.col("instant")).alias("duration"))
 
 
 def capped(df: DataFrame, track: str, order: str, duration: str, shown: str) -> DataFrame:

@@ -17,10 +17,7 @@ HEADS = ["", "0000001C6674797061766966", "000000186674797068656963", "0000001C66
 
 
 def picked(index, values: list[str]):
-    out = F.lit(values[0])
-    for i, v in enumerate(values[1:], 1):
-        out = F.when(index == i, v).otherwise(out)
-    return out
+    return F.get(F.array(*map(F.lit, values)), index.cast("int"))
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +35,11 @@ EXTS = ["avif", "BMP", "dib", "dds", "farbfeld", "gif", "Heic", "avci", "pic", "
 
 def route_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "pages").select("page_id", "url")
+    # named once: each is used many times, and what it takes would otherwise be written out as often
     name = F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("."), picked(F.col("page_id") % len(EXTS), EXTS))
     head = F.unhex(picked(F.floor(F.col("page_id") / 3) % len(HEADS), HEADS))
+    p = p.select("page_id", name.alias("name"), head.alias("head"))
+    head, name = F.col("head"), F.col("name")
     return p.select("page_id", I.route(head, name).alias("route"), I.from_extension(name).alias("named"), I.has_signature(I.from_extension(name)).alias("has_signature"))
 
 

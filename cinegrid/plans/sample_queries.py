@@ -150,10 +150,24 @@ def blend_over_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gif_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as animations of one pixel: a turn's text length is its colour, every fifth is transparent."""
     d = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    frames = d.select("conv_id", "turn", (F.col("n") % 256).cast("int").alias("colour"), (F.col("n") % 5 == 0).alias("clear"), F.get(F.array(F.lit("keep"), F.lit("background"), F.lit("previous")), (F.col("turn") % 3).cast("int")).alias("disposal"))
+    frames = d.select("conv_id", "turn", (F.col("n") % 256).cast("int").alias("colour"), (F.col("n") % 5 == 0).alias("clear"), F.get(F.array(*map(F.lit, DISPOSALS)), (F.col("turn") % 4).cast("int")).alias("disposal"))
     return fold.gif_pixel(frames, "conv_id", "turn")
 
 
+DISPOSALS = ["keep", "background", "previous", "any"]
+
+
+def gif_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as animations of 6 by 4 pixels: each turn draws a rectangle whose place, size, colours and disposal follow from
+    its text's length."""
+    d = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    wide, high = F.col("n") % 4 + 1, F.floor(F.col("n") / 4) % 3 + 1
+    pixels = F.transform(F.sequence(F.lit(0), (wide * high).cast("int") - 1), lambda i: F.when((F.col("n") + i) % 5 != 0, (F.col("n") * 3 + i) % 256))
+    disposal = F.get(F.array(*map(F.lit, DISPOSALS)), ((F.col("n") + F.col("turn")) % 4).cast("int"))
+    frames = d.select("conv_id", "turn", (F.col("n") % 3).alias("left"), (F.floor(F.col("n") / 2) % 2).alias("top"), wide.alias("wide"), pixels.alias("pixels"), disposal.alias("disposal"))
+    return fold.gif_canvas(frames, "conv_id", "turn", 6, 4)
+
+
 F32 = "CAST({} AS FLOAT)"
 SAMPLES_SQL = "SELECT vec_id, label, unnest(range(64)) AS i, CAST(floor(least(greatest(unnest(embedding) + 0.5::FLOAT, 0::FLOAT), 1::FLOAT) * {most}::FLOAT + 0.5::FLOAT) AS INTEGER) AS s FROM embeddings"
 S8, S10, S16 = (SAMPLES_SQL.format(most=(1 << b) - 1) for b in (8, 10, 16))
@@ -180,7 +194,7 @@ BYTE = "CAST(least(greatest(round({}), 0), 255) AS INTEGER)"
 KG = 1.0 - 0.299 - 0.114
 
 QUERIES = {
-    f.__name__: f for f in (quantise, orientation_map, depth_shift, split_planes, alpha_plane, widen_depth, reduce_depth, yuv_to_rgb, chroma_upsample, cmyk_to_rgb, ycbcr_tiff, jp2_sycc, bit_expand, narrow_gray, hdr_radiance, blend_over_apng, blend_over_webp, gif_compose)
+    f.__name__: f for f in (quantise, orientation_map, depth_shift, split_planes, alpha_plane, widen_depth, reduce_depth, yuv_to_rgb, chroma_upsample, cmyk_to_rgb, ycbcr_tiff, jp2_sycc, bit_expand, narrow_gray, hdr_radiance, blend_over_apng, blend_over_webp, gif_compose, gif_canvas)
 }
 ORACLE = {
     "quantise": f"WITH e AS (SELECT vec_id, CAST(unnest(range(64)) AS INTEGER) AS i, unnest(embedding) AS x FROM embeddings) SELECT vec_id, i, {q('x')} AS q8, {q('x', 65535)} AS q16 FROM e",
@@ -217,8 +231,17 @@ SELECT p_partkey, CAST(i AS INTEGER) AS i, CAST(CASE WHEN p_partkey % 2 = 0 THEN
     "blend_over_apng": PAIRS_SQL + " SELECT vec_id, k, " + ", ".join(f"CAST(CASE sa WHEN 0 THEN u{c} WHEN 255 THEN s{c} ELSE (s{c} * sa + u{c} * (255 - sa)) // 255 END AS INTEGER) AS {c}" for c in "rgba") + " FROM y",
     "blend_over_webp": PAIRS_SQL + ", z AS (SELECT *, ((((ua * (255 - sa) + 128) >> 8) + ua * (255 - sa) + 128) >> 8)::BIGINT AS keep FROM y) SELECT vec_id, k, " + ", ".join(f"CAST(CASE WHEN sa = 0 THEN u{c} ELSE ((s{c} * sa + u{c} * keep) * (16777216 // greatest(sa + keep, 1))) >> 24 END AS INTEGER) AS {c}" for c in "rgb") + ", CAST(CASE WHEN sa = 0 THEN ua ELSE sa + keep END AS INTEGER) AS a FROM z",
     "gif_compose": """WITH RECURSIVE f AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
-x AS (SELECT conv_id, r, turn, CAST(n % 256 AS INTEGER) AS colour, n % 5 = 0 AS clear, turn % 3 AS d FROM f),
-s AS (SELECT conv_id, r, turn, CASE WHEN clear THEN -1 ELSE colour END AS shown, CASE d WHEN 0 THEN CASE WHEN clear THEN -1 ELSE colour END ELSE -1 END AS base FROM x WHERE r = 1
- UNION ALL SELECT x.conv_id, x.r, x.turn, CASE WHEN x.clear THEN s.base ELSE x.colour END, CASE x.d WHEN 0 THEN CASE WHEN x.clear THEN s.base ELSE x.colour END WHEN 1 THEN -1 ELSE s.base END FROM s JOIN x ON x.conv_id = s.conv_id AND x.r = s.r + 1)
+x AS (SELECT conv_id, r, turn, CAST(n % 256 AS INTEGER) AS colour, n % 5 = 0 AS clear, turn % 4 AS d FROM f),
+s AS (SELECT conv_id, r, turn, CASE WHEN clear THEN -1 ELSE colour END AS shown, CASE WHEN d IN (0, 3) AND NOT clear THEN colour ELSE -1 END AS base FROM x WHERE r = 1
+ UNION ALL SELECT x.conv_id, x.r, x.turn, CASE WHEN x.clear THEN s.base ELSE x.colour END, CASE WHEN x.d = 1 THEN -1 WHEN x.d <> 2 AND NOT x.clear THEN x.colour ELSE s.base END FROM s JOIN x ON x.conv_id = s.conv_id AND x.r = s.r + 1)
 SELECT conv_id, turn, CAST(shown AS INTEGER) AS shown FROM s""",
+    "gif_canvas": """WITH RECURSIVE f AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+x AS (SELECT conv_id, turn, r, n, n % 3 AS l, n // 2 % 2 AS t, n % 4 + 1 AS w, n // 4 % 3 + 1 AS h, (n + turn) % 4 AS d, unnest(range(24)) AS p FROM f),
+y AS (SELECT *, p % 6 - l AS px, p // 6 - t AS py FROM x),
+z AS (SELECT conv_id, turn, r, p, d, px BETWEEN 0 AND w - 1 AND py BETWEEN 0 AND h - 1 AS hit, py * w + px AS i, n FROM y),
+c AS (SELECT conv_id, turn, r, p, d, hit, CASE WHEN hit AND (n + i) % 5 <> 0 THEN (n * 3 + i) % 256 ELSE -1 END AS own FROM z),
+s AS (SELECT conv_id, turn, r, p, own AS shown, CASE WHEN hit AND d IN (0, 3) THEN own ELSE -1 END AS base FROM c WHERE r = 1
+ UNION ALL SELECT c.conv_id, c.turn, c.r, c.p, CASE WHEN c.own < 0 THEN s.base ELSE c.own END,
+  CASE WHEN NOT c.hit OR c.d = 2 THEN s.base WHEN c.d = 1 THEN -1 WHEN c.own < 0 THEN s.base ELSE c.own END FROM s JOIN c ON c.conv_id = s.conv_id AND c.p = s.p AND c.r = s.r + 1)
+SELECT conv_id, turn, list(CAST(shown AS INTEGER) ORDER BY p) AS shown FROM s GROUP BY conv_id, turn""",
 }

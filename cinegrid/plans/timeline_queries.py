@@ -58,12 +58,23 @@ def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 1000 frames of the concatenation, asked for once for each order line: which user and local frame they show."""
     asked = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 50000).alias("n"))
-    return T.resolve(asked, segment_table(spark, sf_dir), "n", "user_id").select("l_orderkey", "l_linenumber", "n", "user_id", "local")
+    return T.resolve(asked, segment_table(spark, sf_dir), "n", "user_id", missing="drop").select("l_orderkey", "l_linenumber", "n", "user_id", "local")
 
 
 def gif_webp_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "part")
-    return p.select("p_partkey", T.gif_delay(F.col("p_size")).alias("gif_us"), T.webp_delay(F.col("p_size")).alias("webp_us"), T.apng_delay(F.col("p_size"), F.col("p_partkey") % 5 * 25).alias("apng_us"))
+    return p.select("p_partkey", T.gif_delay(F.col("p_size")).alias("gif_us"), T.webp_delay(F.col("p_size")).alias("webp_us"))
+
+
+DENOMINATORS = [0, 1, 24, 30, 1000, 90, 65521, 60000]
+
+
+def apng_timebases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as animations: each line's quantity is a delay's numerator, its denominator goes by the part."""
+    li = numbered_lines(spark, sf_dir)
+    den = F.get(F.array(*[F.lit(d) for d in DENOMINATORS]), (F.col("l_partkey") % len(DENOMINATORS)).cast("int"))
+    li = li.select("l_orderkey", "pos", F.col("l_quantity").cast("long").alias("num"), den.alias("den"))
+    return T.apng_delays(li, "l_orderkey", "num", "den").select("l_orderkey", "pos", "ticks", "duration")
 
 
 #: Line numbers repeat within an order, so lines are numbered anew.
@@ -76,9 +87,11 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as coded pictures: quantity is the duration, the tax shifts the instant within it."""
-    li = numbered_lines(spark, sf_dir).select("l_orderkey", "pos", F.col("l_quantity").cast("long").alias("duration"), F.floor(F.col("l_tax") * 10).cast("long").alias("offset"))
-    return T.composed(li, "l_orderkey", "pos", "duration", "offset")
+    """Order lines as coded pictures: quantity is the duration; instants are shifted later and later, in some orders beyond the end,
+    and every third order is cut after 60 units."""
+    shift, cut = F.col("pos") * (F.col("l_orderkey") % 20) - 5, F.when(F.col("l_orderkey") % 3 == 0, F.lit(60).cast("long"))
+    li = numbered_lines(spark, sf_dir).select("l_orderkey", "pos", F.col("l_quantity").cast("long").alias("duration"), shift.alias("offset"), cut.alias("shown"))
+    return T.composed(li, "l_orderkey", "pos", "duration", "offset", "shown")
 
 
 def edit_list_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,17 +100,22 @@ def edit_list_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.capped(s.withColumn("shown", T.int_div(F.sum("duration").over(W.partitionBy("user_id")), 2)), "user_id", "presentation", "duration", "shown").select("user_id", "presentation", "duration")
 
 
-QUERIES |= {"segment_table": segment_table, "resolve_frames": resolve_frames, "gif_webp_delays": gif_webp_delays, "composition_order": composition_order, "edit_list_cap": edit_list_cap}
+QUERIES |= {"segment_table": segment_table, "resolve_frames": resolve_frames, "gif_webp_delays": gif_webp_delays, "apng_timebases": apng_timebases, "composition_order": composition_order, "edit_list_cap": edit_list_cap}
 POS_SQL = f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS INTEGER)"
 SEGMENTS = f"{SAMPLES_CTE}, g AS (SELECT user_id, max(count) AS count FROM s GROUP BY user_id), seg AS (SELECT user_id, count, CAST(coalesce(sum(count) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM g)"
 ORACLE |= {
     "segment_table": f"WITH {SEGMENTS} SELECT user_id, count, start FROM seg",
     "resolve_frames": f"WITH {SEGMENTS}, r AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 50000 AS n FROM lineitem) SELECT l_orderkey, l_linenumber, n, user_id, n - start AS local FROM r ASOF JOIN seg ON r.n >= seg.start WHERE n < start + count",
-    "gif_webp_delays": "SELECT p_partkey, p_size::BIGINT * 10000 AS gif_us, p_size::BIGINT * 1000 AS webp_us, p_size::BIGINT * 1000000 // CASE WHEN p_partkey % 5 = 0 THEN 100 ELSE p_partkey % 5 * 25 END AS apng_us FROM part",
-    "composition_order": f"""WITH a AS (SELECT l_orderkey, {POS_SQL} AS pos, CAST(l_quantity AS BIGINT) AS d, CAST(floor(l_tax * 10) AS BIGINT) AS o FROM lineitem),
-b AS (SELECT *, CAST(coalesce(sum(d) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts, CAST(sum(d) OVER (PARTITION BY l_orderkey) AS BIGINT) AS shown FROM a),
-c AS (SELECT *, greatest(0, dts + o) AS instant FROM b)
-SELECT l_orderkey, pos, instant, greatest(0, least(coalesce(lead(instant) OVER (PARTITION BY l_orderkey ORDER BY pos), shown), shown) - instant) AS duration FROM c""",
+    "gif_webp_delays": "SELECT p_partkey, p_size::BIGINT * 10000 AS gif_us, p_size::BIGINT * 1000 AS webp_us FROM part",
+    "apng_timebases": f"""WITH a AS (SELECT l_orderkey, {POS_SQL} AS pos, CAST(l_quantity AS BIGINT) AS num, CAST(({DENOMINATORS})[CAST(l_partkey % 8 AS INTEGER) + 1] AS BIGINT) AS raw FROM lineitem),
+b AS (SELECT *, CASE raw WHEN 0 THEN 100 ELSE raw END AS den FROM a),
+c AS (SELECT l_orderkey, list_reduce(list(DISTINCT den), lambda x, y: lcm(x, y)) AS base FROM b GROUP BY 1)
+SELECT l_orderkey, pos, CASE WHEN base <= 2147483648 THEN base ELSE 1000 END AS ticks, CASE WHEN base <= 2147483648 THEN num * (base // den) ELSE num * 1000 // den END AS duration FROM b JOIN c USING (l_orderkey)""",
+    "composition_order": f"""WITH a AS (SELECT l_orderkey, {POS_SQL} AS pos, CAST(l_quantity AS BIGINT) AS d FROM lineitem),
+b AS (SELECT *, CAST(coalesce(sum(d) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS decode, CAST(sum(d) OVER (PARTITION BY l_orderkey) AS BIGINT) AS track_end FROM a),
+c AS (SELECT *, greatest(decode + pos * (l_orderkey % 20) - 5, 0) AS instant, CASE WHEN l_orderkey % 3 = 0 AND track_end > 60 THEN 60 ELSE track_end END AS stop FROM b),
+n AS (SELECT *, coalesce(lead(instant) OVER (PARTITION BY l_orderkey ORDER BY pos), track_end) AS following FROM c)
+SELECT l_orderkey, pos, instant, least(following, stop) - instant AS duration FROM n WHERE instant < stop""",
     "edit_list_cap": f"""WITH {SAMPLES_CTE}, x AS (SELECT user_id, presentation, duration, CAST(sum(duration) OVER (PARTITION BY user_id) AS BIGINT) // 2 AS shown,
 CAST(coalesce(sum(duration) OVER (PARTITION BY user_id ORDER BY presentation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM s)
 SELECT user_id, presentation, least(duration, shown - f) AS duration FROM x WHERE f < shown""",

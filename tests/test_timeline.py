@@ -56,13 +56,28 @@ def test_segments_and_resolve(spark):
     seg = T.segment_starts(spark.createDataFrame(list(enumerate(counts)), "f long, count long"), "f", "count")
     assert [r.start for r in seg.orderBy("f").collect()] == [0, 3, 4, 10004]
     asked = spark.createDataFrame([(n,) for n in (0, 2, 3, 4, 10003, 10004, 10010, 10011)], "n long")
-    got = {r.n: (r.f, r.local) for r in T.resolve(asked, seg, "n", "f").collect()}
+    got = {r.n: (r.f, r.local) for r in T.resolve(asked, seg, "n", "f", missing="drop").collect()}
     assert got == {0: (0, 0), 2: (0, 2), 3: (1, 0), 4: (2, 0), 10003: (2, 9999), 10004: (3, 0), 10010: (3, 6)}
+    assert T.resolve(asked.where("n < 10011"), seg, "n", "f").count() == 7
+    with pytest.raises(Exception, match="10011"):
+        T.resolve(asked, seg, "n", "f").collect()
+    with pytest.raises(Exception, match="too many frames"):
+        T.segment_starts(spark.createDataFrame([(0, 2**31 - 5), (1, 9)], "f long, count long"), "f", "count").collect()
+
+
+def test_apng_timebase(spark):
+    rows = [("a", 1, 3), ("a", 1, 3), ("a", 1, 0), ("b", 1, 65521), ("b", 7, 65519), ("b", 1, 1), ("c", 5, 65535)]
+    got = T.apng_delays(spark.createDataFrame(rows, "a string, num int, den int"), "a", "num", "den").collect()
+    assert sorted((r.a, r.num, r.den, r.ticks, r.duration) for r in got) == [
+        ("a", 1, 0, 300, 3), ("a", 1, 3, 300, 100), ("a", 1, 3, 300, 100), ("b", 1, 1, 1000, 1000), ("b", 1, 65521, 1000, 0), ("b", 7, 65519, 1000, 0), ("c", 5, 65535, 65535, 5),
+    ]
 
 
 def test_composition(spark):
     df = spark.createDataFrame([(1, i, d, o) for i, (d, o) in enumerate([(10, 5), (10, 0), (10, 3)])], "t long, i int, d long, o long")
     assert [(r.instant, r.duration) for r in T.composed(df, "t", "i", "d", "o").orderBy("i").collect()] == [(5, 5), (10, 13), (23, 7)]
+    late = spark.createDataFrame([(1, 0, 10, 0, None), (1, 1, 10, 3, None), (1, 2, 10, 12, None), (2, 0, 10, 0, 12), (2, 1, 10, 0, 12), (2, 2, 10, 0, 12)], "t long, i int, d long, o long, s long")
+    assert [(r.t, r.instant, r.duration) for r in T.composed(late, "t", "i", "d", "o", "s").orderBy("t", "i").collect()] == [(1, 0, 13), (1, 13, 17), (2, 0, 10), (2, 10, 2)]
     back = spark.createDataFrame([(1, 0, 10, 25), (1, 1, 10, 0)], "t long, i int, d long, o long")
     with pytest.raises(Exception, match="back in time"):
         T.composed(back, "t", "i", "d", "o").collect()
