@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from cinegrid.llm.common import Scratch, checked_broadcast
 
 DEGREE = 24
-PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 8, 256
+PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 8, 512
 #: Nodes a pivot gets on average while PIVOTS allows it, and the neighbours that each block names.
 PIVOT_NODES, BLOCK_DEGREE = 128, 12
 #: NN-descent ends when a round raises the sum of the lists' similarities by less than GAIN of it.
 GAIN, CHUNK = 0.001, 64
-WIDTH, BEAM, REACH, LINKS = 24, 96, 48, 48
+WIDTH, BEAM, REACH, LINKS = 32, 160, 128, 64
 FINAL = 48
 SALTS = 64
 #: Tables of a few numbers a row are broadcast up to so many rows.

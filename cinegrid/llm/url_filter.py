@@ -25,7 +25,8 @@ BROADCAST_RULES = 200_000
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def lower_ascii(c: Column) -> Column:
