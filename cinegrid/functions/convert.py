@@ -157,3 +157,31 @@ def sycc_to_rgb(y: Column, cb: Column, cr: Column, bits: int) -> Column:
 def radiance(c: Column, e: Column) -> Column:
     """A shared-exponent sample as FLOAT: c * 2^(e - 136); exponent 0 is black."""
     return F.when(e == 0, f32(0)).otherwise((c.cast("double") * F.pow(F.lit(2.0), (e - 136).cast("double"))).cast("float"))
+
+
+def yuv_refusal(bits: Column, precision: Column, across: Column, down: Column, width: Column, height: Column, matrix: Column) -> Column:
+    """Why a YUV picture cannot be converted; null where it can. across, down: bits that its chroma is subsampled by."""
+    chroma = (F.call_function("shiftright", width, across) == 0) | (F.call_function("shiftright", height, down) == 0)
+    return (
+        F.when(~bits.between(8, 16), "depth").when(~precision.between(1, 16), "precision").when(~across.between(0, 1) | ~down.between(0, 1), "subsampling")
+        .when(~matrix.isin(t.MATRIX_CODES), "unknown matrix").when(F.coalesce(matrix, F.lit(2)) == 2, "matrix not stated")
+        .when(matrix.isin(10, 13, 14), "constant luminance").when(matrix == 12, "derived matrix").when(chroma, "no chroma sample")
+    )
+
+
+def yuv_matrix(given: Column, stated: Column, refuse: bool = True) -> Column:
+    """The matrix a YUV picture is read with: the one given, else the one it states. None at all is an error (or null)."""
+    none = F.raise_error(F.lit("the picture states no matrix; name the one it was coded with")).cast("int") if refuse else F.lit(None).cast("int")
+    return F.coalesce(given, F.when(stated != 2, stated)).cast("int") if not refuse else F.coalesce(given, F.when(stated != 2, stated), none)
+
+
+def sample_word(sample: Column, depth: Column) -> Column:
+    """A decoded sample of `depth` bits as the word of its buffer: more than 8 bits are left-aligned in 16."""
+    value = F.least(F.greatest(F.round(sample), F.lit(0.0)), (F.call_function("shiftleft", F.lit(1), depth) - 1).cast("double")).cast("int")
+    return F.when(depth > 8, F.call_function("shiftleft", value, 16 - depth)).otherwise(value)
+
+
+def palette_entry(palette: Column, index: Column) -> Column:
+    """The colours (array) of an index; one beyond the palette is an error."""
+    at = F.greatest(F.round(index), F.lit(0)).cast("int")
+    return F.when(at >= F.size(palette), F.raise_error(F.lit("a palette index is past the end of the palette")).cast("array<int>")).otherwise(F.get(palette, at))

@@ -177,3 +177,42 @@ def capped(df: DataFrame, track: str, order: str, duration: str, shown: str) ->
     w = W.partitionBy(track).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     d = df.withColumn("_from", F.coalesce(F.sum(duration).over(w), long(0))).where(F.col("_from") < F.col(shown))
     return d.withColumn(duration, F.least(F.col(duration), F.col(shown) - F.col("_from"))).drop("_from")
+
+
+def clip_frames(df: DataFrame, segment: str, order: str, duration: str, rate: tuple[int, int], fps: tuple[int, int]) -> DataFrame:
+    """Every frame of the concatenation of all segments, in the order of their keys: n, segment, local and presentation."""
+    sampled = samples(df, segment, order, duration, rate, fps)
+    starts = segment_starts(sampled.groupBy(segment).agg(F.max("count").alias("count")), segment, "count")
+    each = frames(holds(sampled, segment), segment).join(starts.select(segment, "start"), segment)
+    return each.select((F.col("start") + F.col("local")).alias("n"), segment, "local", "presentation")
+
+
+#: Samples that one track's table may state.
+MOST_SAMPLES = 1 << 22
+
+
+def composition_offset(version: Column, raw: Column) -> Column:
+    """A composition offset from its unsigned 32 bits: signed in version 1 of the table."""
+    return F.when((version == 1) & (raw >= long(1 << 31)), raw - long(1 << 32)).otherwise(raw)
+
+
+def expand_runs(runs: DataFrame, track: str, order: str, count: str, value: str) -> DataFrame:
+    """track, sample (from 0) and value of every sample of run-length tables. A track with an empty run, or with more than
+    MOST_SAMPLES samples, states no timeline: it has no rows. Only runs are sorted, never samples."""
+    whole = W.partitionBy(track)
+    before = F.coalesce(F.sum(count).over(whole.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), long(0))
+    sound = (F.min(count).over(whole) > 0) & (F.sum(count).over(whole) <= MOST_SAMPLES)
+    d = runs.withColumn("_before", before).withColumn("_sound", sound).where("_sound")
+    return d.select(track, F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col(count) - 1)).alias("sample"), value)
+
+
+def edit_list(edits: DataFrame, track: str, order: str, duration: str, media_time: str) -> DataFrame:
+    """track, shown (where its media ends, null for all of it) and refusal (null where the list can be played).
+
+    Empty edits (a negative media time) only delay. One edit from the media's start may cut its end; a list that skips the
+    start or edits the media more than once is refused.
+    """
+    real = F.when(F.col(media_time) >= 0, F.struct(order, F.col(media_time).alias("m"), F.col(duration).alias("d")))
+    d = edits.groupBy(track).agg(F.min(real).alias("first"), F.count(real).alias("edits"))
+    refusal = F.when(F.col("first.m") > 0, "starts within its media").when(F.col("edits") > 1, "edits its media more than once")
+    return d.select(track, F.when(refusal.isNull() & (F.col("first.d") > 0), F.col("first.d")).alias("shown"), refusal.alias("refusal"))
