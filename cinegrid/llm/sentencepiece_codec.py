@@ -529,20 +529,34 @@ def _with(df: DataFrame, target: str, ddl: str) -> StructType:
     return df.drop(target).withColumn(target, F.lit(None).cast(ddl)).schema
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: Vocabulary | None = None) -> DataFrame:
-    """df with the ids (array<int>) of a text column."""
+def _texts(flat: list[int], number: list[int], decode_ids: Callable[[list[int]], str]) -> pa.Array:
+    texts, at = [], 0
+    for n in number:
+        texts.append(decode_ids(flat[at : at + n]))
+        at += n
+    return pa.array(texts, pa.string())
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: Vocabulary | None = None, decoded: str | None = None) -> DataFrame:
+    """df with the ids (array<int>) of a text column and, in the column `decoded` if one is named, the text that they decode to.
+    One Python worker does both, where `decode` after `encode` takes two a task."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Tables(vocabulary or load_vocabulary()))  # one vocabulary, whatever the input's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
+        decode_ids = decoder(encoder.v) if decoded else None
         for batch in batches:
             for part, texts in slices(batch, text, BYTES_AT_ONCE):
                 flat, number = encoder(texts.to_pylist())
                 ends = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
-                yield _replace(part, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                out = _replace(part, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                yield _replace(out, decoded, _texts(flat.tolist(), number.tolist(), decode_ids)) if decoded else out
 
-    return df.mapInArrow(run, _with(df, ids, "array<int>"))
+    schema = _with(df, ids, "array<int>")
+    if decoded:
+        schema = StructType([f for f in schema if f.name != decoded]).add(decoded, "string")
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -550,18 +564,15 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: V
     shared = df.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded = decoder(shared.value)
+        decode_ids = decoder(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids)).cast(pa.list_(pa.int32()))
             sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends, at = np.cumsum(sizes), 0
             while at < len(sizes):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE // 4, "right")))
-                flat, texts, k = column.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).tolist(), [], 0
-                for n in sizes[at:to].tolist():
-                    texts.append(decoded(flat[k : k + n]))
-                    k += n
-                yield _replace(batch.slice(at, to - at), text, pa.array(texts, pa.string()))
+                flat = column.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).tolist()
+                yield _replace(batch.slice(at, to - at), text, _texts(flat, sizes[at:to].tolist(), decode_ids))
                 at = to
 
     return df.mapInArrow(run, _with(df, text, "string"))
@@ -569,6 +580,5 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: V
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """For each row of docs its ids, their number, and the digest of the decoded text."""
-    v = load_vocabulary(model)
-    coded = encode(docs.select(F.col(key), F.col(text).alias("text")), "text", "ids", v).drop("text")
-    return decode(coded, "ids", "decoded", v).select(key, F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs.select(F.col(key), F.col(text).alias("text")), "text", "ids", load_vocabulary(model), decoded="text")
+    return coded.select(key, F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))

@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cinegrid.llm import sentencepiece_codec as codec
 
@@ -97,3 +99,15 @@ def test_table_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for r in codec.decode(codec.encode(docs)).collect():
         assert r.decoded == r.text and r.ids == LIB.encode(r.text)
+
+
+def test_round_trip_in_one_pass(spark):
+    rows = [(1, "a b  c"), (2, None), (3, ""), (4, "x\ty é 漢")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit(7))
+    two = {r.doc_id: (r.ids, r.decoded, r.text, r.more) for r in codec.decode(codec.encode(df)).collect()}
+    one = {r.doc_id: (r.ids, r.decoded, r.text, r.more) for r in codec.encode(df, decoded="decoded").collect()}
+    assert one == two and one[2][:3] == ([], "", None)
+    over = codec.encode(df, decoded="text")  # a column of that name is replaced
+    assert over.columns == ["doc_id", "more", "ids", "text"] and {r.doc_id: r.text for r in over.collect()} == {i: t or "" for i, t in rows}
+    told = {r.doc_id: r.decoded_sha256 for r in codec.round_trip(df).collect()}
+    assert told == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows}
