@@ -38,10 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, their number and the digest of what they decode to."""
-    v = sentencepiece_codec.load_vocabulary()
-    coded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), "text", "ids", v).drop("text")
-    decoded = sentencepiece_codec.decode(coded, "ids", "decoded", v)
-    return decoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), "text", "ids", decoded="text")
+    return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
