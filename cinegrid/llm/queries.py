@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegrid.llm import ann, exact_dedup, html_extract, mixing, ngram_join, pii, quality, sentencepiece_codec, substring_dedup, url_filter
+from cinegrid.llm import ann, exact_dedup, html_extract, importance, language_id, mixing, ngram_join, pii, quality, sentencepiece_codec, substring_dedup, url_filter, vector_codes
 from cinegrid.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_importance": op11_importance,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_language_id": op13_language_id,
 }
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -71,4 +86,5 @@ g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)""",
     "op2_mixing": mixing.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
