@@ -52,3 +52,40 @@ def test_many_copies(spark):
     rows += [(1000 + i, rows[0][1]) for i in range(3000)]
     got = [(r["rank"], r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") == 0).collect()]
     assert sorted(got) == [(i, 999 + i) for i in range(1, 6)]
+
+
+def agrees(spark, x, step=1, k=5):
+    """Recall against brute force of every step-th row, over float64 cosines."""
+    x = np.asarray(x, np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, F.col("id") % step == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    y, hit, total = ann.scaled(x), 0, 0
+    for q in range(0, len(x), step):
+        s = ann.cosines(y[q], y)
+        order = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]
+        mine = sorted(got.get(q, []))
+        assert [r for r, _, _ in mine] == list(range(1, len(order) + 1))
+        assert [(-v, i) for _, i, v in mine] == sorted((-v, i) for _, i, v in mine)
+        hit += len({i for _, i, _ in mine} & set(order))
+        total += len(order)
+    return hit / max(1, total)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 40])
+def test_small_tables_are_exact(spark, n):
+    assert agrees(spark, np.random.default_rng(n).normal(size=(n, 8))) == (1.0 if n > 1 else 0)
+
+
+def test_orthogonal_vectors_tie_exactly(spark):
+    assert agrees(spark, np.eye(30)) == 1
+    assert agrees(spark, np.eye(128), 4) == 1
+    assert agrees(spark, np.eye(300), 50) == 1  # more ties than a search keeps
+
+
+@pytest.mark.parametrize("noise", [1e-4, 1e-2])
+def test_near_copies(spark, noise):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(4, 64)), 150, axis=0) + noise * rng.normal(size=(600, 64))
+    assert agrees(spark, x, 5) >= 0.9
