@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from cinegrid.llm.common import Scratch, checked_broadcast
 
 DEGREE = 24
-PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 8, 512
+PIVOTS, PIVOTS_EACH, PASSES, BLOCK = 1024, 3, 4, 512
 #: Nodes a pivot gets on average while PIVOTS allows it, and the neighbours that each block names.
 PIVOT_NODES, BLOCK_DEGREE = 128, 12
 #: NN-descent ends when a round changes less than GAIN of the lists' entries.
@@ -142,25 +142,27 @@ def smallest_ids(vectors: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return d.select("node", "id")
 
 
-def block_lists(nodes: DataFrame, count: int, seed: int, scratch: Scratch) -> DataFrame:
-    """Neighbour lists from one pass of blocks. nodes: node, unit."""
+def block_lists(nodes: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+    """Neighbour lists from PASSES dealings into blocks, each by pivots and planes of its own. nodes: node, unit."""
     wanted = max(1, min(PIVOTS, count // PIVOT_NODES))
-    pivots = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(wanted).select("unit").collect()  # PIVOTS vectors at most
-    shared = nodes.sparkSession.sparkContext.broadcast(_rows([bytes(p.unit) for p in pivots]))
+    drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(wanted * PASSES).select("unit").collect()  # PIVOTS vectors a pass at most
+    pivots = [_rows([bytes(p.unit) for p in drawn[i::PASSES] or drawn]) for i in range(PASSES)]
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        each = min(PIVOTS_EACH, len(p))
-        planes = np.random.default_rng(seed).normal(size=(p.shape[1], 48))
+        planes = [np.random.default_rng(i).normal(size=(p.shape[1], 48)) for i, p in enumerate(shared.value)]
         for batch in batches:
             if batch.num_rows:
                 x = _rows(batch.column(1).to_pylist())
-                near = np.argpartition(-nearness(x, p), each - 1, axis=1)[:, :each].reshape(-1)
-                rows = np.repeat(np.arange(batch.num_rows), each)
-                side = (x @ planes)[rows] > (p @ planes)[near]
-                code = (side @ (np.int64(1) << np.arange(48, dtype=np.int64))).astype(np.int64)
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), part.column(0), part.column(1), pa.array(code)], names=["pivot", "node", "unit", "code"])
+                for i, p in enumerate(shared.value):
+                    each = min(PIVOTS_EACH, len(p))
+                    near = np.argpartition(-nearness(x, p), each - 1, axis=1)[:, :each].reshape(-1)
+                    rows = np.repeat(np.arange(batch.num_rows), each)
+                    side = (x @ planes[i])[rows] > (p @ planes[i])[near]
+                    code = (side @ (np.int64(1) << np.arange(48, dtype=np.int64))).astype(np.int64)
+                    part = batch.take(pa.array(rows))
+                    pivot = (i * PIVOTS + near).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(pivot), part.column(0), part.column(1), pa.array(code)], names=["pivot", "node", "unit", "code"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +176,11 @@ def block_lists(nodes: DataFrame, count: int, seed: int, scratch: Scratch) -> Da
                     yield _lists(ids.tolist(), list(ids[top]), list(np.take_along_axis(sims, top, 1)))
 
     spread = scratch.save(nodes.select("node", "unit").mapInArrow(assign, "pivot int, node long, unit binary, code long"))
-    # as many signs as bring a pivot's nodes to the size of a block; PIVOTS rows at most
+    # as many signs as bring a pivot's nodes to the size of a block; PIVOTS rows a pass at most
     signs = F.broadcast(spread.groupBy("pivot").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK))).cast("int").alias("signs")))
     cells = spread.join(signs, "pivot").withColumn("cell", F.pmod("code", F.expr("shiftleft(1L, signs)"))).drop("code", "signs")
     sizes = scratch.save(cells.groupBy("pivot", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    blocks = cells.join(checked_broadcast(sizes, BROADCAST_ROWS), ["pivot", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")))
+    blocks = cells.join(checked_broadcast(sizes, BROADCAST_ROWS), ["pivot", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", "pivot"), F.col("blocks")))
     grouped = blocks.groupBy("pivot", "cell", "block").agg(F.collect_list(F.struct("node", "unit")).alias("members")).select("members")
     return scratch.save(grouped.mapInArrow(local, LISTS))
 
@@ -240,12 +242,7 @@ def descend(graph: DataFrame, nodes: DataFrame, seed: int, scratch: Scratch) ->
 
 
 def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    count = nodes.count()
-    lists = None
-    for seed in range(PASSES):
-        one = block_lists(nodes, count, seed, scratch)
-        lists = one if lists is None else lists.unionByName(one)
-    graph = scratch.save(merged(lists, DEGREE))
+    graph = scratch.save(merged(block_lists(nodes, nodes.count(), scratch), DEGREE))
     seed = PASSES
     while True:
         old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
