@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinegrid.operators.fixed import fixed
+from cinegrid.operators.segments import scanned
 
 
 def reduce_fps(num: int, den: int) -> tuple[int, int]:
@@ -45,32 +46,43 @@ def ceil_scaled(units: Column, mul: int, div: int) -> Column:
     return int_div(units * long(mul) + long(div - 1), div)
 
 
-def delay_or_tick(duration: Column, rate: tuple[int, int], fps: tuple[int, int]) -> Column:
-    """A missing or non-positive duration lasts one output frame, rounded up to whole units."""
+def delay_or_tick(duration: Column, rate: tuple[int, int] | Column, fps: tuple[int, int]) -> Column:
+    """A missing or non-positive duration lasts one output frame, rounded up to whole units. rate: or the units a second."""
+    if isinstance(rate, Column):
+        return F.when(duration > 0, duration).otherwise(F.greatest(long(1), int_div(rate * long(fps[1]) + long(fps[0] - 1), fps[0])))
     mul, div = scale(rate, fps)
     tick = max(1, -(-div // mul))
     return F.when(duration > 0, duration).otherwise(long(tick))
 
 
-def samples(df: DataFrame, segment: str, order: str, duration: str, rate: tuple[int, int], fps: tuple[int, int]) -> DataFrame:
-    """Adds to each presentation: presentation (0-based), duration (substituted), tick and count (of its segment).
+def ceil_frames(units: Column, rate: tuple[int, int] | Column, fps: tuple[int, int]) -> Column:
+    """Output frames that units last, rounded up; where each row has its own rate, over 128 bits."""
+    if not isinstance(rate, Column):
+        return ceil_scaled(units, *scale(rate, fps))
+    wide = units.cast("decimal(20,0)") * F.lit(fps[0]).cast("decimal(10,0)")
+    div = rate.cast("decimal(10,0)") * F.lit(fps[1]).cast("decimal(10,0)")
+    return F.call_function("div", wide + div - F.lit(1).cast("decimal(1,0)"), div).cast("bigint")
 
-    tick_i = min(count, ceil(sum of the durations before i, scaled)); count = max(1, ceil(sum of all, scaled)).
+
+def samples(df: DataFrame, segment: str, order: str, duration: str, rate: tuple[int, int] | str, fps: tuple[int, int]) -> DataFrame:
+    """Adds to each presentation: presentation (0-based), duration (substituted), tick, until and count (of its segment).
+
+    tick_i = min(count, ceil(sum of the durations before i, scaled)); until is the tick of the next one, or the count; count =
+    max(1, ceil(sum of all, scaled)). rate: one of all rows, or the column of each segment's units a second. The sums run in
+    blocks, so that a long segment is no task's own.
     """
-    mul, div = scale(rate, fps)
-    w = W.partitionBy(segment).orderBy(order)
-    d = df.withColumn("presentation", (F.row_number().over(w) - 1).cast("int")).withColumn("duration", delay_or_tick(F.col(duration), rate, fps))
-    before = F.coalesce(F.sum("duration").over(w.rowsBetween(W.unboundedPreceding, -1)), long(0))
-    total = F.sum("duration").over(W.partitionBy(segment).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    d = d.withColumn("count", F.greatest(long(1), ceil_scaled(total, mul, div)))
-    return d.withColumn("tick", F.least(F.col("count"), ceil_scaled(before, mul, div)))
+    of = F.col(rate) if isinstance(rate, str) else rate
+    d = df.withColumn("duration", delay_or_tick(F.col(duration), of, fps))
+    d = scanned(d, segment, order, {"presentation": F.lit(1), "_before": F.col("duration")})
+    count = F.greatest(long(1), ceil_frames(F.col("_before_total"), of, fps))
+    d = d.withColumn("count", count).withColumn("tick", F.least(F.col("count"), ceil_frames(F.col("_before"), of, fps)))
+    d = d.withColumn("until", F.least(F.col("count"), ceil_frames(F.col("_before") + F.col("duration"), of, fps)))
+    return d.withColumn("presentation", F.col("presentation").cast("int")).drop("presentation_total", "_before", "_before_total")
 
 
 def holds(sampled: DataFrame, segment: str) -> DataFrame:
     """The frames [sample_from, sample_to) that show each presentation; those shorter than a tick vanish."""
-    w = W.partitionBy(segment).orderBy("presentation")
-    d = sampled.withColumn("sample_from", F.col("tick")).withColumn("sample_to", F.lead("tick").over(w))
-    return d.withColumn("sample_to", F.coalesce("sample_to", "count")).where("sample_from < sample_to")
+    return sampled.withColumn("sample_from", F.col("tick")).withColumn("sample_to", F.col("until")).where("sample_from < sample_to")
 
 
 def frames(held: DataFrame, segment: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinegrid.operators import timeline as T
+from cinegrid.operators.segments import scanned
 
 MICROS, HOURLY = (1_000_000, 1), (1, 3600)
 
@@ -17,19 +18,28 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_presentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("at"))
-    w = W.partitionBy("user_id").orderBy("at", "event_id")
-    e = e.withColumn("gap", F.lead("at").over(w) - F.col("at"))
-    return e.withColumn("pos", F.row_number().over(w))
+    e = scanned(e.withColumn("order", F.struct("at", "event_id")), "user_id", "order", {"pos": F.lit(1)}, {"next": F.col("at")})
+    return e.select("user_id", "event_id", "at", (F.col("next") - F.col("at")).alias("gap"), (F.col("pos") + 1).alias("pos"))
+
+
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.samples(event_presentations(spark, sf_dir), "user_id", "pos", "gap", MICROS, HOURLY)
 
 
 def timeline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.samples(event_presentations(spark, sf_dir), "user_id", "pos", "gap", MICROS, HOURLY)
-    return s.select("user_id", "presentation", "duration", "tick", "count")
+    return event_samples(spark, sf_dir).select("user_id", "presentation", "duration", "tick", "count")
+
+
+def hot_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all users' events as one segment, as one very long animation: no task has more than its block."""
+    e = load(spark, sf_dir, "events").select(F.lit(1).alias("clip"), "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("at"))
+    e = scanned(e.withColumn("order", F.struct("at", "event_id")), "clip", "order", {}, {"next": F.col("at")})
+    s = T.samples(e.select("clip", "event_id", "order", (F.col("next") - F.col("at")).alias("gap")), "clip", "order", "gap", MICROS, HOURLY)
+    return s.select("event_id", "presentation", "duration", "tick", "until", "count")
 
 
 def timeline_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = timeline_samples(spark, sf_dir)
-    return T.frames(T.holds(s, "user_id"), "user_id").select("user_id", F.col("local").alias("n"), "presentation")
+    return T.frames(T.holds(event_samples(spark, sf_dir), "user_id"), "user_id").select("user_id", F.col("local").alias("n"), "presentation")
 
 
 SAMPLES_CTE = """
@@ -43,9 +53,16 @@ k AS (SELECT *, greatest(1, (total + 3599999999) // 3600000000) AS cnt FROM c),
 s AS (SELECT user_id, CAST(pos - 1 AS INTEGER) AS presentation, duration, least(cnt, (prior + 3599999999) // 3600000000) AS tick, cnt AS count FROM k),
 h AS (SELECT user_id, presentation, tick AS f, coalesce(lead(tick) OVER (PARTITION BY user_id ORDER BY presentation), count) AS t, count FROM s)"""
 
-QUERIES = {"timeline_samples": timeline_samples, "timeline_frames": timeline_frames}
+QUERIES = {"timeline_samples": timeline_samples, "timeline_frames": timeline_frames, "hot_timeline": hot_timeline}
 ORACLE = {
     "timeline_samples": f"WITH {SAMPLES_CTE} SELECT user_id, presentation, duration, tick, count FROM s",
+    "hot_timeline": """
+WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events),
+g AS (SELECT event_id, row_number() OVER w - 1 AS i, lead(us) OVER w - us AS gap FROM e WINDOW w AS (ORDER BY us, event_id)),
+d AS (SELECT event_id, i, CASE WHEN gap > 0 THEN gap ELSE 3600000000 END AS duration FROM g),
+c AS (SELECT *, CAST(sum(duration) OVER (ORDER BY i) AS BIGINT) AS upto, greatest(1, CAST((sum(duration) OVER () + 3599999999) // 3600000000 AS BIGINT)) AS count FROM d)
+SELECT event_id, CAST(i AS INTEGER) AS presentation, duration, least(count, (upto - duration + 3599999999) // 3600000000) AS tick,
+  least(count, (upto + 3599999999) // 3600000000) AS until, count FROM c""",
     "timeline_frames": f"WITH {SAMPLES_CTE} SELECT user_id, unnest(range(f, t)) AS n, presentation FROM h WHERE f < t",
 }
 
