@@ -1,7 +1,7 @@
 """Reading image sequences: files are identified and probed in Column expressions, decoded in Arrow batches of whole files.
 
-The frames table has one row a frame: n, file_index, presentation, path, format, width, height, planes (binary, row-major,
-16-bit samples little-endian), alpha and the original colour type. Order is data: file_index and n, never the scan's order.
+The frames table has one row a frame: n, file_index, path, local, presentation, hold, format, width, height, orientation, planes
+(binary, row-major, 16-bit samples little-endian), alpha and the original colour type. Order is data: file_index and n, never the scan's order.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrid.functions import identify as I
+from cinegrid.functions import raster as R
+from cinegrid.functions import walk
+from cinegrid.operators import file_timelines
 from cinegrid.operators import validate as V
 from cinegrid.operators.timeline import reduce_fps
 from cinegrid.sources import codecs
@@ -34,11 +37,20 @@ def check_arguments(files: list[str], fpsnum: int = 24, fpsden: int = 1, prefetc
 
 
 def file_table(spark: SparkSession, files: list[str]) -> DataFrame:
-    """file_index, path, length and content of the listed files; a file listed twice has two rows."""
+    """file_index, path, length, changed and content of the listed files; a file listed twice has two rows."""
     listed = spark.createDataFrame(list(enumerate(files)), "file_index long, path string")
-    found = spark.read.format("binaryFile").load(sorted(set(files))).select(F.col("path").alias("uri"), "length", "content")
+    found = spark.read.format("binaryFile").load(sorted(set(files))).select(F.col("path").alias("uri"), "length", F.col("modificationTime").alias("changed"), "content")
     key = F.regexp_replace("uri", "^file:(//)?", "")
-    return listed.join(found.withColumn("path", key), F.regexp_replace(listed["path"], "^file:(//)?", "") == key).select("file_index", listed["path"], "length", "content")
+    return listed.join(found.withColumn("path", key), F.regexp_replace(listed["path"], "^file:(//)?", "") == key).select("file_index", listed["path"], "length", "changed", "content")
+
+
+def unchanged(table: DataFrame, stamps: DataFrame) -> DataFrame:
+    """table's rows, whose content is an error where the file's length or time is not that of stamps (file_index, length, changed).
+    A scan that reads a file again must find the one that was probed."""
+    then = stamps.select("file_index", F.col("length").alias("_length"), F.col("changed").alias("_changed"))
+    same = (F.col("length") == F.col("_length")) & (F.col("changed") == F.col("_changed"))
+    said = F.raise_error(F.concat(F.lit("changed since it was probed: "), F.col("path")))
+    return table.join(F.broadcast(then), "file_index").withColumn("content", F.when(same, F.col("content")).otherwise(said.cast("binary"))).drop("_length", "_changed")
 
 
 def big_endian(data: Column, at: int, size: int) -> Column:
@@ -46,7 +58,7 @@ def big_endian(data: Column, at: int, size: int) -> Column:
 
 
 def probe(files: DataFrame) -> DataFrame:
-    """Adds route, width, height, original_color_type and orientation from each file's first bytes. No Python is involved."""
+    """Adds route, width, height and original_color_type from each file's first bytes. No Python is involved."""
     head = F.substring("content", 1, HEAD_BYTES)
     d = files.withColumn("route", I.route(F.substring("content", 1, 20), F.col("path"))).withColumn("_h", head)
     h = F.col("_h")
@@ -85,6 +97,11 @@ def probe(files: DataFrame) -> DataFrame:
     return d.select(*files.columns, "route", width.cast("int").alias("width"), height.cast("int").alias("height"), source.alias("original_color_type"), fmt.alias("format"))
 
 
+def probe_orientation(route: Column, content: Column) -> Column:
+    """The orientation code that a file states: a PNG in its eXIf chunk; null where none is stated or looked for."""
+    return F.when(route == "png", walk.png_exif(content)).cast("int")
+
+
 def _decoded(with_alpha: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,26 +125,46 @@ def _decoded(with_alpha: bool):
     return run
 
 
-def read(spark: SparkSession, files: list[str], fpsnum: int = 24, fpsden: int = 1, mismatch: bool = False, with_alpha: bool = False, **prefetch) -> DataFrame:
-    """One row a still: n, file_index, path, format, width, height, planes, alpha, original_color_type.
+def clip_of(probed: DataFrame, fps: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """probed: file_index, path, route, content. n, file_index, local, presentation and hold of every frame of the clip, and the
+    file_index of animations; a file that states a timeline which cannot be shown raises, and names the file."""
+    stated = file_timelines.pictures(probed, "file_index")
+    refused = file_timelines.refusals(stated, "file_index").orderBy("file_index").limit(1).collect()
+    if refused:
+        path = probed.where(F.col("file_index") == refused[0].file_index).select("path").first()[0]
+        raise ValueError(f"{path}: {refused[0].refusal}")
+    return file_timelines.clip(stated, "file_index", fps), stated.where("animated").select("file_index").distinct()
+
+
+def read(spark: SparkSession, files: list[str], fpsnum: int = 24, fpsden: int = 1, mismatch: bool = False, with_alpha: bool = False, apply_rotation: bool = True, **prefetch) -> DataFrame:
+    """One row a frame: n, file_index, path, local, presentation, hold, format, width, height, orientation, planes, alpha,
+    original_color_type. A still is one frame; an animation lasts as many frames at the rate as its file states.
 
-    Headers are probed at once, and unless mismatch is set every file must look like the first. Pixels decode when the
-    frames are used; files that are not asked for are not decoded. A file that cannot be decoded raises.
+    Headers and timelines are probed at once, and unless mismatch is set every file must look like the first. Pixels of stills
+    decode when the frames are used, and a file that has changed by then raises; the pictures of animations are not decoded here,
+    their planes are null. orientation is the code that a picture is to be turned by: 1 without apply_rotation.
+    A file that cannot be decoded raises.
     """
-    check_arguments(files, fpsnum, fpsden, **prefetch)
+    fps = check_arguments(files, fpsnum, fpsden, **prefetch)
     table = file_table(spark, files)
     probed = probe(table)
-    seen = probed.select("file_index", "path", "route", "width", "height", "format")
+    seen = probed.select("file_index", "path", "route", "width", "height", "format", "length", "changed", "original_color_type", probe_orientation(F.col("route"), F.col("content")).alias("orientation"))
+    seen = spark.createDataFrame(seen.collect(), seen.schema)  # a row a listed file, as many as the caller has named
     unknown = seen.where("route is null").orderBy("file_index").limit(1).collect()
     if unknown:
         raise ValueError(f"{unknown[0].path}: no reader here knows its format")
     if not mismatch:
         V.refuse_mismatch(seen, "file_index", "path", ["width", "height", "format"])
-    pixels = probed.select("file_index", "route", "content").mapInArrow(_decoded(with_alpha), FRAMES)
+    frames, moving = clip_of(probed, fps)
+    stills = unchanged(probed, seen).join(moving, "file_index", "left_anti")
+    pixels = stills.select("file_index", "route", "content").mapInArrow(_decoded(with_alpha), FRAMES)
     failed = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("file "), F.col("file_index").cast("string"), F.lit(": "), F.col("error"))))
     pixels = pixels.withColumn("format", F.coalesce(failed.cast("string"), F.col("format"))).drop("error")
-    named = probed.select("file_index", "path", "original_color_type")
-    return pixels.join(named, "file_index").select(F.col("file_index").cast("int").alias("n"), "file_index", "path", "format", "width", "height", "planes", "alpha", "original_color_type")
+    pixels = pixels.select("file_index", *[F.col(c).alias(f"_{c}") for c in ("format", "width", "height")], "planes", "alpha")
+    named = seen.select("file_index", "path", "format", "width", "height", "original_color_type", R.shown_orientation(F.col("orientation"), F.lit(apply_rotation)).alias("orientation"))
+    out = frames.join(F.broadcast(named), "file_index").join(pixels, "file_index", "left")
+    size = [F.coalesce(f"_{c}", c).alias(c) for c in ("format", "width", "height")]
+    return out.select(F.col("n").cast("int").alias("n"), "file_index", "path", F.col("local").cast("int").alias("local"), "presentation", "hold", *size, "orientation", "planes", "alpha", "original_color_type")
 
 
 def read_alpha(spark: SparkSession, files: list[str], **arguments) -> tuple[DataFrame, DataFrame]:
