@@ -41,3 +41,31 @@ def compatible_alpha(colour: Column, alpha: Column) -> Column:
     colour_depth = F.regexp_extract(colour["format"], "[0-9S]+$", 0)
     bits = F.when(colour["format"].startswith("RGB") & (colour_depth != "S"), (colour_depth.try_cast("int") / 3).cast("int").cast("string")).otherwise(colour_depth)
     return gray & (depth == bits) & (alpha["width"] == colour["width"]) & (alpha["height"] == colour["height"])
+
+
+def alpha_clip(colour: DataFrame, alpha: DataFrame, clip: str, n: str) -> DataFrame:
+    """For each clip: its frames and those of its alpha clip, the first frame n that does not fit, and the refusal, null where all fit.
+
+    Both sides have family, sample, bits, width and height. Frames meet by an outer equi-join on (clip, n); what is wrong with each
+    is reduced to the first offender by partial aggregation. A count that differs is refused before anything else.
+    """
+    names = ["family", "sample", "bits", "width", "height"]
+    a = alpha.select(clip, n, F.struct(*names).alias("_a"))
+    both = colour.select(clip, n, F.struct(*names).alias("_c")).join(a, [clip, n], "full")
+    c, a = F.col("_c"), F.col("_a")
+    wrong = (
+        F.when(c.isNull() | a.isNull(), None).when(a["family"] != "Gray", "it needs one gray plane").when(a["sample"] != c["sample"], "samples of another type")
+        .when((c["sample"] == "integer") & (a["bits"] != c["bits"]), "samples of another depth").when((a["width"] != c["width"]) | (a["height"] != c["height"]), "another size")
+    )
+    d = both.withColumn("_wrong", wrong).groupBy(clip).agg(F.count("_c").alias("frames"), F.count("_a").alias("alpha_frames"), F.min(F.when(F.col("_wrong").isNotNull(), F.struct(F.col(n).alias("n"), "_wrong"))).alias("_first"))
+    counts = F.col("frames") != F.col("alpha_frames")
+    refusal = F.when(counts, F.concat("frames", F.lit(" frames beside "), "alpha_frames")).otherwise(F.col("_first._wrong"))
+    return d.select(clip, "frames", "alpha_frames", F.when(~counts, F.col("_first.n")).alias("first"), refusal.alias("refusal"))
+
+
+def refuse_alpha(colour: DataFrame, alpha: DataFrame, clip: str, n: str) -> None:
+    """Raises, naming clip, frame and reason, if any alpha clip does not fit its colour clip."""
+    one = alpha_clip(colour, alpha, clip, n).where("refusal is not null").orderBy(clip).limit(1).collect()
+    if one:
+        at = "" if one[0]["first"] is None else f" at frame {one[0]['first']}"
+        raise ValueError(f"the alpha of clip {one[0][clip]} does not fit{at}: {one[0].refusal}")

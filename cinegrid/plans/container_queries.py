@@ -117,6 +117,19 @@ def matrix_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", X.yuv_matrix(F.col("given"), F.col("stated"), refuse=False).cast("int").alias("matrix"))
 
 
+def alpha_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as clips, their lines as frames: some alpha clips lack a frame, or have one of another family, type, depth or size."""
+    d = numbered_lines(spark, sf_dir)
+    p, k = F.col("l_partkey"), F.col("l_orderkey")
+    sample, bits = F.when(k % 7 == 0, "float").otherwise("integer"), F.when(k % 2 == 0, 8).otherwise(16)
+    colour = d.select("l_orderkey", "pos", F.lit("RGB").alias("family"), sample.alias("sample"), bits.alias("bits"), F.lit(16).alias("width"), F.lit(12).alias("height"))
+    alpha = d.where((k % 5 > 0) | (F.col("pos") > 1)).select(
+        "l_orderkey", "pos", F.when(p % 31 == 0, "RGB").otherwise("Gray").alias("family"), F.when(p % 37 == 0, "float").otherwise(sample).alias("sample"),
+        F.when(p % 11 == 0, 10).otherwise(bits).alias("bits"), F.when(p % 41 == 0, 15).otherwise(16).alias("width"), F.lit(12).alias("height"),
+    )
+    return V.alpha_clip(colour, alpha, "l_orderkey", "pos")
+
+
 PALETTE = [[0, 10, 20], [250, 251, 252], [7, 8, 9], [100, 110, 120], [255, 0, 255]]
 
 
@@ -163,8 +176,15 @@ SELECT p_partkey, CASE WHEN bits NOT BETWEEN 8 AND 16 THEN 'depth' WHEN precisio
  WHEN matrix = 2 THEN 'matrix not stated' WHEN matrix IN (10, 13, 14) THEN 'constant luminance' WHEN matrix = 12 THEN 'derived matrix' WHEN width < (1 << CAST(across AS INTEGER)) OR height < (1 << CAST(down AS INTEGER)) THEN 'no chroma sample' END AS refusal,
  width % (1 << CAST(across AS INTEGER)) = 0 AND height % (1 << CAST(down AS INTEGER)) = 0 AS fits FROM p"""
 
-QUERIES = {f.__name__: f for f in (apng_canvas, webp_canvas, clip_frames, track_samples, edit_lists, container_orientation, exif_orientation, tiff_colour, conversion_guards, matrix_choice, jp2_words, alpha_fit)}
+QUERIES = {f.__name__: f for f in (apng_canvas, webp_canvas, clip_frames, track_samples, edit_lists, container_orientation, exif_orientation, tiff_colour, conversion_guards, matrix_choice, jp2_words, alpha_fit, alpha_clips)}
 ORACLE = {
+    "alpha_clips": f"""
+WITH l AS (SELECT *, {POS_SQL} AS pos, l_orderkey % 7 = 0 AS fl FROM lineitem),
+w AS (SELECT l_orderkey, pos, l_orderkey % 5 > 0 OR pos > 1 AS there, CASE WHEN l_partkey % 31 = 0 THEN 'it needs one gray plane' WHEN l_partkey % 37 = 0 AND NOT fl THEN 'samples of another type'
+  WHEN NOT fl AND l_partkey % 11 = 0 THEN 'samples of another depth' WHEN l_partkey % 41 = 0 THEN 'another size' END AS wrong FROM l),
+g AS (SELECT l_orderkey, count(*) AS frames, count(*) FILTER (there) AS alpha_frames, min(pos) FILTER (there AND wrong IS NOT NULL) AS spot, arg_min(wrong, pos) FILTER (there AND wrong IS NOT NULL) AS wrong FROM w GROUP BY l_orderkey)
+SELECT l_orderkey, frames, alpha_frames, CASE WHEN frames = alpha_frames THEN spot END AS first,
+  CASE WHEN frames <> alpha_frames THEN frames || ' frames beside ' || alpha_frames ELSE wrong END AS refusal FROM g""",
     "apng_canvas": canvas_sql(WIDTH, HEIGHT, APNG_MIX, "CASE WHEN NOT hit OR d = 0 THEN o_{c} WHEN d = 1 THEN 0 ELSE u{c} END"),
     "webp_canvas": canvas_sql(CLIPPED_WIDTH, CLIPPED_HEIGHT, WEBP_MIX, "o_{c}"),
     "clip_frames": f"WITH {SEGMENTS}, fr AS (SELECT user_id, unnest(range(f, t)) AS local, presentation FROM h WHERE f < t) SELECT start + local AS n, user_id, local, presentation FROM fr JOIN seg USING (user_id)",

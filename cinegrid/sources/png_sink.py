@@ -1,14 +1,19 @@
 """Writing frames as PNG files exactly once: planned and named in Column expressions, encoded in tasks, published on commit.
 
-Every task attempt writes files under names of its own beside their destinations. The driver's commit renames what the
-winning attempts wrote, so a retried or speculative task leaves no file behind and no frame is published twice.
+Every task attempt writes files under names of its own beside their destinations. The driver's commit publishes what the
+winning attempts wrote, so a retried or speculative task leaves no file behind and no frame is published twice. A ledger of what
+commits have published outlives the call.
 """
 
 from __future__ import annotations
 
+import filecmp
+import json
 import os
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import Row, StructType
 
 from cinegrid.operators import sink_plan as P
+from cinegrid.operators.fixed import fixed
 from cinegrid.sources import codecs
 
 SINK = "cinegrid_png"
@@ -46,12 +52,24 @@ def frame_bytes(row, level: int) -> bytes:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]] = field(default_factory=list)
+    files: list[tuple[int, str, str]] = field(default_factory=list)
+
+
+def same_bytes(a: str, b: str) -> bool:
+    return filecmp.cmp(a, b, shallow=False)
 
 
 class PngWriter(DataSourceWriter):
+    """Tasks write temporary files beside their destinations; the commit publishes them and then says so in a file of the ledger.
+
+    Publishing is exclusive: a name that exists is never replaced unless `replace` is set. Within an epoch (a batch of a stream) a
+    file that exists with the same bytes was published by an attempt before this one, and counts. Temporary files, destinations and
+    ledger are on a mount that driver and executors share.
+    """
+
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.level, self.overwrite = int(options.get("compression", "6")), overwrite
+        self.ledger, self.epoch = options.get("ledger"), options.get("epoch")
 
     def write(self, rows: Iterator[Row]) -> Written:
         out = Written()
@@ -60,20 +78,43 @@ class PngWriter(DataSourceWriter):
             temp = os.path.join(folder, f".{name}.{uuid.uuid4().hex}.pngwrite")
             with open(temp, "xb") as f:
                 f.write(frame_bytes(row, self.level))
-            out.files.append((temp, row["path"]))
+            out.files.append((row["n"], temp, row["path"]))
         return out
 
+    def mine(self, temp: str, path: str) -> bool:
+        return self.epoch is not None and same_bytes(temp, path)
+
+    def publish(self, temp: str, path: str) -> None:
+        if self.overwrite:
+            os.replace(temp, path)
+            return
+        try:
+            os.link(temp, path)  # fails where the name exists, whoever made it meanwhile
+        except FileExistsError:
+            if not self.mine(temp, path):
+                raise FileExistsError(f"{path} exists already; pass overwrite=True to replace it") from None
+        os.remove(temp)
+
     def commit(self, messages: list[Written | None]) -> None:
-        files = [f for m in messages if m for f in m.files]
-        if not self.overwrite and (there := [p for _, p in files if os.path.exists(p)]):
+        files = sorted(f for m in messages if m for f in m.files)
+        try:
+            if not self.overwrite and (there := [p for _, t, p in files if os.path.exists(p) and not self.mine(t, p)]):
+                raise FileExistsError(f"{there[0]} exists already; pass overwrite=True to replace it")
+            for _, temp, path in files:
+                self.publish(temp, path)
+        except FileExistsError:
             self.abort(messages)
-            raise FileExistsError(f"{there[0]} exists already; pass overwrite=True to replace it")
-        for temp, path in files:
-            os.replace(temp, path)
+            raise
+        if self.ledger:
+            label = uuid.uuid4().hex if self.epoch is None else f"epoch-{self.epoch}-{uuid.uuid4().hex}"
+            temp = os.path.join(self.ledger, f".{label}")
+            with open(temp, "x") as f:
+                f.writelines(json.dumps({"n": n, "path": path}) + "\n" for n, _, path in files)
+            os.replace(temp, os.path.join(self.ledger, f"{label}.json"))
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
-            for temp, _ in m.files if m else []:
+            for _, temp, _ in m.files if m else []:
                 if os.path.exists(temp):
                     os.remove(temp)
 
@@ -87,11 +128,15 @@ class PngSink(DataSource):
         return PngWriter(self.options, overwrite or self.options.get("replace") == "true")
 
 
-def write_png(frames: DataFrame, output_path: str | None = None, output_dir: str | None = None, start_number: int = 0, overwrite: bool = False, compression: int = 6, depth: int | None = None) -> DataFrame:
-    """Writes frames (n, path, format, width, height, planes, alpha) and returns their receipts: n, path, saved, performed.
+def write_png(frames: DataFrame, output_path: str | None = None, output_dir: str | None = None, start_number: int = 0, overwrite: bool = False, compression: int = 6, depth: int | None = None, ledger: str | None = None, always_save: bool = False, epoch: int | None = None) -> DataFrame:
+    """Writes frames (n, path, format, width, height, planes, alpha) and returns their receipts, one for each row that asks for a
+    frame: n, path, saved, performed.
 
     Exactly one of output_path (a template with %d, %0Nd, %%) and output_dir (files named after their sources) is given.
-    A frame that is listed twice is written once. Two frames with one destination are refused before anything is written.
+    A frame that is asked for twice is written once: one of its receipts says performed. Two frames with one destination are
+    refused before anything is written. ledger names a folder that remembers what was published: frames in it are not written
+    again, and their receipts say so, unless always_save is set, which writes every frame asked for. saved is what the commit has
+    recorded there (in a folder of the call without a ledger). epoch makes a repeated call idempotent.
     """
     if (output_path is None) == (output_dir is None):
         raise ValueError("exactly one of output_path and output_dir is needed")
@@ -113,17 +158,44 @@ def write_png(frames: DataFrame, output_path: str | None = None, output_dir: str
     bits = F.when(F.col("format").isin("Gray16", "RGB48"), 16).otherwise(8)
     family = F.when(F.col("format").startswith("Gray"), "Gray").otherwise("RGB")
     plan = P.write_plan(family, F.lit("integer"), bits, F.col("alpha").isNotNull(), F.lit(depth).cast("int"))
-    named = frames.dropDuplicates(["n"]).withColumn("target", target)
-    clash = P.conflicts(named.select("n", "target"), "target", "n").limit(1).collect()
-    if clash:
-        raise ValueError(f"frames {clash[0]['first']} and {clash[0]['last']} would both be written to {clash[0].target}")
-    ready = named.select("n", F.col("target").alias("path"), "width", "height", bits.alias("bits"), "planes", "alpha", *plan)
-    refused = F.when(F.col("refused").isNotNull(), F.raise_error(F.concat(F.lit("frame "), F.col("n").cast("string"), F.lit(" cannot be written: "), F.col("refused"))))
-    ready = ready.withColumn("path", F.coalesce(refused.cast("string"), F.col("path"))).select(*COLUMNS)
     spark = frames.sparkSession
-    register(spark)
-    ready.write.format(SINK).option("compression", str(compression)).option("replace", str(overwrite).lower()).mode("append").save()
-    return named.select("n", F.col("target").alias("path"), F.lit(True).alias("saved"), F.lit(True).alias("performed"))
+    known = "n long, path string"
+    book = ledger or tempfile.mkdtemp(prefix=".ledger-", dir=output_dir or os.path.dirname(os.path.abspath(output_path)))
+    try:
+        os.makedirs(book, exist_ok=True)
+        before = fixed(spark.read.schema(known).json(book).distinct())
+        named = frames.withColumn("target", target).withColumn("_seq", F.monotonically_increasing_id())
+        asked = fixed(named.select("n", "target", "_seq"))  # what is asked for is settled before anything is written
+        clash = P.conflicts(asked.select("n", "target").distinct(), "target", "n").limit(1).collect()
+        if clash:
+            raise ValueError(f"frames {clash[0]['first']} and {clash[0]['last']} would both be written to {clash[0].target}")
+        wanted = frames.dropDuplicates(["n"]).withColumn("target", target)
+        if not always_save:
+            wanted = wanted.join(before.select("n"), "n", "left_anti")
+        ready = wanted.select("n", F.col("target").alias("path"), "width", "height", bits.alias("bits"), "planes", "alpha", *plan)
+        refused = F.when(F.col("refused").isNotNull(), F.raise_error(F.concat(F.lit("frame "), F.col("n").cast("string"), F.lit(" cannot be written: "), F.col("refused"))))
+        ready = ready.withColumn("path", F.coalesce(refused.cast("string"), F.col("path"))).select(*COLUMNS)
+        register(spark)
+        options = {"compression": str(compression), "replace": str(overwrite).lower(), "ledger": book} | ({} if epoch is None else {"epoch": str(epoch)})
+        ready.write.format(SINK).options(**options).mode("append").save()
+        after = fixed(spark.read.schema(known).json(book).select("n").distinct())
+    finally:
+        if ledger is None:
+            shutil.rmtree(book)
+    receipts = P.ledger(asked, "n", "_seq", always_save).drop("saved")
+    receipts = receipts.join(before.select("n", F.lit(True).alias("_old")).distinct(), "n", "left").join(after.withColumn("_kept", F.lit(True)), "n", "left")
+    performed = F.col("performed") if always_save else F.col("performed") & F.col("_old").isNull()
+    return receipts.select("n", F.col("target").alias("path"), F.col("_kept").isNotNull().alias("saved"), performed.alias("performed"))
+
+
+def stream_writer(ledger: str, **arguments) -> Callable[[DataFrame, int], None]:
+    """A function for writeStream.foreachBatch that writes each batch's frames once: a batch that is given again after a failure
+    finds its own files, and frames of earlier batches are in the ledger."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        write_png(batch, ledger=ledger, epoch=epoch, **arguments)
+
+    return write
 
 
 def register(spark: SparkSession) -> None:
