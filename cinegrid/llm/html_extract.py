@@ -17,7 +17,8 @@ Pages are read twice: the first pass sends out node and content hashes only, the
 back by host. Texts are never shuffled while the hosts' table is small enough to broadcast.
 
 A null html is empty; of a page whose url is null or without host, suspects go, as there are no statistics. Repeated pages each
-give a row and count once in the tree. Unclosed or misnested tags end where a block parser would end them. White space is what
+give a row and count once in the tree. Unclosed or misnested tags end where a block parser would end them; buttons, options, drawings and the like without
+an end tag end at the next block. White space is what
 Unicode calls so, no-break spaces too. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -43,8 +44,9 @@ OUTSIDE, INSIDE, SUSPECT = 0, 1, 2
 BROADCAST_NODES = 4_000_000
 
 # Fixed names: elements of HTML and the usual words of class, id and role values.
-RAW = "script style noscript template textarea title svg iframe select option button canvas audio video datalist".split()
-NOISE = "nav header footer aside form menu dialog head fieldset label".split()
+RAW = "script style noscript textarea title iframe".split()
+MUTED = "template svg select option button canvas audio video datalist".split()
+NOISE = "nav header footer aside form menu dialog head fieldset label search".split()
 MAIN = "article main".split()
 CONTAINERS = "html body div section article main nav header footer aside form menu dialog head ul ol dl table thead tbody tfoot tr fieldset details figure blockquote center hgroup address search".split()
 LEAVES = "p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre figcaption summary legend hr label".split()
@@ -56,6 +58,8 @@ GENERIC = "list area box block container wrapper wrap section buttons button bar
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?:!|\?)[^>]*>?"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?>[^>\"']*(?:\"[^\"]*(?:\"|\Z)[^>\"']*|'[^']*(?:'|\Z)[^>\"']*)*)>?(?:(?<=/>)|.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
+    # a muted element whose end tag comes before another of its kind begins
+    r"|<(?P<box>" + "|".join(MUTED) + r")(?=[\s/>])(?>[^>\"']*(?:\"[^\"]*(?:\"|\Z)[^>\"']*|'[^']*(?:'|\Z)[^>\"']*)*)>?(?:(?<=/>)|(?>(?:[^<]+|<(?!/?(?P=box)[\s/>]))*)</(?P=box)(?=[\s/>])[^>]*>)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']*(?:\"[^\"]*(?:\"|\Z)[^>\"']*|'[^']*(?:'|\Z)[^>\"']*)*))>?",
     re.S | re.I,
 )
@@ -93,6 +97,7 @@ def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, i
     # open containers: name, path hash, noise, where, children
     stack: list[list] = [["", 0, False, OUTSIDE, []]]
     leaf, leaf_noise, leaf_suspect, text, at = "", False, False, [], 0
+    muted = False  # within a muted element without an end tag, up to the next block
 
     def close_block() -> None:
         nonlocal leaf, leaf_noise, leaf_suspect
@@ -111,12 +116,12 @@ def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, i
             elements.append((path, hash64(",".join(children))))
 
     for m in TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not muted:
             text.append(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"]:
+            if m["raw"] or m["box"]:
                 text.append(" ")
             continue
         name = name.lower()
@@ -124,7 +129,11 @@ def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, i
         if kind is None:
             if name == "br":
                 text.append(" ")
+            elif name in MUTED:
+                text.append(" ")
+                muted = not m["end"] and not m["rest"].endswith("/")
             continue
+        muted = False
         close_block()
         top = stack[-1]
         if m["end"]:
@@ -146,7 +155,7 @@ def parse(page: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, i
             stack.append([name, hash64(f"{top[1]}>{name}.{label}"), top[2] or noise, where, []])
         elif kind == 2:
             leaf, leaf_noise, leaf_suspect = name, noise or name in NOISE, suspect
-    if at < len(page):
+    if at < len(page) and not muted:
         text.append(page[at:])
     close_block()
     while len(stack) > 1:

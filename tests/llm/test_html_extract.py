@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from cinegrid.llm import html_extract
 from cinegrid.llm.html_extract import extract, importances, parse
 
 CASES = [
@@ -130,3 +131,13 @@ def test_table(spark):
 def test_hostile_markup_is_linear():
     parse("<a '" * 20000), parse("<" * 50000), parse("<!--" * 20000), parse("</div>" * 20000), parse("<script>" * 5000)
     assert parse("")[0] == []
+
+
+@pytest.mark.parametrize("name", html_extract.MUTED)
+def test_unclosed_muted_elements_lose_no_block(name):
+    def got(page):
+        return html_extract.main_text(html_extract.parse(page)[0], set(), True)
+
+    assert got(f"<article><p>First.</p><{name}>x<p>Second.</p></article>") == "First.\nSecond."
+    assert got(f"<article><p>One <{name} a='>'>x</{name}> two.</p><{name}>y<p>Three.</p><{name}>z</{name}><p>Four.</p></article>") == "One two.\nThree.\nFour."
+    assert got(f"<article><p>One <{name}/> two.</p><search><p>Find</p></search></article>") == "One two."
