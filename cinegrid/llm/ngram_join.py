@@ -283,9 +283,11 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """The rows of docs, with all their columns, that are their component's document: the one of its smallest id or, if all its
     ids are null, its first row. Rows of one component that share that id are one document; in other components rows of the
     same id are judged on their own. Rows without words stay."""
-    scratch = Scratch(docs.sparkSession, "ngram-rows")
-    numbered = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = linked_rows(numbered.select(F.col("_row").alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text")), words, percent)
+    scratch, names = Scratch(docs.sparkSession, "ngram-rows"), docs.columns
+    # by position, so that no column of docs stands in the way
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    numbered = scratch.save(plain)
+    found = linked_rows(numbered.select("row", F.col(f"c{names.index(key)}").cast("long").alias("id"), F.col(f"c{names.index(text)}").alias("text")), words, percent)
     stays = F.when(F.col("component_id").isNull(), F.col("row") == F.col("first_row")).otherwise(F.col("id").eqNullSafe(F.col("component_id")))
-    gone = scratch.save(found.where((F.col("n") > 0) & ~stays).select(F.col("row").alias("_row")))
-    return numbered.join(checked_broadcast(gone, BROADCAST_IDS), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = scratch.save(found.where((F.col("n") > 0) & ~stays).select("row"))
+    return numbered.join(checked_broadcast(gone, BROADCAST_IDS), "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -77,3 +77,10 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
         assert {t for i, t in kept if i is None and t} <= {c, near[2]}
     got = [(r.doc_id, r.component_id) for r in ngram_join.link_components(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (1, 0), (2, 1), (0, 0), (None, None), (None, None), (None, None), (None, None), (None, 1)], key=str)
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    rows = [(7, "a b c d e f", 9), (9, "a b c d e f", 7), (3, "x y z", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long").selectExpr("*", "_row as row", "_row as c0", "_row as id")
+    got = sorted(map(tuple, ngram_join.keep_one_of_each(df).collect()))
+    assert got == [(3, "x y z", 1, 1, 1, 1), (7, "a b c d e f", 9, 9, 9, 9)]
