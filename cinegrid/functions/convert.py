@@ -170,9 +170,14 @@ def yuv_refusal(bits: Column, precision: Column, across: Column, down: Column, w
 
 
 def yuv_matrix(given: Column, stated: Column, refuse: bool = True) -> Column:
-    """The matrix a YUV picture is read with: the one given, else the one it states. None at all is an error (or null)."""
-    none = F.raise_error(F.lit("the picture states no matrix; name the one it was coded with")).cast("int") if refuse else F.lit(None).cast("int")
-    return F.coalesce(given, F.when(stated != 2, stated)).cast("int") if not refuse else F.coalesce(given, F.when(stated != 2, stated), none)
+    """The matrix a YUV picture is read with: the one given, else the one it states. None at all is an error (or null), and so is a
+    stated code that names no matrix."""
+    named = F.when(stated.isin(t.MATRIX_CODES) & (stated != 2), stated).cast("int")
+    if not refuse:
+        return F.coalesce(given.cast("int"), named)
+    unknown = F.raise_error(F.concat(F.lit("the picture states an unknown matrix: "), stated.cast("string"))).cast("int")
+    none = F.raise_error(F.lit("the picture states no matrix; name the one it was coded with")).cast("int")
+    return F.coalesce(given.cast("int"), named, F.when(~stated.isin(t.MATRIX_CODES), unknown).otherwise(none))
 
 
 def sample_word(sample: Column, depth: Column) -> Column:

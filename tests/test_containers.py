@@ -96,8 +96,13 @@ def test_refusals(spark):
     one = spark.range(1)
     numbers = lambda *x: F.array(*[F.lit(float(v)) for v in x])
     for column, message in (
-        (X.palette_entry(F.array(F.array(F.lit(1))), F.lit(1)), "past the end"), (X.yuv_matrix(F.lit(None).cast("int"), F.lit(2)), "states no matrix"),
+        (X.palette_entry(F.array(F.array(F.lit(1))), F.lit(1)), "past the end"), (X.yuv_matrix(F.lit(None).cast("int"), F.lit(2)), "states no matrix"), (X.yuv_matrix(F.lit(None).cast("int"), F.lit(3)), "unknown matrix: 3"), (X.yuv_matrix(F.lit(None).cast("int"), F.lit(None).cast("int")), "states no matrix"),
         (M.tiff_colour(numbers(1, 2), F.lit(None).cast("array<double>")), "not three numbers"), (M.tiff_colour(numbers(), numbers(1)), "not three pairs"),
     ):
         with pytest.raises(Exception, match=message):
             one.select(column).collect()
+
+
+def test_matrix_that_is_given_wins_over_an_unknown_one(spark):
+    row = spark.range(1).select(X.yuv_matrix(F.lit(6), F.lit(3)).alias("a"), X.yuv_matrix(F.lit(None).cast("int"), F.lit(3), refuse=False).alias("b"), X.yuv_matrix(F.lit(None).cast("int"), F.lit(9)).alias("c")).first()
+    assert tuple(row) == (6, None, 9)
