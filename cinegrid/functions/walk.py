@@ -23,6 +23,10 @@ VP8X, ANMF, RIFF, WEBP = "56503858", "414E4D46", "52494646", "57454250"
 CONTAINERS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "meta": 4, "iprp": 0, "ipco": 0, "stsd": 8}
 
 CHAIN = {"at": "bigint", "done": "boolean", "mode": "int", "wait": "bigint", "stated": "bigint", "found": "array<struct<num:bigint,den:bigint>>", "refusal": "string"}
+# Where the boxes of a visual sample entry begin, and the path of a file's sample entries.
+ENTRY_HEADER, ENTRIES = 78, "moov/trak/mdia/minf/stbl/stsd"
+
+ITEM = {"at": "bigint", "done": "boolean", "left": "bigint", "found": "array<bigint>"}
 BOXES = {"at": "bigint", "done": "boolean", "tracks": "int", "movies": "int", "open": "array<struct<end:bigint,path:string,track:int>>", "found": "array<struct<path:string,track:int,start:bigint,end:bigint>>"}
 
 
@@ -208,7 +212,7 @@ def boxes(content: Column) -> Column:
                 size = F.when(h["small"] == 1, h["wide"]).when(h["small"] == 0, end - s["at"]).otherwise(h["small"])
                 sound = (size >= header) & (size <= end - s["at"])
                 path = F.when(nested, F.concat(top["path"], F.lit("/"), h["kind"])).otherwise(h["kind"])
-                inner = F.create_map(*[F.lit(x) for pair in CONTAINERS.items() for x in pair])[h["kind"]]
+                inner = F.when(nested & (top["path"] == ENTRIES), ENTRY_HEADER).otherwise(F.create_map(*[F.lit(x) for pair in CONTAINERS.items() for x in pair])[h["kind"]])
                 movie = path == "moov"
                 into = inner.isNotNull() & ~(movie & (s["movies"] > 0))
                 tracks = s["tracks"] + F.when(path == "moov/trak", 1).otherwise(0)
@@ -229,3 +233,30 @@ def boxes(content: Column) -> Column:
         return folded(first, F.length(d) / 4 + 2, step)["found"]
 
     return bound(content, walk)
+
+
+def item_properties(ipma: Column, item: Column) -> Column:
+    """The numbers (from 1) of the properties that an ipma box lists for an item, from its first entry for it; null without one, or
+    where an entry up to it is cut off."""
+
+    def walk(d: Column) -> Column:
+        wide, tall = number(d, F.lit(3), 1) % 2 == 1, number(d, F.lit(0), 1) > 0
+        size = F.when(wide, 2).otherwise(1)
+
+        def step(s: Column) -> Column:
+            start = s["at"] + F.when(tall, 5).otherwise(3)
+
+            def at_entry(h: Column) -> Column:
+                end = start + h["count"] * size
+                over = (s["left"] <= 0) | h["id"].isNull() | h["count"].isNull() | (end > F.length(d))
+                places = F.when(h["count"] > 0, F.sequence(F.lit(0).cast("bigint"), h["count"] - 1)).otherwise(F.array().cast("array<bigint>"))
+                listed = F.transform(places, lambda i: F.when(wide, number(d, start + i * 2, 2) % 0x8000).otherwise(number(d, start + i, 1) % 0x80))
+                mine = ~over & (h["id"] == item)
+                return moved(ITEM, s, at=end, done=over | mine, left=s["left"] - 1, found=F.when(mine, listed))
+
+            return bound(F.struct(F.when(tall, number(d, s["at"], 4)).otherwise(number(d, s["at"], 2)).alias("id"), number(d, start - 1, 1).alias("count")), at_entry)
+
+        first = state(ITEM, at=F.lit(8), done=F.lit(False), left=F.coalesce(number(d, F.lit(4), 4), F.lit(0)), found=F.lit(None))
+        return folded(first, F.length(d) / 3 + 2, step)["found"]
+
+    return F.when(item.isNotNull(), bound(ipma, walk))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinegrid.functions import planes
 from cinegrid.functions import raster as R
 from cinegrid.functions import walk
 from cinegrid.operators import timeline as T
@@ -57,6 +58,67 @@ def first_boxes(files: DataFrame, key: str, paths: dict[str, str], content: str
     return b.groupBy(key, "track").agg(*[F.min_by(F.when(F.col("path") == p, F.col("body")), F.when(F.col("path") == p, F.col("start"))).alias(n) for n, p in paths.items()])
 
 
+def clean_aperture(body: Column) -> Column:
+    """width, height, x and y that a clap box states, as the whole pixels its fractions cover; null where it states none. A negative
+    place is read as the start."""
+
+    def read(d: Column) -> Column:
+        signed = lambda at: F.when(walk.number(d, at, 4) >= T.long(1 << 31), walk.number(d, at, 4) - T.long(1 << 32)).otherwise(walk.number(d, at, 4))
+        # fractions are cut off towards zero
+        whole = lambda i: F.call_function("try_divide", signed(F.lit(i * 8)).cast("decimal(20,0)"), signed(F.lit(i * 8 + 4))).cast("bigint")
+        field = F.struct(*[whole(i).alias(n) for i, n in enumerate(("width", "height", "x", "y"))])
+
+        def judged(c: Column) -> Column:
+            sound = (c["width"] > 0) & (c["height"] > 0) & c["x"].isNotNull() & c["y"].isNotNull()
+            zero = T.long(0)
+            return F.when(sound, F.struct(c["width"], c["height"], F.greatest(c["x"], zero).alias("x"), F.greatest(c["y"], zero).alias("y")))
+
+        return R.bound(field, judged)
+
+    return R.bound(body, read)
+
+
+def coded_size(body: Column) -> Column:
+    """width and height that an ispe box states."""
+    size = lambda d: F.struct(walk.number(d, F.lit(4), 4).alias("width"), walk.number(d, F.lit(8), 4).alias("height"))
+    return R.bound(R.bound(body, size), lambda s: F.when((s["width"] > 0) & (s["height"] > 0), s))
+
+
+def apertures(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, coded (width, height), crop (width, height, x, y) and refusal of ISO base media files: what a sequence shows of its coded
+    pictures. The size is the primary item's; the aperture is that of the first picture track's first sample entry, else the primary
+    item's, else the whole picture."""
+
+    def bodies(d: Column) -> Column:
+        def of(boxes: Column) -> Column:
+            body = lambda b: walk.part(d, b["start"], b["end"] - b["start"])
+            first = lambda path: F.get(F.filter(boxes, lambda b: b["path"] == path), F.lit(0))
+            named = lambda b, kind: F.right(b["path"], F.lit(4)) == kind
+            handler = F.get(F.filter(boxes, lambda b: (b["path"] == TRACK_BOXES["hdlr"]) & (walk.part(d, b["start"] + 8, 4) == F.lit(b"pict"))), F.lit(0))
+            children = lambda o: F.filter(boxes, lambda b: (b["start"] > o["start"]) & (b["end"] <= o["end"]) & (F.length(b["path"]) == F.length(o["path"]) + 5))
+            inside = lambda outer: R.bound(outer, children)
+            entries = lambda h: F.filter(boxes, lambda b: (b["track"] == h["track"]) & b["path"].startswith(walk.ENTRIES + "/") & (F.length(b["path"]) == len(walk.ENTRIES) + 5))
+            entry = F.get(R.bound(handler, entries), F.lit(0))
+            own = F.get(F.filter(inside(entry), lambda b: named(b, "clap")), F.lit(0))
+            item = R.bound(body(first("meta/pitm")), lambda p: F.when(walk.number(p, F.lit(0), 1) == 0, walk.number(p, F.lit(4), 2)).otherwise(walk.number(p, F.lit(4), 4)))
+            kept = inside(first("meta/iprp/ipco"))
+            numbers = R.bound(item, lambda i: walk.item_properties(body(first("meta/iprp/ipma")), i))
+            mine = R.bound(kept, lambda k: F.filter(F.transform(numbers, lambda i: F.when(i > 0, F.get(k, (i - 1).cast("int")))), lambda b: b.isNotNull()))
+            of_item = lambda m, kind: R.bound(F.get(F.filter(m, lambda b: named(b, kind)), F.lit(0)), body)
+            return R.bound(mine, lambda m: F.struct(R.bound(own, body).alias("own"), of_item(m, "clap").alias("clap"), of_item(m, "ispe").alias("ispe")))
+
+        return R.bound(walk.boxes(d), of)
+
+    d = fixed(files.select(key, R.bound(F.col(content), bodies).alias("b")))
+    coded = coded_size(F.col("b.ispe"))
+    stated = F.coalesce(clean_aperture(F.col("b.own")), clean_aperture(F.col("b.clap")))
+    d = d.select(key, coded.alias("coded"), stated.alias("_stated"))
+    zero, c = T.long(0), F.col("coded")
+    whole = F.when(c.isNotNull(), F.struct(c["width"].alias("width"), c["height"].alias("height"), zero.alias("x"), zero.alias("y")))
+    d = d.withColumn("crop", F.coalesce("_stated", whole)).drop("_stated")
+    return d.withColumn("refusal", planes.aperture_refusal(F.col("crop"), F.col("coded")))
+
+
 def table_entries(body: Column) -> Column:
     """The runs of a stts or ctts box: count and the raw value; an entry that is cut off, or the first that isn't there, has the
     count 0, which makes the table unsound."""
