@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrid.functions import identify as I
+from cinegrid.functions import profiles
 from cinegrid.functions import raster as R
 from cinegrid.functions import walk
 from cinegrid.operators import file_timelines
@@ -136,9 +137,9 @@ def clip_of(probed: DataFrame, fps: tuple[int, int]) -> tuple[DataFrame, DataFra
     return file_timelines.clip(stated, "file_index", fps), stated.where("animated").select("file_index").distinct()
 
 
-def read(spark: SparkSession, files: list[str], fpsnum: int = 24, fpsden: int = 1, mismatch: bool = False, with_alpha: bool = False, apply_rotation: bool = True, **prefetch) -> DataFrame:
+def read(spark: SparkSession, files: list[str], fpsnum: int = 24, fpsden: int = 1, mismatch: bool = False, with_alpha: bool = False, apply_rotation: bool = True, icc_profile: bool = False, **prefetch) -> DataFrame:
     """One row a frame: n, file_index, path, local, presentation, hold, format, width, height, orientation, planes, alpha,
-    original_color_type. A still is one frame; an animation lasts as many frames at the rate as its file states.
+    original_color_type and, with icc_profile, the profile that a JPEG, GIF or WebP embeds. A still is one frame; an animation lasts as many frames at the rate as its file states.
 
     Headers and timelines are probed at once, and unless mismatch is set every file must look like the first. Pixels of stills
     decode when the frames are used, and a file that has changed by then raises; the pictures of animations are not decoded here,
@@ -164,7 +165,11 @@ def read(spark: SparkSession, files: list[str], fpsnum: int = 24, fpsden: int =
     named = seen.select("file_index", "path", "format", "width", "height", "original_color_type", R.shown_orientation(F.col("orientation"), F.lit(apply_rotation)).alias("orientation"))
     out = frames.join(F.broadcast(named), "file_index").join(pixels, "file_index", "left")
     size = [F.coalesce(f"_{c}", c).alias(c) for c in ("format", "width", "height")]
-    return out.select(F.col("n").cast("int").alias("n"), "file_index", "path", F.col("local").cast("int").alias("local"), "presentation", "hold", *size, "orientation", "planes", "alpha", "original_color_type")
+    kept = []
+    if icc_profile:  # only then are the bytes read and carried
+        embedded = unchanged(probed, seen).select("file_index", profiles.profile(F.col("route"), F.col("content")).alias("icc_profile"))
+        out, kept = out.join(embedded, "file_index", "left"), ["icc_profile"]
+    return out.select(F.col("n").cast("int").alias("n"), "file_index", "path", F.col("local").cast("int").alias("local"), "presentation", "hold", *size, "orientation", "planes", "alpha", "original_color_type", *kept)
 
 
 def read_alpha(spark: SparkSession, files: list[str], **arguments) -> tuple[DataFrame, DataFrame]:

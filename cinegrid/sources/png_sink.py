@@ -13,6 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ from cinegrid.operators.fixed import fixed
 from cinegrid.sources import codecs
 
 SINK = "cinegrid_png"
-COLUMNS = ["n", "path", "width", "height", "bits", "stored", "planes", "alpha"]
+COLUMNS = ["n", "path", "width", "height", "bits", "stored", "planes", "alpha", "cicp", "icc"]
 
 
 def moved(v: np.ndarray, bits: int, stored: int) -> np.ndarray:
@@ -46,8 +47,11 @@ def frame_bytes(row, level: int) -> bytes:
     kind = np.dtype("<u2") if row["bits"] > 8 else np.dtype(np.uint8)
     planes = [np.frombuffer(p, kind) for p in [*row["planes"], *([row["alpha"]] if row["alpha"] is not None else [])]]
     samples = np.stack([moved(p, row["bits"], row["stored"]).reshape(row["height"], row["width"]) for p in planes], 2)
+    # colour chunks stand before what depends on them
+    colour = [(b"cICP", bytes(row["cicp"]))] if row["cicp"] is not None else []
+    colour += [(b"iCCP", b"ICC Profile\0\0" + zlib.compress(row["icc"], level))] if row["icc"] is not None else []
     extra = [(b"sBIT", bytes([row["bits"]] * len(planes)))] if row["bits"] < row["stored"] else []
-    return codecs.write_png(samples, row["stored"], level, extra)
+    return codecs.write_png(samples, row["stored"], level, colour + extra)
 
 
 @dataclass
@@ -128,7 +132,7 @@ class PngSink(DataSource):
         return PngWriter(self.options, overwrite or self.options.get("replace") == "true")
 
 
-def write_png(frames: DataFrame, output_path: str | None = None, output_dir: str | None = None, start_number: int = 0, overwrite: bool = False, compression: int = 6, depth: int | None = None, ledger: str | None = None, always_save: bool = False, epoch: int | None = None) -> DataFrame:
+def write_png(frames: DataFrame, output_path: str | None = None, output_dir: str | None = None, start_number: int = 0, overwrite: bool = False, compression: int = 6, depth: int | None = None, ledger: str | None = None, always_save: bool = False, epoch: int | None = None, export_icc_profile: bool = False) -> DataFrame:
     """Writes frames (n, path, format, width, height, planes, alpha) and returns their receipts, one for each row that asks for a
     frame: n, path, saved, performed.
 
@@ -137,6 +141,9 @@ def write_png(frames: DataFrame, output_path: str | None = None, output_dir: str
     refused before anything is written. ledger names a folder that remembers what was published: frames in it are not written
     again, and their receipts say so, unless always_save is set, which writes every frame asked for. saved is what the commit has
     recorded there (in a folder of the call without a ledger). epoch makes a repeated call idempotent.
+
+    Where frames have the columns primaries and transfer, a frame that names both is given a cICP chunk, unless its matrix isn't 0 or
+    its full_range false. icc_profile is written with export_icc_profile only.
     """
     if (output_path is None) == (output_dir is None):
         raise ValueError("exactly one of output_path and output_dir is needed")
@@ -172,7 +179,12 @@ def write_png(frames: DataFrame, output_path: str | None = None, output_dir: str
         wanted = frames.dropDuplicates(["n"]).withColumn("target", target)
         if not always_save:
             wanted = wanted.join(before.select("n"), "n", "left_anti")
-        ready = wanted.select("n", F.col("target").alias("path"), "width", "height", bits.alias("bits"), "planes", "alpha", *plan)
+        has = lambda name, kind: F.col(name).cast(kind) if name in frames.columns else F.lit(None).cast(kind)
+        # 2 is "unspecified", and a chunk holds bytes
+        code = lambda name: F.when(has(name, "int").between(0, 255) & (has(name, "int") != 2), has(name, "int"))
+        cicp = P.cicp_chunk(code("primaries"), code("transfer"), F.lit(False), has("matrix", "int"), has("full_range", "boolean"))
+        icc = has("icc_profile", "binary") if export_icc_profile else F.lit(None).cast("binary")
+        ready = wanted.select("n", F.col("target").alias("path"), "width", "height", bits.alias("bits"), "planes", "alpha", cicp.alias("cicp"), icc.alias("icc"), *plan)
         refused = F.when(F.col("refused").isNotNull(), F.raise_error(F.concat(F.lit("frame "), F.col("n").cast("string"), F.lit(" cannot be written: "), F.col("refused"))))
         ready = ready.withColumn("path", F.coalesce(refused.cast("string"), F.col("path"))).select(*COLUMNS)
         register(spark)
