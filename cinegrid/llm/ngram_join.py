@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -208,17 +208,33 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "ngram")
     rows = scratch.save(profiles(docs, words, percent, bucket_levels(docs.select("text"), words)))
 
-    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("rep"), F.min("id").alias("low_id"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    # a class is its smallest row; only numbers are aggregated, sets and bitmaps stay with that row
+    least = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("row"), F.min("id").alias("low_id"))
+    least = scratch.save(least.select("row", "low_id"))
+    classes = rows.drop("id").join(checked_broadcast(least, BROADCAST_IDS), "row").withColumn("cid", F.col("row")).withColumnRenamed("row", "rep")
     count = rows.count()
-    classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), count)
+    classes, wide = scratch.save(classes, count), rows
+    rows = scratch.save(wide.select("row", "id", "n", "k1", "k2"), count)
+    scratch.drop(wide)
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"))
     members = scratch.save(classes.select("cid", "n", "ph").join(groups, ["n", "ph"]).select("cid", "gid", "n"), count)
 
-    # inverted lists of the groups' leaders; a shingle that only one group has links nothing. One shuffle leaves those out; what
-    # is said of a whole list (its length, its lead) is then aggregated by task first and joined back
+    # inverted lists of the groups' leaders, in order of size. A posting whose neighbours in that order don't fit its size links
+    # nothing and goes, in the one shuffle by shingle. "up": sizes that fit reach into the next cell. What is said of a whole list
+    # (its lead, whether it is open) is aggregated by task first and joined back
+    def fit(small: Column, large: Column) -> Column:
+        return F.coalesce(100 * small >= percent * large, F.lit(False))
+
+    # sizes that fit lie in one cell or in two that adjoin
+    cell = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
     leaders = classes.join(members.where("cid = gid").select("cid"), "cid")
-    posted = leaders.select(F.col("cid").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-    posted = scratch.save(posted.withColumn("m", F.count("*").over(W.partitionBy("token"))).where("m > 1"), 8 * count)
+    posted = leaders.select(F.col("cid").alias("gid"), "n", cell.alias("cell"), F.posexplode("prefix").alias("pos", "token"))
+    falling = W.partitionBy("token").orderBy(F.desc("n"))
+    above = F.lag("n").over(falling)
+    posted = posted.withColumns({"beside": fit(F.col("n"), above) | fit(F.lead("n").over(falling), F.col("n")), "step": F.when(F.lag("cell").over(falling) != F.col("cell"), above)})
+    over = F.last("step", ignorenulls=True).over(falling.rowsBetween(W.unboundedPreceding, 0))
+    posted = posted.withColumns({"m": F.count("*").over(W.partitionBy("token")), "up": fit(F.col("n"), over)}).where("beside")
+    posted = scratch.save(posted.drop("beside", "step"), 8 * count)
     lists = posted.groupBy("token").agg(F.min_by(F.struct("gid", "n"), F.struct("pos", "gid")).alias("lead"))
 
     part = F.when(F.col("m") > LIST_PART, F.pmod(F.xxhash64("gid"), F.ceil(F.col("m") / LIST_PART))).otherwise(0)
@@ -235,15 +251,17 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     roots = scratch.save(connected_components(links))
     members = scratch.save(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), count)
+    # a group of one class that the first round linked to nothing is its own root
     span = members.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") == 1).alias("single"))
-    listed = posted.select("token", "gid", "n", "pos").join(span, "gid")
+    span = scratch.save(span.where("low <> gid or high <> gid or not single"), count)
+    own = [F.coalesce(c, "gid").alias(c) for c in ("low", "high")]
+    listed = posted.join(checked_broadcast(span, BROADCAST_IDS // 4), "gid", "left").select("token", "gid", "n", "cell", "pos", "up", *own, F.coalesce("single", F.lit(True)).alias("single"))
     mixed = listed.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
     # a group of one class carries its sketch into the join; for others nothing is ruled out there
     sketches = classes.select(F.col("cid").alias("gid"), "bitmap").mapInArrow(_sketches, "gid long, sketch array<long>")
     open_lists = listed.join(mixed, "token").join(sketches, "gid").withColumn("sketch", F.when(F.col("single"), F.col("sketch"))).drop("single")
-    # sizes that fit lie in one cell or in two that adjoin, so lists meet cell by cell
-    open_lists = scratch.save(open_lists.withColumn("cell", F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")), 8 * count)
-    wider = open_lists.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
+    open_lists = scratch.save(open_lists, 8 * count)
+    wider = open_lists.withColumn("cell", F.explode(F.when(F.col("up"), F.array("cell", F.col("cell") + 1)).otherwise(F.array("cell"))))
     a, b = open_lists.alias("a"), wider.alias("b")
     # what can still be common from these positions on must reach the overlap that the similarity asks for
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
