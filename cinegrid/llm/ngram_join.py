@@ -228,13 +228,14 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # sizes that fit lie in one cell or in two that adjoin
     cell = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
     leaders = classes.join(members.where("cid = gid").select("cid"), "cid")
-    posted = leaders.select(F.col("cid").alias("gid"), "n", cell.alias("cell"), F.posexplode("prefix").alias("pos", "token"))
+    posted = leaders.select(F.col("cid").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
+    posted = posted.repartition("token").withColumn("cell", cell)  # what follows from n needn't travel
     falling = W.partitionBy("token").orderBy(F.desc("n"))
     above = F.lag("n").over(falling)
     posted = posted.withColumns({"beside": fit(F.col("n"), above) | fit(F.lead("n").over(falling), F.col("n")), "step": F.when(F.lag("cell").over(falling) != F.col("cell"), above)})
     over = F.last("step", ignorenulls=True).over(falling.rowsBetween(W.unboundedPreceding, 0))
     posted = posted.withColumns({"m": F.count("*").over(W.partitionBy("token")), "up": fit(F.col("n"), over)}).where("beside")
-    posted = scratch.save(posted.drop("beside", "step"), 8 * count)
+    posted = scratch.save(posted.drop("beside", "step", "cell"), 8 * count)
     lists = posted.groupBy("token").agg(F.min_by(F.struct("gid", "n"), F.struct("pos", "gid")).alias("lead"))
 
     part = F.when(F.col("m") > LIST_PART, F.pmod(F.xxhash64("gid"), F.ceil(F.col("m") / LIST_PART))).otherwise(0)
@@ -242,12 +243,14 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     beside = posted.withColumn("part", part).select("gid", "n", F.lag("gid").over(near).alias("other"), F.lag("n").over(near).alias("other_n"))
     beside = beside.where(100 * F.col("other_n") >= percent * F.col("n")).groupBy("gid", "other").agg(F.count("*").alias("shared"))
     beside = beside.groupBy("gid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-    led = posted.join(scratch.save(lists), "token").where((F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
+    lists = scratch.save(lists)
+    led = posted.join(lists, "token").where((F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
     led = led.groupBy("gid", F.col("lead.gid").alias("other")).agg(F.count("*").alias("lists")).groupBy("gid").agg(F.max_by("other", F.struct("lists", "other")).alias("other"))
     stars = beside.select("gid", "other").union(led).select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b"))
     before = members.where("cid <> gid").select(F.col("gid").alias("before"), "cid")
     first = before.select(F.col("before").alias("a"), F.col("cid").alias("b")).union(stars).distinct()
     links = verified(first, docs, classes, words, percent, count)
+    scratch.drop(lists)
 
     roots = scratch.save(connected_components(links))
     members = scratch.save(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), count)
@@ -255,12 +258,14 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     span = members.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") == 1).alias("single"))
     span = scratch.save(span.where("low <> gid or high <> gid or not single"), count)
     own = [F.coalesce(c, "gid").alias(c) for c in ("low", "high")]
-    listed = posted.join(checked_broadcast(span, BROADCAST_IDS // 4), "gid", "left").select("token", "gid", "n", "cell", "pos", "up", *own, F.coalesce("single", F.lit(True)).alias("single"))
+    listed = posted.join(checked_broadcast(span, BROADCAST_IDS // 4), "gid", "left").select("token", "gid", "n", "pos", "up", *own, F.coalesce("single", F.lit(True)).alias("single"))
     mixed = listed.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
     # a group of one class carries its sketch into the join; for others nothing is ruled out there
     sketches = classes.select(F.col("cid").alias("gid"), "bitmap").mapInArrow(_sketches, "gid long, sketch array<long>")
     open_lists = listed.join(mixed, "token").join(sketches, "gid").withColumn("sketch", F.when(F.col("single"), F.col("sketch"))).drop("single")
     open_lists = scratch.save(open_lists, 8 * count)
+    scratch.drop(posted)
+    open_lists = open_lists.withColumn("cell", cell)
     wider = open_lists.withColumn("cell", F.explode(F.when(F.col("up"), F.array("cell", F.col("cell") + 1)).otherwise(F.array("cell"))))
     a, b = open_lists.alias("a"), wider.alias("b")
     # what can still be common from these positions on must reach the overlap that the similarity asks for
