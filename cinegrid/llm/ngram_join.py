@@ -209,15 +209,16 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = scratch.save(profiles(docs, words, percent, bucket_levels(docs.select("text"), words)))
 
     # a class is its smallest row; only numbers are aggregated, sets and bitmaps stay with that row
-    least = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("row"), F.min("id").alias("low_id"))
-    least = scratch.save(least.select("row", "low_id"))
+    least = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("row"), F.min("id").alias("low_id"), F.first("ph").alias("ph"))
+    least = scratch.save(least.select("row", "low_id", "n", "ph"))
+    groups = least.groupBy("n", "ph").agg(F.min("row").alias("gid"))
+    least = scratch.save(least.join(groups, ["n", "ph"]).select("row", "low_id", "gid"))
     classes = rows.drop("id").join(checked_broadcast(least, BROADCAST_IDS), "row").withColumn("cid", F.col("row")).withColumnRenamed("row", "rep")
     count = rows.count()
     classes, wide = scratch.save(classes, count), rows
     rows = scratch.save(wide.select("row", "id", "n", "k1", "k2"), count)
     scratch.drop(wide)
-    groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"))
-    members = scratch.save(classes.select("cid", "n", "ph").join(groups, ["n", "ph"]).select("cid", "gid", "n"), count)
+    members = classes.select("cid", "gid", "n")
 
     # inverted lists of the groups' leaders, in order of size. A posting whose neighbours in that order don't fit its size links
     # nothing and goes, in the one shuffle by shingle. "up": sizes that fit reach into the next cell. What is said of a whole list
@@ -227,8 +228,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     # sizes that fit lie in one cell or in two that adjoin
     cell = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
-    leaders = classes.join(members.where("cid = gid").select("cid"), "cid")
-    posted = leaders.select(F.col("cid").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
+    posted = classes.where("cid = gid").select(F.col("cid").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.repartition("token").withColumn("cell", cell)  # what follows from n needn't travel
     falling = W.partitionBy("token").orderBy(F.desc("n"))
     above = F.lag("n").over(falling)
