@@ -11,36 +11,10 @@ from cinegrid.functions import walk
 from cinegrid.operators import timeline as T
 from cinegrid.operators.fixed import fixed
 
-CHAINED, BOXED = ["png", "gif", "webp"], ["avif", "heif"]
-SAMPLE_TABLES = "moov/trak/mdia/minf/stbl/"
-# The boxes that state a sequence's timeline, and a picture's rotation and mirror.
-TRACK_BOXES = {"mdhd": "moov/trak/mdia/mdhd", "hdlr": "moov/trak/mdia/hdlr", "stts": SAMPLE_TABLES + "stts", "ctts": SAMPLE_TABLES + "ctts", "elst": "moov/trak/edts/elst"}
+# The boxes that state a picture's rotation and mirror.
 ITEM_BOXES = {"irot": "meta/iprp/ipco/irot", "imir": "meta/iprp/ipco/imir"}
 
 
-def timebase(dens: Column) -> Column:
-    """The lowest common denominator of a file's delays."""
-    return F.aggregate(F.array_distinct(dens), T.long(1), lambda t, d: F.when(t > T.TIMEBASE_LIMIT, t).otherwise(T.common_multiple(t, d)))
-
-
-def chained_pictures(files: DataFrame, key: str, route: str = "route", content: str = "content") -> DataFrame:
-    """files of CHAINED routes: key, animated, pos (from 1), duration, ticks (a second) and refusal; one row for a still."""
-    c = F.col(content)
-    walked = F.when(F.col(route) == "png", walk.png_pictures(c)).when(F.col(route) == "gif", walk.gif_pictures(c)).when(F.col(route) == "webp", walk.webp_pictures(c))
-    # files are read once: what follows reads the saved states
-    d = fixed(files.where(F.col(route).isin(CHAINED)).select(key, F.col(route).alias("_route"), walked.alias("w")))
-    found, kind = F.col("w.found"), F.col("_route")
-    animated = F.when(kind == "png", F.col("w.stated").isNotNull()).when(kind == "gif", F.size(found) >= 2).otherwise(F.coalesce(F.col("w.stated") == 1, F.lit(False)))
-    whole = F.transform(found, lambda x: F.struct(x["num"].alias("num"), F.when(x["den"] == 0, 100).otherwise(x["den"]).cast("bigint").alias("den")))
-    d = d.select(key, "_route", animated.alias("animated"), F.col("w.refusal").alias("refusal"), whole.alias("found"))
-    base = F.when(kind == "png", timebase(F.transform("found", lambda x: x["den"]))).otherwise(T.long(1_000_000))
-    d = d.withColumn("_base", F.when(F.col("animated"), base)).withColumn("ticks", F.when(F.col("_base") > T.TIMEBASE_LIMIT, T.long(1000)).otherwise(F.col("_base")))
-    shown = F.when(F.col("animated") & F.col("refusal").isNull(), F.col("found")).otherwise(F.array(F.lit(None).cast("struct<num:bigint,den:bigint>")))
-    d = d.select(key, "animated", "refusal", "ticks", F.posexplode(shown).alias("_at", "x"))
-    duration = T.int_div(F.col("x.num") * F.col("ticks"), F.col("x.den"))
-    return d.select(key, "animated", (F.col("_at") + 1).alias("pos"), duration.alias("duration"), "ticks", "refusal")
-
-
 def box_table(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """key, path, track, start, end of every box."""
     return files.select(key, F.explode(walk.boxes(F.col(content))).alias("b")).select(key, "b.*")
@@ -49,13 +23,7 @@ def box_table(files: DataFrame, key: str, content: str = "content") -> DataFrame
 def first_boxes(files: DataFrame, key: str, paths: dict[str, str], content: str = "content") -> DataFrame:
     """key, track and, for each name of paths, what the first such box of the track (0: of no track) holds. Only these bytes leave
     the row that has the file."""
-
-    def bodies(d: Column) -> Column:
-        mine = F.filter(walk.boxes(d), lambda b: b["path"].isin(list(paths.values())))
-        return F.transform(mine, lambda b: F.struct(b["path"].alias("path"), b["track"].alias("track"), b["start"].alias("start"), walk.part(d, b["start"], b["end"] - b["start"]).alias("body")))
-
-    b = files.select(key, F.explode(R.bound(F.col(content), bodies)).alias("b")).select(key, "b.*")
-    return b.groupBy(key, "track").agg(*[F.min_by(F.when(F.col("path") == p, F.col("body")), F.when(F.col("path") == p, F.col("start"))).alias(n) for n, p in paths.items()])
+    return files.select(key, F.explode(walk.first_bodies(F.col(content), paths)).alias("b")).select(key, "b.*")
 
 
 def clean_aperture(body: Column) -> Column:
@@ -84,107 +52,21 @@ def coded_size(body: Column) -> Column:
     return R.bound(R.bound(body, size), lambda s: F.when((s["width"] > 0) & (s["height"] > 0), s))
 
 
-def apertures(files: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """key, coded (width, height), crop (width, height, x, y) and refusal of ISO base media files: what a sequence shows of its coded
+def apertures(files: DataFrame, key: str, content: str = "content", kept: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns kept, coded (width, height), crop (width, height, x, y) and refusal of ISO base media files: what a sequence shows of its coded
     pictures. The size is the primary item's; the aperture is that of the first picture track's first sample entry, else the primary
     item's, else the whole picture."""
 
-    def bodies(d: Column) -> Column:
-        def of(boxes: Column) -> Column:
-            body = lambda b: walk.part(d, b["start"], b["end"] - b["start"])
-            first = lambda path: F.get(F.filter(boxes, lambda b: b["path"] == path), F.lit(0))
-            named = lambda b, kind: F.right(b["path"], F.lit(4)) == kind
-            handler = F.get(F.filter(boxes, lambda b: (b["path"] == TRACK_BOXES["hdlr"]) & (walk.part(d, b["start"] + 8, 4) == F.lit(b"pict"))), F.lit(0))
-            children = lambda o: F.filter(boxes, lambda b: (b["start"] > o["start"]) & (b["end"] <= o["end"]) & (F.length(b["path"]) == F.length(o["path"]) + 5))
-            inside = lambda outer: R.bound(outer, children)
-            entries = lambda h: F.filter(boxes, lambda b: (b["track"] == h["track"]) & b["path"].startswith(walk.ENTRIES + "/") & (F.length(b["path"]) == len(walk.ENTRIES) + 5))
-            entry = F.get(R.bound(handler, entries), F.lit(0))
-            own = F.get(F.filter(inside(entry), lambda b: named(b, "clap")), F.lit(0))
-            item = R.bound(body(first("meta/pitm")), lambda p: F.when(walk.number(p, F.lit(0), 1) == 0, walk.number(p, F.lit(4), 2)).otherwise(walk.number(p, F.lit(4), 4)))
-            kept = inside(first("meta/iprp/ipco"))
-            numbers = R.bound(item, lambda i: walk.item_properties(body(first("meta/iprp/ipma")), i))
-            mine = R.bound(kept, lambda k: F.filter(F.transform(numbers, lambda i: F.when(i > 0, F.get(k, (i - 1).cast("int")))), lambda b: b.isNotNull()))
-            of_item = lambda m, kind: R.bound(F.get(F.filter(m, lambda b: named(b, kind)), F.lit(0)), body)
-            return R.bound(mine, lambda m: F.struct(R.bound(own, body).alias("own"), of_item(m, "clap").alias("clap"), of_item(m, "ispe").alias("ispe")))
-
-        return R.bound(walk.boxes(d), of)
-
-    d = fixed(files.select(key, R.bound(F.col(content), bodies).alias("b")))
+    d = files.select(key, *kept, walk.aperture_boxes(F.col(content)).alias("b"))
     coded = coded_size(F.col("b.ispe"))
     stated = F.coalesce(clean_aperture(F.col("b.own")), clean_aperture(F.col("b.clap")))
-    d = d.select(key, coded.alias("coded"), stated.alias("_stated"))
+    d = d.select(key, *kept, coded.alias("coded"), stated.alias("_stated"))
     zero, c = T.long(0), F.col("coded")
     whole = F.when(c.isNotNull(), F.struct(c["width"].alias("width"), c["height"].alias("height"), zero.alias("x"), zero.alias("y")))
     d = d.withColumn("crop", F.coalesce("_stated", whole)).drop("_stated")
     return d.withColumn("refusal", planes.aperture_refusal(F.col("crop"), F.col("coded")))
 
 
-def table_entries(body: Column) -> Column:
-    """The runs of a stts or ctts box: count and the raw value; an entry that is cut off, or the first that isn't there, has the
-    count 0, which makes the table unsound."""
-
-    def read(d: Column) -> Column:
-        room = F.floor((F.length(d) - 8) / 8).cast("bigint") + 1
-        stated = F.least(walk.number(d, F.lit(4), 4), room)
-        places = F.when(stated > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), stated - 1), lambda i: 8 + i * 8)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(places, lambda at: F.struct(F.coalesce(F.when(at + 8 <= F.length(d), walk.number(d, at, 4)), T.long(0)).alias("count"), walk.number(d, at + 4, 4).alias("value")))
-
-    return R.bound(body, read)
-
-
-def sound(entries: Column) -> Column:
-    total = F.aggregate(entries, T.long(0), lambda t, e: t + e["count"])
-    return F.forall(entries, lambda e: e["count"] > 0) & (total <= T.MOST_SAMPLES)
-
-
-def edits(body: Column) -> Column:
-    """The entries of an elst box: duration and media_time (negative for an empty edit); none where one is cut off."""
-
-    def read(d: Column) -> Column:
-        wide = walk.number(d, F.lit(0), 1) == 1
-        size = F.when(wide, 20).otherwise(12)
-        stated = walk.number(d, F.lit(4), 4)
-        whole = 8 + stated * size <= F.length(d) + F.when(wide, 4).otherwise(4)
-        narrow = lambda at: F.when(walk.number(d, at, 4) >= T.long(1 << 31), walk.number(d, at, 4) - T.long(1 << 32)).otherwise(walk.number(d, at, 4))
-        entry = lambda at: F.struct(
-            F.when(wide, walk.number(d, at, 8)).otherwise(walk.number(d, at, 4)).alias("duration"),
-            # 64 bits beyond a long are a negative number
-            F.when(wide, F.coalesce(walk.number(d, at + 8, 8), T.long(-1))).otherwise(narrow(at + 4)).alias("media_time"),
-        )
-        return F.when(whole & (stated > 0), F.transform(F.sequence(F.lit(0).cast("bigint"), stated - 1), lambda i: entry(8 + i * size)))
-
-    return R.bound(body, read)
-
-
-def boxed_pictures(files: DataFrame, key: str, route: str = "route", content: str = "content") -> DataFrame:
-    """files of BOXED routes that are sequences: key, animated, pos (from 1), duration, ticks and refusal, from the first picture
-    track whose tables are sound. Files with no such track, or with one sample, have no rows."""
-    t = fixed(first_boxes(files.where(F.col(route).isin(BOXED)).select(key, content), key, TRACK_BOXES, content)).where("track > 0")
-    scale_at = F.when(walk.number(F.col("mdhd"), F.lit(0), 1) == 1, 20).otherwise(12)
-    t = t.select(
-        key, "track", (F.substring("hdlr", 9, 4) == F.lit(b"pict")).alias("_pict"), walk.number(F.col("mdhd"), scale_at, 4).alias("ticks"), table_entries(F.col("stts")).alias("stts"),
-        F.when(F.col("ctts").isNotNull(), table_entries(F.col("ctts"))).alias("ctts"), walk.number(F.col("ctts"), F.lit(0), 1).alias("_version"), edits(F.col("elst")).alias("elst"),
-    )
-    usable = F.col("_pict") & (F.col("ticks") > 0) & (F.size("stts") > 0) & sound(F.col("stts")) & F.coalesce(sound(F.col("ctts")), F.lit(True))
-    t = t.where(usable).groupBy(key).agg(F.min_by(F.struct("ticks", "stts", "ctts", "_version", "elst"), "track").alias("t")).select(key, "t.*")
-    t = fixed(t.where(F.aggregate("stts", T.long(0), lambda n, e: n + e["count"]) >= 2))
-
-    def runs(table: str) -> DataFrame:
-        return t.where(F.size(table) > 0).select(key, "_version", F.posexplode(table).alias("_run", "e")).select(key, "_version", "_run", "e.count", "e.value")
-
-    decoded = T.expand_runs(runs("stts"), key, "_run", "count", "value").withColumnRenamed("value", "duration")
-    moved = T.expand_runs(runs("ctts").withColumn("value", T.composition_offset(F.col("_version"), F.col("value"))), key, "_run", "count", "value").withColumnRenamed("value", "offset")
-    listed = T.edit_list(t.select(key, F.posexplode("elst").alias("_edit", "e")).select(key, "_edit", "e.*"), key, "_edit", "duration", "media_time")
-    cut = t.select(key, "ticks").join(listed, key, "left")
-    d = decoded.join(moved, [key, "sample"], "left").withColumn("offset", F.coalesce("offset", T.long(0))).join(cut, key)
-    played = T.composed(d.where("refusal is null"), key, "sample", "duration", "offset", "shown").join(t.select(key, "ticks"), key)
-    shown = played.select(key).distinct()
-    empty = cut.where("refusal is null").join(shown, key, "left_anti").withColumn("refusal", F.lit("it shows no picture"))
-    refused = cut.where("refusal is not null").union(empty)
-    rows = played.select(key, F.lit(True).alias("animated"), (F.col("sample") + 1).cast("int").alias("pos"), "duration", "ticks", F.lit(None).cast("string").alias("refusal"))
-    return rows.union(refused.select(key, F.lit(True), F.lit(1), F.lit(None).cast("bigint"), "ticks", "refusal"))
-
-
 def stated_orientation(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """key and orientation code that the first rotation and mirror properties of an ISO base media file make."""
     b = first_boxes(files.select(key, content), key, ITEM_BOXES, content).where("track = 0")
@@ -193,20 +75,33 @@ def stated_orientation(files: DataFrame, key: str, content: str = "content") ->
 
 
 def pictures(files: DataFrame, key: str, route: str = "route", content: str = "content") -> DataFrame:
-    """key, animated, pos, duration, ticks and refusal of every file: what it states if it is an animation, else one still."""
-    found = chained_pictures(files, key, route, content).union(boxed_pictures(files, key, route, content))
-    rest = files.where(~F.coalesce(F.col(route).isin(CHAINED), F.lit(False))).select(key).join(found.select(key), key, "left_anti")
-    return found.union(rest.select(key, F.lit(False), F.lit(1), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), F.lit(None).cast("string")))
+    """key, animated, pos (from 1), duration, ticks (a second) and refusal of every file: what it states if it is an animation, else one
+    still; before, idle, total and total_idle say what those before and all last, and how many of them have no time of their own.
+
+    Files are read once, in their rows; what follows reads the saved runs of equal pictures.
+    """
+    d = fixed(files.select(key, walk.timeline(F.col(route), F.col(content)).alias("w")))
+    animated, refusal = F.coalesce("w.animated", F.lit(False)), F.col("w.refusal")
+    shown = F.when(animated & refusal.isNull(), F.col("w.runs"))
+    stated = {"ticks": F.col("w.ticks"), "total": F.col("w.total"), "total_idle": F.col("w.idle")}
+    d = d.select(key, animated.alias("animated"), refusal.alias("refusal"), *[c.alias(n) for n, c in stated.items()], F.explode_outer(shown).alias("r"))
+    d = d.select("*", F.explode(F.sequence(T.long(0), F.coalesce("r.count", T.long(1)) - 1)).alias("_i"))
+    pos, one = (F.coalesce("r.pos", T.long(1)) + F.col("_i")).cast("int"), F.col("r.duration")
+    before, idle = F.col("r.before") + F.col("_i") * one, F.col("r.idle") + F.when(one > 0, 0).otherwise(F.col("_i"))
+    return d.select(key, "animated", pos.alias("pos"), one.alias("duration"), "ticks", "refusal", before.alias("before"), idle.alias("idle"), "total", "total_idle")
 
 
 def sampled(stated: DataFrame, key: str, fps: tuple[int, int]) -> DataFrame:
     """key, presentation, duration, ticks, tick, until and count of pictures; a still is shown for one frame. Refused files are left
-    out: see refusals."""
-    sound_ones = stated.where("refusal is null")
-    moving = T.samples(sound_ones.where("animated"), key, "pos", "duration", "ticks", fps)
-    columns = [key, "presentation", "duration", "ticks", "tick", "until", "count"]
-    still = sound_ones.where("not animated").select(key, F.lit(0).alias("presentation"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), T.long(0), T.long(1), T.long(1))
-    return moving.select(*columns).union(still)
+    out: see refusals. A picture knows what those before it last, so files meet no shuffle."""
+    ticks, moving = F.col("ticks"), F.col("animated")
+    d = stated.where("refusal is null").withColumn("_tick", T.delay_or_tick(F.lit(None).cast("bigint"), ticks, fps))
+    d = d.withColumn("duration", F.when(moving, F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.col("_tick"))))
+    before, total = F.col("before") + F.col("idle") * F.col("_tick"), F.col("total") + F.col("total_idle") * F.col("_tick")
+    d = T.placed(d, before, total, ticks, fps)
+    still = {"tick": 0, "until": 1, "count": 1}
+    columns = [F.when(moving, F.col(c)).otherwise(T.long(v)).alias(c) for c, v in still.items()]
+    return d.select(key, (F.col("pos") - 1).alias("presentation"), "duration", F.when(moving, ticks).alias("ticks"), *columns)
 
 
 def refusals(stated: DataFrame, key: str) -> DataFrame:
@@ -216,7 +111,9 @@ def refusals(stated: DataFrame, key: str) -> DataFrame:
 def clip(stated: DataFrame, key: str, fps: tuple[int, int]) -> DataFrame:
     """Every frame of the files in the order of key: n, key, local, presentation, hold (frames that show the presentation)."""
     s = sampled(stated, key, fps)
-    starts = T.segment_starts(s.groupBy(key).agg(F.max("count").alias("count")), key, "count").select(key, "start")
+    starts = T.segment_starts(s.where("presentation = 0").select(key, "count"), key, "count").select(key, "start")
     held = T.holds(s, key).withColumn("hold", (F.col("sample_to") - F.col("sample_from")).cast("int"))
-    each = held.select(key, "presentation", "hold", F.explode(F.sequence("sample_from", F.col("sample_to") - 1)).alias("local"))
-    return each.join(starts, key).select((F.col("start") + F.col("local")).alias("n"), key, "local", "presentation", "hold")
+    # pictures meet their start, not each of their frames
+    met = held.select(key, "presentation", "hold", "sample_from", "sample_to").join(starts, key)
+    each = met.select(key, "presentation", "hold", "start", F.explode(F.sequence("sample_from", F.col("sample_to") - 1)).alias("local"))
+    return each.select((F.col("start") + F.col("local")).alias("n"), key, "local", "presentation", "hold")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinegrid.functions.walk import MOST_SAMPLES, TIMEBASE_LIMIT
 from cinegrid.operators.fixed import fixed
 from cinegrid.operators.segments import scanned
 
@@ -61,7 +62,12 @@ def ceil_frames(units: Column, rate: tuple[int, int] | Column, fps: tuple[int, i
         return ceil_scaled(units, *scale(rate, fps))
     wide = units.cast("decimal(20,0)") * F.lit(fps[0]).cast("decimal(10,0)")
     div = rate.cast("decimal(10,0)") * F.lit(fps[1]).cast("decimal(10,0)")
-    return F.call_function("div", wide + div - F.lit(1).cast("decimal(1,0)"), div).cast("bigint")
+    far = F.call_function("div", wide + div - F.lit(1).cast("decimal(1,0)"), div).cast("bigint")
+    # a rate has ten digits at most; what is surely within 64 bits needs no decimals, which take far longer
+    near = ((1 << 63) - 1 - 10**10 * fps[1]) // fps[0]
+    if near <= 0:
+        return far
+    return F.when(units <= long(near), int_div(units * long(fps[0]) + rate * long(fps[1]) - long(1), rate * long(fps[1]))).otherwise(far)
 
 
 def samples(df: DataFrame, segment: str, order: str, duration: str, rate: tuple[int, int] | str, fps: tuple[int, int]) -> DataFrame:
@@ -74,12 +80,17 @@ def samples(df: DataFrame, segment: str, order: str, duration: str, rate: tuple[
     of = F.col(rate) if isinstance(rate, str) else rate
     d = df.withColumn("duration", delay_or_tick(F.col(duration), of, fps))
     d = scanned(d, segment, order, {"presentation": F.lit(1), "_before": F.col("duration")})
-    count = F.greatest(long(1), ceil_frames(F.col("_before_total"), of, fps))
-    d = d.withColumn("count", count).withColumn("tick", F.least(F.col("count"), ceil_frames(F.col("_before"), of, fps)))
-    d = d.withColumn("until", F.least(F.col("count"), ceil_frames(F.col("_before") + F.col("duration"), of, fps)))
+    d = placed(d, F.col("_before"), F.col("_before_total"), of, fps)
     return d.withColumn("presentation", F.col("presentation").cast("int")).drop("presentation_total", "_before", "_before_total")
 
 
+def placed(df: DataFrame, before: Column, total: Column, rate: tuple[int, int] | Column, fps: tuple[int, int]) -> DataFrame:
+    """Adds count, tick and until to presentations of which it is known how long those before them, and all, last."""
+    d = df.withColumn("count", F.greatest(long(1), ceil_frames(total, rate, fps)))
+    d = d.withColumn("tick", F.least(F.col("count"), ceil_frames(before, rate, fps)))
+    return d.withColumn("until", F.least(F.col("count"), ceil_frames(before + F.col("duration"), rate, fps)))
+
+
 def holds(sampled: DataFrame, segment: str) -> DataFrame:
     """The frames [sample_from, sample_to) that show each presentation; those shorter than a tick vanish."""
     return sampled.withColumn("sample_from", F.col("tick")).withColumn("sample_to", F.col("until")).where("sample_from < sample_to")
@@ -139,10 +150,6 @@ def webp_delay(milliseconds: Column) -> Column:
     return milliseconds.cast("bigint") * long(1_000)
 
 
-#: Ticks a second that a common timebase of delays may have.
-TIMEBASE_LIMIT = 1 << 31
-
-
 def common_multiple(a: Column, b: Column) -> Column:
     """The least common multiple of two positive numbers, b below 2^16, by Euclid's steps (24 are enough for such a b)."""
     step = F.aggregate(
@@ -199,10 +206,6 @@ def clip_frames(df: DataFrame, segment: str, order: str, duration: str, rate: tu
     return each.select((F.col("start") + F.col("local")).alias("n"), segment, "local", "presentation")
 
 
-#: Samples that one track's table may state.
-MOST_SAMPLES = 1 << 22
-
-
 def composition_offset(version: Column, raw: Column) -> Column:
     """A composition offset from its unsigned 32 bits: signed in version 1 of the table."""
     return F.when((version == 1) & (raw >= long(1 << 31)), raw - long(1 << 32)).otherwise(raw)

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegrid.functions.raster import bound
 from cinegrid.operators import file_timelines as T
-from cinegrid.operators.fixed import fixed
 from cinegrid.plans.timeline_queries import POS_SQL, numbered_lines
 
 FPS = (24, 1)
@@ -18,8 +16,9 @@ def hexed(value: Column, size: int, little: bool = False) -> Column:
     return F.concat(*[F.substring(text, i, 2) for i in range(2 * size - 1, 0, -2)]) if little else text
 
 
-def gathered(d: DataFrame, key: str, piece: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"]), "")
+def gathered(order: list[Column], piece: Column) -> Column:
+    """A group's pieces in that order, one after the other."""
+    return F.array_join(F.sort_array(F.collect_list(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], piece.alias("piece")))).getField("piece"), "")
 
 
 def chained_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,19 +33,20 @@ def chained_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     gif = F.concat(F.lit("21F90400"), hexed(q % 20, 2, True), F.lit("0000"), F.when(part % 3 == 0, "21FE0341424300").otherwise(""), F.lit("2C0000000001000100"), F.when(part % 5 == 0, "81" + "10" * 12).otherwise("00"), F.lit("02024C0103AABBCC00"))
     webp = F.concat(F.lit("414E4D46"), hexed(F.lit(16) + part % 4, 4, True), F.lit("00" * 12), hexed(part % 500, 3, True), F.lit("02"), F.repeat(F.lit("AB"), (part % 4).cast("int")), F.when(part % 2 == 1, "00").otherwise(""))
     kind = F.col("l_orderkey") % 4
-    d = d.withColumn("kind", kind).groupBy("l_orderkey", "kind").agg(F.count("*").alias("n"), *[gathered(d, "l_orderkey", p).alias(k) for k, p in (("png", png), ("gif", gif), ("webp", webp))])
+    piece = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, webp).otherwise("")
+    d = d.groupBy("l_orderkey").agg(F.count("*").alias("n"), gathered([F.col("pos")], piece).alias("body")).withColumn("kind", kind)
     head = F.lit("89504E470D0A1A0A0000000D49484452" + "00000001" * 2 + "0806000000" + "CC" * 4)
     promised = F.col("n") + F.when(F.col("l_orderkey") % 20 == 0, 1).otherwise(0)
     control = F.concat(F.lit("000000086163544C"), hexed(promised, 4), F.lit("00" * 4 + "CC" * 4))
-    frames = F.concat(F.lit("565038580A00000002" + "00" * 9), F.lit("414E494D06000000" + "00" * 6), F.col("webp"))
+    frames = F.concat(F.lit("565038580A00000002" + "00" * 9), F.lit("414E494D06000000" + "00" * 6), F.col("body"))
     text = (
-        F.when(F.col("kind") == 0, F.concat(head, control, "png", F.lit("0000000049454E44AE426082")))
-        .when(F.col("kind") == 1, F.concat(F.lit("4749463839610100010080" + "0000" + "11" * 6), "gif", F.when(F.col("l_orderkey") % 20 == 1, "21FE05AA").otherwise("3B")))
+        F.when(F.col("kind") == 0, F.concat(head, control, "body", F.lit("0000000049454E44AE426082")))
+        .when(F.col("kind") == 1, F.concat(F.lit("4749463839610100010080" + "0000" + "11" * 6), "body", F.when(F.col("l_orderkey") % 20 == 1, "21FE05AA").otherwise("3B")))
         .when(F.col("kind") == 2, F.concat(F.lit("52494646"), hexed(F.length(frames) / 2 + 4, 4, True), F.lit("57454250"), frames))
         .otherwise(F.concat(head, F.lit("0000000249444154AABB" + "DD" * 4 + "0000000049454E44AE426082")))
     )
     route = F.get(F.array(*map(F.lit, ["png", "gif", "webp", "png"])), F.col("kind").cast("int"))
-    return fixed(d.select("l_orderkey", route.alias("route"), F.unhex(text).alias("content")))
+    return d.select("l_orderkey", route.alias("route"), F.unhex(text).alias("content"))
 
 
 def file_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,34 @@ def file_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.clip(T.pictures(chained_files(spark, sf_dir), "l_orderkey"), "l_orderkey", FPS)
 
 
-def box(kind: str, *inside: Column) -> Column:
-    return bound(F.concat(*inside), lambda body: F.concat(hexed(F.length(body) / 2 + 8, 4), F.lit(kind.encode().hex().upper()), body))
+#: Hexadecimal digits and how many bytes they are; sizes are added up, so that no text is made twice.
+Piece = tuple[Column, Column | int]
+
+
+def plain(digits: str) -> Piece:
+    return F.lit(digits), len(digits) // 2
+
+
+def figure(value: Column, size: int) -> Piece:
+    return hexed(value, size), size
+
+
+def whole(*pieces: Piece) -> Piece:
+    fixed, open_ended = sum(n for _, n in pieces if isinstance(n, int)), [n for _, n in pieces if not isinstance(n, int)]
+    return F.concat(*[t for t, _ in pieces]), sum(open_ended, F.lit(fixed)) if open_ended else fixed
+
+
+def where(condition: Column, piece: Piece, other: Piece | None = None) -> Piece:
+    other = other or plain("")
+    a, b = piece[1], other[1]
+    size = a if isinstance(a, int) and isinstance(b, int) and a == b else F.when(condition, a).otherwise(b)
+    return F.when(condition, piece[0]).otherwise(other[0]), size
+
+
+def box(kind: str, *inside: Piece) -> Piece:
+    body, size = whole(*inside)
+    digits = F.lit(f"{size + 8:08X}") if isinstance(size, int) else hexed(size + 8, 4)
+    return F.concat(digits, F.lit(kind.encode().hex().upper()), body), size + 8
 
 
 def boxed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,23 +98,23 @@ def boxed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = numbered_lines(spark, sf_dir)
     q, part, key = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_orderkey")
     run = F.concat(hexed(q % 3 + 1, 4), hexed(part % 90 + 10, 4))
-    shift = F.concat(hexed(q % 2 + 1, 4), hexed(part % 5, 4))
-    d = d.groupBy("l_orderkey").agg(F.count("*").alias("n"), gathered(d, "l_orderkey", run).alias("runs"), gathered(d, "l_orderkey", shift).alias("shifts"))
-    full, ticks = F.lit("00000000"), key % 3 * 500 + 100
-    count = hexed(F.col("n"), 4)
-    old = box("mdhd", full, F.lit("00" * 8), hexed(ticks, 4), F.lit("00" * 8))
-    new = box("mdhd", F.lit("01000000" + "00" * 16), hexed(ticks, 4), F.lit("00" * 12))
-    offsets = F.when(key % 2 == 0, box("ctts", full, count, F.col("shifts"))).otherwise("")
-    tables = box("minf", box("stbl", box("stsd", full, F.lit("00000001"), box("av01", F.lit("00" * 8))), box("stts", full, count, F.col("runs")), offsets))
-    handler = lambda kind: box("hdlr", F.lit("00" * 8 + kind.encode().hex() + "00" * 12))
-    edit = F.when(key % 5 == 0, box("edts", box("elst", full, F.lit("00000002" + "00000064FFFFFFFF00010000"), hexed(key % 200 + 1, 4), F.lit("0000000000010000"))))
-    edit = edit.when(key % 5 == 1, box("edts", box("elst", F.lit("01000000" + "00000001"), hexed(key % 300 + 1, 8), hexed(key % 15 % 2, 8), F.lit("00010000")))).otherwise("")
-    movie = box("trak", edit, box("mdia", F.when(key % 2 == 0, old).otherwise(new), handler("pict"), tables))
-    aux = F.when(key % 4 == 0, box("trak", box("mdia", old, handler("auxv"), tables))).otherwise("")
-    turned = box("meta", full, box("iprp", box("ipco", box("ispe", F.lit("00" * 12)), F.when(key % 3 > 0, box("irot", hexed(key % 7 % 4, 1))).otherwise(""), F.when(key % 6 > 1, box("imir", hexed(key % 2, 1))).otherwise(""))))
-    data = F.when(key % 3 == 0, F.concat(F.lit("000000016D646174" + "00" * 7 + "14" + "AA" * 4))).otherwise(F.lit("0000000C6D646174AABBCCDD"))
-    text = F.concat(box("ftyp", F.lit("6176697300000000")), data, turned, box("moov", box("mvhd", full), aux, movie), F.when(key % 2 == 0, "000000006D646174EEEEEE").otherwise("0000"))
-    return fixed(d.select("l_orderkey", F.when(key % 2 == 0, "avif").otherwise("heif").alias("route"), F.unhex(text).alias("content")))
+    shift = F.when(key % 2 == 0, F.concat(hexed(q % 2 + 1, 4), hexed(part % 5, 4))).otherwise("")
+    d = d.groupBy("l_orderkey").agg(F.count("*").alias("n"), gathered([F.col("pos")], run).alias("runs"), gathered([F.col("pos")], shift).alias("shifts"))
+    full, ticks = plain("00000000"), key % 3 * 500 + 100
+    count, each = figure(F.col("n"), 4), F.col("n") * 8
+    old = box("mdhd", full, plain("00" * 8), figure(ticks, 4), plain("00" * 8))
+    new = box("mdhd", plain("01000000" + "00" * 16), figure(ticks, 4), plain("00" * 12))
+    offsets = where(key % 2 == 0, box("ctts", full, count, (F.col("shifts"), each)))
+    tables = box("minf", box("stbl", box("stsd", full, plain("00000001"), box("av01", plain("00" * 8))), box("stts", full, count, (F.col("runs"), each)), offsets))
+    handler = lambda kind: box("hdlr", plain("00" * 8 + kind.encode().hex() + "00" * 12))
+    two = box("edts", box("elst", full, plain("00000002" + "00000064FFFFFFFF00010000"), figure(key % 200 + 1, 4), plain("0000000000010000")))
+    edit = where(key % 5 == 0, two, where(key % 5 == 1, box("edts", box("elst", plain("01000000" + "00000001"), figure(key % 300 + 1, 8), figure(key % 15 % 2, 8), plain("00010000")))))
+    movie = box("trak", edit, box("mdia", where(key % 2 == 0, old, new), handler("pict"), tables))
+    aux = where(key % 4 == 0, box("trak", box("mdia", old, handler("auxv"), tables)))
+    turned = box("meta", full, box("iprp", box("ipco", box("ispe", plain("00" * 12)), where(key % 3 > 0, box("irot", figure(key % 7 % 4, 1))), where(key % 6 > 1, box("imir", figure(key % 2, 1))))))
+    data = where(key % 3 == 0, plain("000000016D646174" + "00" * 7 + "14" + "AA" * 4), plain("0000000C6D646174AABBCCDD"))
+    text, _ = whole(box("ftyp", plain("6176697300000000")), data, turned, box("moov", box("mvhd", full), aux, movie), where(key % 2 == 0, plain("000000006D646174EEEEEE"), plain("0000")))
+    return d.select("l_orderkey", F.when(key % 2 == 0, "avif").otherwise("heif").alias("route"), F.unhex(text).alias("content"))
 
 
 def sequence_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from cinegrid.functions import planes as P
 from cinegrid.operators import file_timelines as T
-from cinegrid.operators.fixed import fixed
-from cinegrid.plans.file_queries import box, hexed
+from cinegrid.plans.file_queries import box, figure, plain, where, whole
 
 
 def buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,32 +55,31 @@ def aperture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing, and some reach beyond the coded picture or have no denominator."""
     key, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
     d = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    full = F.lit("00000000")
-    fraction = lambda n, d: F.concat(hexed(n, 4), hexed(d, 4))
+    full = plain("00000000")
+    fraction = lambda n, d: whole(figure(n, 4), figure(d, 4))
     offset = cents % 5 - 1
-    signed = F.when(offset < 0, F.lit("FFFFFFFF")).otherwise(hexed(offset, 4))
-    clap = lambda shift: box("clap", fraction((cents % 9 + 4 + shift) * 2 + 1, F.lit(2)), fraction(F.lit(6), F.when(key % 11 == 0, 0).otherwise(cents % 3 + 1)), F.concat(signed, F.lit("00000001")), fraction(cents % 7, F.lit(3)))
-    ispe = box("ispe", full, hexed(key % 5 + 10, 4), hexed(key % 3 + 4, 4))
-    small = box("ispe", full, F.lit("0000000100000001"))
-    primary = F.when(key % 2 == 0, 1).otherwise(0x10002)
-    pitm = F.when(key % 2 == 0, box("pitm", full, F.lit("0001"))).otherwise(box("pitm", F.lit("01000000"), F.lit("00010002")))
-    wide = key % 3 == 0
-    listed = lambda *numbers: F.when(wide, F.lit("".join(f"80{n:02X}" for n in numbers))).otherwise(F.lit("".join(f"{n:02X}" for n in numbers)))
-    ident = F.when(key % 2 == 0, hexed(primary, 2)).otherwise(hexed(primary, 4))
-    other = F.when(key % 2 == 0, F.lit("0007")).otherwise(F.lit("00000007"))
-    mine = F.when(key % 7 == 0, F.concat(F.lit("01"), listed(2))).when(key % 13 == 0, F.concat(F.lit("01"), listed(9))).otherwise(F.concat(F.lit("02"), listed(2, 3)))
-    ipma = box("ipma", F.when(key % 2 == 0, "0000").otherwise("0100"), F.lit("00"), F.when(wide, "01").otherwise("00"), F.lit("00000002"), other, F.lit("01"), listed(1), ident, mine)
+    signed = where(offset < 0, plain("FFFFFFFF"), figure(offset, 4))
+    clap = lambda shift: box("clap", fraction((cents % 9 + 4 + shift) * 2 + 1, F.lit(2)), fraction(F.lit(6), F.when(key % 11 == 0, 0).otherwise(cents % 3 + 1)), signed, plain("00000001"), fraction(cents % 7, F.lit(3)))
+    ispe = box("ispe", full, figure(key % 5 + 10, 4), figure(key % 3 + 4, 4))
+    small = box("ispe", full, plain("0000000100000001"))
+    even, wide = key % 2 == 0, key % 3 == 0
+    pitm = where(even, box("pitm", full, plain("0001")), box("pitm", plain("01000000"), plain("00010002")))
+    listed = lambda *numbers: where(wide, plain("".join(f"80{n:02X}" for n in numbers)), plain("".join(f"{n:02X}" for n in numbers)))
+    ident = where(even, plain("0001"), plain("00010002"))
+    other = where(even, plain("0007"), plain("00000007"))
+    mine = where(key % 7 == 0, whole(plain("01"), listed(2)), where(key % 13 == 0, whole(plain("01"), listed(9)), whole(plain("02"), listed(2, 3))))
+    ipma = box("ipma", where(even, plain("0000"), plain("0100")), plain("00"), where(wide, plain("01"), plain("00")), plain("00000002"), other, plain("01"), listed(1), ident, mine)
     meta = box("meta", full, pitm, box("iprp", box("ipco", small, ispe, clap(F.lit(0))), ipma))
-    entry = box("av01", F.lit("00" * 78), box("av1C", F.lit("81000000")), F.when(key % 5 == 0, clap(F.lit(-3))).otherwise(""))
-    movie = box("moov", box("trak", box("mdia", box("hdlr", F.lit("00" * 8 + b"pict".hex() + "00" * 12)), box("minf", box("stbl", box("stsd", full, F.lit("00000001"), entry))))))
+    entry = box("av01", plain("00" * 78), box("av1C", plain("81000000")), where(key % 5 == 0, clap(F.lit(-3))))
+    movie = box("moov", box("trak", box("mdia", box("hdlr", plain("00" * 8 + b"pict".hex() + "00" * 12)), box("minf", box("stbl", box("stsd", full, plain("00000001"), entry))))))
+    content, _ = whole(box("ftyp", plain("6176697300000000")), meta, movie)
     plane = F.unhex(F.repeat(F.sha2(key.cast("string"), 256), 3))
-    return fixed(d.select("o_orderkey", F.unhex(F.concat(box("ftyp", F.lit("6176697300000000")), meta, movie)).alias("content"), plane.alias("plane")))
+    return d.select("o_orderkey", F.unhex(content).alias("content"), plane.alias("plane"))
 
 
 def aperture_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each file shows of its coded pictures, and one plane cut to it."""
-    files = aperture_files(spark, sf_dir)
-    d = T.apertures(files, "o_orderkey").join(files.select("o_orderkey", "plane"), "o_orderkey")
+    d = T.apertures(aperture_files(spark, sf_dir), "o_orderkey", kept=("plane",))
     coded, crop = F.col("coded"), F.col("crop")
     whole = P.cut(F.col("plane"), F.lit(0), coded["width"] * coded["height"])
     shown = F.when(F.col("refusal").isNull(), F.hex(P.cropped(whole, F.lit(1), crop, coded)))

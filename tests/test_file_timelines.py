@@ -133,3 +133,17 @@ def test_file_replaced_between_probe_and_decode(spark, tmp_path):
     os.utime(path, (1, 1))
     with pytest.raises(Exception, match="changed since it was probed"):
         frames.collect()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def two_files(spark):
+    return spark.createDataFrame([(1, "avif", avif(DELAYS)), (2, "png", png(DELAYS))], "i int, route string, content binary")
+
+
+def test_an_orientation_is_read_in_its_files_row(spark):
+    turned = box(b"meta", b"\0" * 4, box(b"iprp", box(b"ipco", box(b"irot", b"\1"), box(b"irot", b"\2"))))
+    d = T.stated_orientation(spark.createDataFrame([(7, avif(DELAYS, extra=turned)), (8, avif(DELAYS))], "i int, content binary"), "i")
+    assert [tuple(r) for r in d.collect()] == [(7, 8)] and "Exchange" not in plan(d)
