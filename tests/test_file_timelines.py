@@ -147,3 +147,10 @@ def test_an_orientation_is_read_in_its_files_row(spark):
     turned = box(b"meta", b"\0" * 4, box(b"iprp", box(b"ipco", box(b"irot", b"\1"), box(b"irot", b"\2"))))
     d = T.stated_orientation(spark.createDataFrame([(7, avif(DELAYS, extra=turned)), (8, avif(DELAYS))], "i int, content binary"), "i")
     assert [tuple(r) for r in d.collect()] == [(7, 8)] and "Exchange" not in plan(d)
+
+
+def test_frames_meet_no_shuffle(spark):
+    d = T.clip(T.pictures(two_files(spark), "i"), "i", (24, 1))
+    assert [(r.n, r.i) for r in d.orderBy("n").collect()] == [(n, 1 + n // 15) for n in range(30)]
+    # the frames are made above the join, not below it
+    assert plan(d).index("Generate") < plan(d).index("Join")
