@@ -154,3 +154,15 @@ def test_frames_meet_no_shuffle(spark):
     assert [(r.n, r.i) for r in d.orderBy("n").collect()] == [(n, 1 + n // 15) for n in range(30)]
     # the frames are made above the join, not below it
     assert plan(d).index("Generate") < plan(d).index("Join")
+
+
+def test_samples_of_a_sequence_meet_no_shuffle(spark):
+    p = T.pictures(two_files(spark).where("i = 1"), "i")
+    d = T.sampled(p, "i", (24, 1))
+    assert [(r.presentation, r.duration, r.tick, r.until) for r in d.orderBy("tick").collect()] == [(0, 80, 0, 2), (1, 170, 2, 6), (2, 110, 6, 9), (3, 240, 9, 15)]
+    assert "Exchange" not in plan(d) and "Join" not in plan(d)
+
+
+def test_instants_before_zero_and_offsets_across_runs(spark):
+    d = T.pictures(spark.createDataFrame([(1, "avif", avif([], runs_of=[(3, 10), (2, 0), (2, 30)], ctts=[(4, -15), (1, 0)], elst=[(75, 0)]))], "i int, route string, content binary"), "i")
+    assert [(r.pos, r.duration, r.before, r.idle) for r in d.orderBy("pos").collect()] == [(1, 0, 0, 0), (2, 5, 0, 1), (3, 10, 5, 1), (4, 15, 15, 1), (5, 0, 30, 1), (6, 30, 30, 2), (7, 15, 60, 2)]
