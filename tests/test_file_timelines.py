@@ -166,3 +166,15 @@ def test_samples_of_a_sequence_meet_no_shuffle(spark):
 def test_instants_before_zero_and_offsets_across_runs(spark):
     d = T.pictures(spark.createDataFrame([(1, "avif", avif([], runs_of=[(3, 10), (2, 0), (2, 30)], ctts=[(4, -15), (1, 0)], elst=[(75, 0)]))], "i int, route string, content binary"), "i")
     assert [(r.pos, r.duration, r.before, r.idle) for r in d.orderBy("pos").collect()] == [(1, 0, 0, 0), (2, 5, 0, 1), (3, 10, 5, 1), (4, 15, 15, 1), (5, 0, 30, 1), (6, 30, 30, 2), (7, 15, 60, 2)]
+
+
+def test_samples_of_chained_files_meet_no_shuffle(spark):
+    p = T.pictures(two_files(spark).where("i = 2"), "i")
+    d = T.sampled(p, "i", (24, 1))
+    assert [r.tick for r in d.orderBy("tick").collect()] == [0, 2, 6, 9]
+    assert "Exchange" not in plan(d) and "Join" not in plan(d)
+
+
+def test_a_gif_without_content_is_a_still(spark):
+    p = T.pictures(spark.createDataFrame([(1, "gif", None)], "i int, route string, content binary"), "i")
+    assert [(r.tick, r.until) for r in T.sampled(p, "i", (24, 1)).collect()] == [(0, 1)]
