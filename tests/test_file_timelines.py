@@ -178,3 +178,9 @@ def test_samples_of_chained_files_meet_no_shuffle(spark):
 def test_a_gif_without_content_is_a_still(spark):
     p = T.pictures(spark.createDataFrame([(1, "gif", None)], "i int, route string, content binary"), "i")
     assert [(r.tick, r.until) for r in T.sampled(p, "i", (24, 1)).collect()] == [(0, 1)]
+
+
+def test_refusals_of_a_sequence_need_no_join(spark):
+    d = T.pictures(spark.createDataFrame([(1, "avif", avif(DELAYS, elst=[(0, 250)])), (2, "avif", avif(DELAYS, ctts=[(4, 700)]))], "i int, route string, content binary"), "i")
+    assert {r.i: r.refusal for r in T.refusals(d, "i").collect()} == {1: "starts within its media", 2: "it shows no picture"}
+    assert "Join" not in plan(T.refusals(d, "i"))
