@@ -184,3 +184,9 @@ def test_refusals_of_a_sequence_need_no_join(spark):
     d = T.pictures(spark.createDataFrame([(1, "avif", avif(DELAYS, elst=[(0, 250)])), (2, "avif", avif(DELAYS, ctts=[(4, 700)]))], "i int, route string, content binary"), "i")
     assert {r.i: r.refusal for r in T.refusals(d, "i").collect()} == {1: "starts within its media", 2: "it shows no picture"}
     assert "Join" not in plan(T.refusals(d, "i"))
+
+
+def test_refusals_of_chained_files_need_no_join(spark):
+    d = T.pictures(spark.createDataFrame([(1, "png", png(DELAYS, promised=5)), (2, "gif", gif(DELAYS, b""))], "i int, route string, content binary"), "i")
+    assert {r.i: r.refusal for r in T.refusals(d, "i").collect()} == {1: "it ends after 4 of 5 pictures"}
+    assert "Join" not in plan(T.refusals(d, "i"))
