@@ -102,3 +102,11 @@ def test_cropped_plane(spark):
     size = lambda **k: F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in k.items()])
     got = spark.createDataFrame([(bytearray(a.tobytes()),)], "p binary").select(P.cropped(F.col("p"), F.lit(2), size(width=3, height=2, x=2, y=1), size(width=6, height=4))).first()[0]
     assert got == a[1:3, 2:5].tobytes()
+
+
+def test_an_aperture_stays_beside_its_files_columns(spark):
+    files = spark.createDataFrame([(1, bytearray(meta([ispe(8, 6), clap((4, 1), (2, 1), (1, 1), (0, 1))], [(1, [1, 2])])), "a"), (2, None, "b")], "i int, content binary, plane string")
+    d = T.apertures(files, "i", kept=("plane",))
+    assert [(r.i, r.plane, tuple(r.crop) if r.crop else None) for r in d.orderBy("i").collect()] == [(1, "a", (4, 2, 1, 0)), (2, "b", None)]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
