@@ -92,3 +92,15 @@ def test_read_keeps_profiles_for_a_caller_who_asks(spark, tmp_path):
     path = [str(tmp_path / "a.gif")]
     assert "icc_profile" not in images.read(spark, path).columns
     assert {bytes(r.icc_profile) for r in images.read(spark, path, icc_profile=True).select("icc_profile").collect()} == {b"profile"}
+
+
+def test_profile_files_are_put_together_in_one_shuffle(spark, tmp_path):
+    from cinegrid.plans import profile_queries
+
+    rows = [(o, 1, 10 + i, 20, i + 1, "1996-01-01") for o in (2, 3) for i in range(2)]
+    d = spark.createDataFrame(rows, "l_orderkey bigint, l_extendedprice int, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_shipdate string")
+    d.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = profile_queries.icc_profiles(spark, str(tmp_path))
+    assert [(r.l_orderkey, r.has_icc) for r in got.orderBy("l_orderkey").collect()] == [(2, False), (3, False)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "ExistingRDD" not in plan
