@@ -43,24 +43,35 @@ def compatible_alpha(colour: Column, alpha: Column) -> Column:
     return gray & (depth == bits) & (alpha["width"] == colour["width"]) & (alpha["height"] == colour["height"])
 
 
+#: Rows of a clip's colour that one task joins with their alpha.
+JOINED_ROWS = 1 << 19
+MISFITS = ["it needs one gray plane", "samples of another type", "samples of another depth", "another size"]
+
+
 def alpha_clip(colour: DataFrame, alpha: DataFrame, clip: str, n: str) -> DataFrame:
     """For each clip: its frames and those of its alpha clip, the first frame n that does not fit, and the refusal, null where all fit.
 
-    Both sides have family, sample, bits, width and height. Frames meet by an outer equi-join on (clip, n); what is wrong with each
-    is reduced to the first offender by partial aggregation. A count that differs is refused before anything else.
+    Both sides have family, sample, bits, width and height. Frames meet by an outer equi-join on (clip, n), in as many parts as
+    their number asks for, so that a task's share stays the same; what is wrong with each is reduced to the first offender by
+    partial aggregation, as one number, so that nothing is sorted for it. A count that differs is refused before anything else.
     """
     names = ["family", "sample", "bits", "width", "height"]
-    a = alpha.select(clip, n, F.struct(*names).alias("_a"))
-    both = colour.select(clip, n, F.struct(*names).alias("_c")).join(a, [clip, n], "full")
+    parts = max(colour.sparkSession.sparkContext.defaultParallelism, -(-colour.count() // JOINED_ROWS))
+    c = colour.select(clip, n, F.struct(*names).alias("_c")).repartition(parts, clip, n)
+    a = alpha.select(clip, n, F.struct(*names).alias("_a")).repartition(parts, clip, n)
+    both = c.join(a, [clip, n], "full")
     c, a = F.col("_c"), F.col("_a")
     wrong = (
-        F.when(c.isNull() | a.isNull(), None).when(a["family"] != "Gray", "it needs one gray plane").when(a["sample"] != c["sample"], "samples of another type")
-        .when((c["sample"] == "integer") & (a["bits"] != c["bits"]), "samples of another depth").when((a["width"] != c["width"]) | (a["height"] != c["height"]), "another size")
+        F.when(c.isNull() | a.isNull(), None).when(a["family"] != "Gray", 0).when(a["sample"] != c["sample"], 1)
+        .when((c["sample"] == "integer") & (a["bits"] != c["bits"]), 2).when((a["width"] != c["width"]) | (a["height"] != c["height"]), 3)
     )
-    d = both.withColumn("_wrong", wrong).groupBy(clip).agg(F.count("_c").alias("frames"), F.count("_a").alias("alpha_frames"), F.min(F.when(F.col("_wrong").isNotNull(), F.struct(F.col(n).alias("n"), "_wrong"))).alias("_first"))
+    spot = F.col(n).cast("bigint") * len(MISFITS) + wrong
+    d = both.groupBy(clip).agg(F.count("_c").alias("frames"), F.count("_a").alias("alpha_frames"), F.min(spot).alias("_first"))
     counts = F.col("frames") != F.col("alpha_frames")
-    refusal = F.when(counts, F.concat("frames", F.lit(" frames beside "), "alpha_frames")).otherwise(F.col("_first._wrong"))
-    return d.select(clip, "frames", "alpha_frames", F.when(~counts, F.col("_first.n")).alias("first"), refusal.alias("refusal"))
+    why = F.get(F.array(*map(F.lit, MISFITS)), F.pmod("_first", F.lit(len(MISFITS))).cast("int"))
+    first = F.call_function("div", F.col("_first") - F.pmod("_first", F.lit(len(MISFITS))), F.lit(len(MISFITS))).cast(colour.schema[n].dataType)
+    refusal = F.when(counts, F.concat("frames", F.lit(" frames beside "), "alpha_frames")).otherwise(why)
+    return d.select(clip, "frames", "alpha_frames", F.when(~counts, first).alias("first"), refusal.alias("refusal"))
 
 
 def refuse_alpha(colour: DataFrame, alpha: DataFrame, clip: str, n: str) -> None:

@@ -106,3 +106,14 @@ def test_refusals(spark):
 def test_matrix_that_is_given_wins_over_an_unknown_one(spark):
     row = spark.range(1).select(X.yuv_matrix(F.lit(6), F.lit(3)).alias("a"), X.yuv_matrix(F.lit(None).cast("int"), F.lit(3), refuse=False).alias("b"), X.yuv_matrix(F.lit(None).cast("int"), F.lit(9)).alias("c")).first()
     assert tuple(row) == (6, None, 9)
+
+
+def test_alpha_meets_colour_in_parts_of_a_size(spark, monkeypatch):
+    from cinegrid.operators import validate as V
+
+    monkeypatch.setattr(V, "JOINED_ROWS", 10)
+    side = lambda rows, family, depth: spark.range(rows).selectExpr("id % 3 AS clip", "CAST(id AS INT) AS n", f"'{family}' AS family", "'integer' AS sample", f"IF(id = 41, {depth}, 8) AS bits", "16 AS width", "12 AS height")
+    d = V.alpha_clip(side(95, "RGB", 8), side(94, "Gray", 10), "clip", "n")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert {r.clip: (r.frames, r.alpha_frames, r["first"], r.refusal) for r in d.collect()} == {0: (32, 32, None, None), 1: (32, 31, None, "32 frames beside 31"), 2: (31, 31, 41, "samples of another depth")}
+    assert plan.count("10), REPARTITION_BY_NUM") == 2 and "SortAggregate" not in plan
