@@ -90,3 +90,11 @@ def test_invalid_rates():
     assert T.reduce_fps(48, 2) == (24, 1)
     with pytest.raises(ValueError, match="invalid rate"):
         T.scale((0, 1), (24, 1))
+
+
+def test_frames_by_a_column_of_rates_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(u, r) for u in (0, 1, 999, 10**12, (1 << 58) + 1, (1 << 62) + 7) for r in (1001, 90_000, (1 << 32) - 1)]
+    got = spark.createDataFrame(rows, "u bigint, r bigint").select("u", "r", T.ceil_frames(F.col("u"), F.col("r"), (30000, 1001)).alias("n")).collect()
+    assert all(x.n == -(-x.u * 30000 // (x.r * 1001)) for x in got)
