@@ -74,21 +74,18 @@ def stated_orientation(files: DataFrame, key: str, content: str = "content") ->
     return b.select(key, R.container_orientation(F.coalesce(angle, T.long(0)), axis).alias("orientation"))
 
 
-def pictures(files: DataFrame, key: str, route: str = "route", content: str = "content") -> DataFrame:
+def pictures(files: DataFrame, key: str, route: str = "route", content: str = "content", saved: bool = True) -> DataFrame:
     """key, animated, pos (from 1), duration, ticks (a second) and refusal of every file: what it states if it is an animation, else one
     still; before, idle, total and total_idle say what those before and all last, and how many of them have no time of their own.
 
-    Files are read once, in their rows; what follows reads the saved runs of equal pictures.
+    Files are read once, in their rows; what follows reads the saved runs of equal pictures. saved=False: what follows reads them in
+    one place only, so they go on from their walk.
     """
-    d = fixed(files.select(key, walk.timeline(F.col(route), F.col(content)).alias("w")))
-    animated, refusal = F.coalesce("w.animated", F.lit(False)), F.col("w.refusal")
-    shown = F.when(animated & refusal.isNull(), F.col("w.runs"))
-    stated = {"ticks": F.col("w.ticks"), "total": F.col("w.total"), "total_idle": F.col("w.idle")}
-    d = d.select(key, animated.alias("animated"), refusal.alias("refusal"), *[c.alias(n) for n, c in stated.items()], F.explode_outer(shown).alias("r"))
-    d = d.select("*", F.explode(F.sequence(T.long(0), F.coalesce("r.count", T.long(1)) - 1)).alias("_i"))
-    pos, one = (F.coalesce("r.pos", T.long(1)) + F.col("_i")).cast("int"), F.col("r.duration")
-    before, idle = F.col("r.before") + F.col("_i") * one, F.col("r.idle") + F.when(one > 0, 0).otherwise(F.col("_i"))
-    return d.select(key, "animated", pos.alias("pos"), one.alias("duration"), "ticks", "refusal", before.alias("before"), idle.alias("idle"), "total", "total_idle")
+    d = walk.timelines(files, key, route, content)
+    d = (fixed(d) if saved else d).select("*", F.explode(F.sequence(T.long(0), F.col("count") - 1)).alias("_i"))
+    pos, one = (F.col("pos") + F.col("_i")).cast("int"), F.col("duration")
+    before, idle = F.col("before") + F.col("_i") * one, F.col("idle") + F.when(one > 0, 0).otherwise(F.col("_i"))
+    return d.select(key, "animated", pos.alias("pos"), "duration", "ticks", "refusal", before.alias("before"), idle.alias("idle"), "total", "total_idle")
 
 
 def sampled(stated: DataFrame, key: str, fps: tuple[int, int]) -> DataFrame:
@@ -108,6 +105,11 @@ def refusals(stated: DataFrame, key: str) -> DataFrame:
     return stated.where("refusal is not null").select(key, "refusal").distinct()
 
 
+def refused(files: DataFrame, key: str, route: str = "route", content: str = "content") -> DataFrame:
+    """key and refusal of the files whose timeline is refused, in one pass over them: no picture is made."""
+    return walk.refusals(files, key, route, content)
+
+
 def clip(stated: DataFrame, key: str, fps: tuple[int, int]) -> DataFrame:
     """Every frame of the files in the order of key: n, key, local, presentation, hold (frames that show the presentation)."""
     s = sampled(stated, key, fps)

@@ -50,7 +50,7 @@ def chained_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.sampled(T.pictures(chained_files(spark, sf_dir), "l_orderkey"), "l_orderkey", FPS)
+    return T.sampled(T.pictures(chained_files(spark, sf_dir), "l_orderkey", saved=False), "l_orderkey", FPS)
 
 
 def file_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def boxed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.sampled(T.pictures(boxed_files(spark, sf_dir), "l_orderkey"), "l_orderkey", FPS)
+    return T.sampled(T.pictures(boxed_files(spark, sf_dir), "l_orderkey", saved=False), "l_orderkey", FPS)
 
 
 def sequence_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,24 @@ def test_refusals_of_chained_files_need_no_join(spark):
     d = T.pictures(spark.createDataFrame([(1, "png", png(DELAYS, promised=5)), (2, "gif", gif(DELAYS, b""))], "i int, route string, content binary"), "i")
     assert {r.i: r.refusal for r in T.refusals(d, "i").collect()} == {1: "it ends after 4 of 5 pictures"}
     assert "Join" not in plan(T.refusals(d, "i"))
+
+
+def test_boxes_aside_of_a_sequences_tables_are_stepped_over(monkeypatch):
+    aside = box(b"meta", b"\0" * 4, box(b"iprp", box(b"ipco", *[box(b"irot", b"\1")] * 50)))
+    seen, boxes_in = [], walk.boxes_in
+
+    def counted(*of):
+        for b in boxes_in(*of):
+            seen.append(b[0])
+            yield b
+
+    monkeypatch.setattr(walk, "boxes_in", counted)
+    file = avif(DELAYS, extra=aside) + box(b"moov", box(b"trak"))
+    assert walk.timeline_of("avif", file)[:3] == (True, 1000, 600) and b"irot" not in seen and seen.count(b"moov") == 1
+    assert walk.timeline_of("avif", avif(DELAYS, handler=b"auxv") + file) is None
+
+
+def test_files_read_once_are_not_saved(spark):
+    d = T.sampled(T.pictures(two_files(spark), "i", saved=False), "i", (24, 1))
+    assert [(r.i, r.tick) for r in d.orderBy("i", "tick").collect()] == [(i, t) for i in (1, 2) for t in (0, 2, 6, 9)]
+    assert plan(d).count("MapInArrow") == 1 and "Scan ExistingRDD[i#" not in plan(d).split("MapInArrow")[0]
