@@ -54,7 +54,7 @@ def file_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.refusals(T.pictures(chained_files(spark, sf_dir), "l_orderkey"), "l_orderkey")
+    return T.refused(chained_files(spark, sf_dir), "l_orderkey")
 
 
 def file_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def sequence_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.refusals(T.pictures(boxed_files(spark, sf_dir), "l_orderkey"), "l_orderkey")
+    return T.refused(boxed_files(spark, sf_dir), "l_orderkey")
 
 
 def sequence_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,11 @@ def test_files_read_once_are_not_saved(spark):
     d = T.sampled(T.pictures(two_files(spark), "i", saved=False), "i", (24, 1))
     assert [(r.i, r.tick) for r in d.orderBy("i", "tick").collect()] == [(i, t) for i in (1, 2) for t in (0, 2, 6, 9)]
     assert plan(d).count("MapInArrow") == 1 and "Scan ExistingRDD[i#" not in plan(d).split("MapInArrow")[0]
+
+
+def test_one_pass_finds_refusals(spark):
+    files = [("png", png(DELAYS, promised=5)), ("avif", avif(DELAYS, elst=[(0, 250)])), ("gif", None), ("webp", None), ("png", png(DELAYS)), ("avif", avif(DELAYS))]
+    df = spark.createDataFrame([(i, r, c) for i, (r, c) in enumerate(files)], "i int, route string, content binary")
+    d = T.refused(df, "i")
+    assert {r.i: r.refusal for r in d.collect()} == {0: "it ends after 4 of 5 pictures", 1: "starts within its media", 3: "it is no WebP container"}
+    assert "Generate" not in plan(d) and "Exchange" not in plan(d)
