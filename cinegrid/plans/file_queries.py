@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,22 @@ FPS = (24, 1)
 
 
 def hexed(value: Column, size: int, little: bool = False) -> Column:
-    text = F.right(F.concat(F.lit("0" * 16), F.hex(value.cast("bigint"))), F.lit(2 * size))
-    return F.concat(*[F.substring(text, i, 2) for i in range(2 * size - 1, 0, -2)]) if little else text
+    """The digits of the low `size` bytes of a number."""
+    value = value.cast("bigint")
+    if little:  # bytes change places as numbers, so that digits are made once
+        value = reduce(Column.bitwiseOR, [F.shiftleft(F.shiftright(value, 8 * i).bitwiseAND(F.lit(255).cast("bigint")), 8 * (size - 1 - i)) for i in range(size)])
+    return F.substring(F.concat(F.lit("0" * 16), F.hex(value)), -2 * size, 2 * size)
+
+
+def gathered(order: list[Column], **pieces: Column) -> Column:
+    """A group's rows in that order; see joined."""
+    fields = [c.alias(f"_{i}") for i, c in enumerate(order)] + [c.alias(n) for n, c in pieces.items()]
+    return F.sort_array(F.collect_list(F.struct(*fields)))
 
 
-def gathered(order: list[Column], piece: Column) -> Column:
-    """A group's pieces in that order, one after the other."""
-    return F.array_join(F.sort_array(F.collect_list(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], piece.alias("piece")))).getField("piece"), "")
+def joined(rows: str, piece: str) -> Column:
+    """One piece of gathered rows, one after the other."""
+    return F.array_join(F.col(rows).getField(piece), "")
 
 
 def chained_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +45,8 @@ def chained_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     webp = F.concat(F.lit("414E4D46"), hexed(F.lit(16) + part % 4, 4, True), F.lit("00" * 12), hexed(part % 500, 3, True), F.lit("02"), F.repeat(F.lit("AB"), (part % 4).cast("int")), F.when(part % 2 == 1, "00").otherwise(""))
     kind = F.col("l_orderkey") % 4
     piece = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, webp).otherwise("")
-    d = d.groupBy("l_orderkey").agg(F.count("*").alias("n"), gathered([F.col("pos")], piece).alias("body")).withColumn("kind", kind)
+    d = d.groupBy("l_orderkey").agg(F.count("*").alias("n"), gathered([F.col("pos")], piece=piece).alias("rows"))
+    d = d.select("l_orderkey", "n", joined("rows", "piece").alias("body"), kind.alias("kind"))
     head = F.lit("89504E470D0A1A0A0000000D49484452" + "00000001" * 2 + "0806000000" + "CC" * 4)
     promised = F.col("n") + F.when(F.col("l_orderkey") % 20 == 0, 1).otherwise(0)
     control = F.concat(F.lit("000000086163544C"), hexed(promised, 4), F.lit("00" * 4 + "CC" * 4))
@@ -99,7 +111,8 @@ def boxed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, part, key = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_orderkey")
     run = F.concat(hexed(q % 3 + 1, 4), hexed(part % 90 + 10, 4))
     shift = F.when(key % 2 == 0, F.concat(hexed(q % 2 + 1, 4), hexed(part % 5, 4))).otherwise("")
-    d = d.groupBy("l_orderkey").agg(F.count("*").alias("n"), gathered([F.col("pos")], run).alias("runs"), gathered([F.col("pos")], shift).alias("shifts"))
+    d = d.groupBy("l_orderkey").agg(F.count("*").alias("n"), gathered([F.col("pos")], run=run, shift=shift).alias("rows"))
+    d = d.select("l_orderkey", "n", joined("rows", "run").alias("runs"), joined("rows", "shift").alias("shifts"))
     full, ticks = plain("00000000"), key % 3 * 500 + 100
     count, each = figure(F.col("n"), 4), F.col("n") * 8
     old = box("mdhd", full, plain("00" * 8), figure(ticks, 4), plain("00" * 8))

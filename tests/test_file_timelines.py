@@ -219,3 +219,14 @@ def test_one_pass_finds_refusals(spark):
     d = T.refused(df, "i")
     assert {r.i: r.refusal for r in d.collect()} == {0: "it ends after 4 of 5 pictures", 1: "starts within its media", 3: "it is no WebP container"}
     assert "Generate" not in plan(d) and "Exchange" not in plan(d)
+
+
+def test_lines_of_a_file_are_gathered_once(spark):
+    from cinegrid.plans import file_queries as Q
+
+    for files in (Q.boxed_files, Q.chained_files):
+        p = plan(files(spark, "/root/testdata/sf0.001"))
+        assert sum(l.count("collect_list(") for l in p.splitlines() if "partial_" in l) == 1
+    pairs = [(v, n, little) for v in (0, 1, 255, 256, 40000) for n in (1, 2, 3, 4, 8) for little in (False, True) if v < 256**n]
+    got = spark.range(1).select(*[Q.hexed(F.lit(v), n, little).alias(f"c{i}") for i, (v, n, little) in enumerate(pairs)]).first()
+    assert list(got) == [v.to_bytes(n, "little" if little else "big").hex().upper() for v, n, little in pairs]
