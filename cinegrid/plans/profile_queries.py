@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinegrid.functions import profiles
-from cinegrid.plans.file_queries import gathered, hexed
+from cinegrid.plans.file_queries import gathered, hexed, joined
 from cinegrid.plans.timeline_queries import POS_SQL, numbered_lines
 
 
@@ -24,7 +24,8 @@ def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     block = F.concat(hexed(F.length("text") / 2, 1), "text")
     piece = F.when(key % 4 < 2, segment).when(key % 4 == 2, block).otherwise(F.col("text"))
-    d = d.groupBy("l_orderkey").agg(gathered([F.when(key % 4 < 2, F.col("l_partkey")), pos], piece).alias("body"))
+    d = d.groupBy("l_orderkey").agg(gathered([F.when(key % 4 < 2, F.col("l_partkey")), pos], piece=piece).alias("rows"))
+    d = d.select("l_orderkey", joined("rows", "piece").alias("body"))
     jpeg = F.concat(F.lit("FFD8FFE000040000FF"), "body", F.lit("FFE20008494343000102FFDA000203FFE20010" + b"ICC_PROFILE\0".hex() + "0909"))
     label = F.when(key % 10 == 2, F.lit("21FF0B" + b"NETSCAPE2.0".hex())).otherwise(F.lit("21FF0B" + b"ICCRGBG1012".hex()))
     gif = F.concat(F.lit("4749463839610100010080" + "0000" + "11" * 6 + "21F9040000000000"), label, "body", F.lit("002C000000000100010000" + "02024C01003B"))

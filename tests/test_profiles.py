@@ -1,5 +1,6 @@
 """Embedded colour profiles: their fragments, and their way from a file into a written PNG."""
 
+import hashlib
 import struct
 import zlib
 
@@ -104,3 +105,17 @@ def test_profile_files_are_put_together_in_one_shuffle(spark, tmp_path):
     assert [(r.l_orderkey, r.has_icc) for r in got.orderBy("l_orderkey").collect()] == [(2, False), (3, False)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "ExistingRDD" not in plan
+
+
+def test_fragments_of_profile_files_stand_by_part_in_jpegs_alone(spark, tmp_path):
+    from cinegrid.plans import profile_queries
+
+    rows = [(o, 1, part, 20, i + 1, "1996-01-01") for o in (4, 5, 6, 7) for i, part in enumerate((31, 9, 110))]
+    d = spark.createDataFrame(rows, "l_orderkey bigint, l_extendedprice int, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_shipdate string")
+    d.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.l_orderkey: bytes(r.content) for r in profile_queries.profile_files(spark, str(tmp_path)).collect()}
+    texts = [f"{part},20,1996-01-01".encode() for part in (31, 9, 110)]
+    assert all(sorted(texts, key=got[o].index) == [texts[1], texts[0], texts[2]] for o in (4, 5))
+    assert all(sorted(texts, key=got[o].index) == texts for o in (6, 7))
+    want = {(o, r, True, len(b"".join(texts)), hashlib.md5(b"".join(texts)).hexdigest()) for o, r in ((4, "jpeg"), (5, "jpeg"), (6, "gif"), (7, "webp"))}
+    assert {tuple(r) for r in profile_queries.icc_profiles(spark, str(tmp_path)).collect()} == want
